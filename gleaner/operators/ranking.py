@@ -270,17 +270,11 @@ def contiguous_split(
 def even_splits(df: DataFrame, order: list[Column], parts: int, name: str = "part") -> DataFrame:
     """Ranges with bounds ``round(i*N/parts)``, halves to the even number."""
     indexed = row_index(df, order, "_row")
-    total = df.count()
-
-    def bound(i: Column) -> Column:
-        return F.bround(i * F.lit(total) / F.lit(parts), 0)
-
-    guess = F.expr(f"(_row * {parts}) div {max(total, 1)}")
-    # Rounding moves a bound by at most one half, so the range is the guess or the next one.
-    placed = indexed.withColumn("_guess", guess).withColumn(
-        name,
-        F.when((F.col("_guess") + 1 < parts) & (bound(F.col("_guess") + 1) <= F.col("_row")), F.col("_guess") + 1)
-        .when(bound(F.col("_guess")) <= F.col("_row"), F.col("_guess"))
-        .otherwise(F.col("_guess") - 1),
-    )
-    return placed.drop("_row", "_guess")
+    total = max(df.count(), 1)
+    # The last range that starts at or before row r is the largest i with i*N/parts <= r + 1/2,
+    # where the tie counts only for even r (a half rounds down to it).
+    reach = f"(2 * _row + 1) * {parts}"
+    tie_up = F.expr(f"({reach}) % {2 * total} = 0 and _row % 2 = 1")
+    return indexed.withColumn(
+        name, F.expr(f"({reach}) div {2 * total}") - F.when(tie_up, 1).otherwise(0)
+    ).drop("_row")
