@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from gleaner.functions.keys import seeded_hash
 from gleaner.functions.vectors import COMPARE_DECIMALS, is_zero_vector, matrix
+from gleaner.operators.ranking import row_index
 from gleaner.operators.sampling import sample_files
 from gleaner.storage import materialize, scratch_path
 
@@ -204,20 +205,19 @@ def initial_centroids(
     df: DataFrame, k: int, identity: str, embedding: str = "embedding", seed: int = 0
 ) -> DataFrame:
     """``k`` rows by seeded hash order, as (cluster_id, centroid)."""
+    usable = drop_zero_vectors(df, embedding)
     chosen = (
-        drop_zero_vectors(df, embedding)
-        .withColumn("_hash", seeded_hash(identity, seed))
+        usable.select(identity, seeded_hash(identity, seed).alias("_hash"))
         .orderBy("_hash", identity)
         .limit(k)
-        .select("_hash", identity, F.col(embedding).cast("array<double>").alias("centroid"))
-        .collect()
     )
-    if len(chosen) < k:
-        raise ValueError(f"asked for {k} centroids, found {len(chosen)} usable rows")
-    ordered = sorted(chosen, key=lambda r: (r["_hash"], r[identity]))
-    return df.sparkSession.createDataFrame(
-        [(i, r["centroid"]) for i, r in enumerate(ordered)],
-        "cluster_id int, centroid array<double>",
+    numbered = materialize(row_index(chosen, [F.col("_hash"), F.col(identity)], "_row"), "initial")
+    found = numbered.count()
+    if found < k:
+        raise ValueError(f"asked for {k} centroids, found {found} usable rows")
+    return usable.join(numbered, identity).select(
+        F.col("_row").cast("int").alias("cluster_id"),
+        F.col(embedding).cast("array<double>").alias("centroid"),
     )
 
 

@@ -13,7 +13,7 @@ selected rows are never sorted or shuffled.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -113,55 +113,12 @@ def _interval_of(value: Column, splits: list) -> Column:
     return tree(0, len(splits) - 1)
 
 
-def kth_largest(df: DataFrame, column: str, k: int):
-    """The ``k``-th largest value (1-based) and the number of rows strictly above it.
+@dataclass(frozen=True)
+class _Shape:
+    """What one aggregation tells about the values under search."""
 
-    Exact. Each step takes approximate quantiles as split points, counts the rows on and between
-    them in one aggregation, and goes on in the one interval that holds rank ``k``. A value held
-    by many rows soon becomes a split point itself and ends the search.
-    """
-    values = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
-    above = 0
-    fractions = [i / CUT_SPLITS for i in range(1, CUT_SPLITS)]
-    while True:
-        shape = values.agg(
-            F.count("v").alias("n"),
-            F.min("v").alias("low"),
-            F.max("v").alias("high"),
-            F.percentile_approx("v", fractions, 10000).alias("quantiles"),
-        ).first()
-        if not 1 <= k - above <= shape["n"]:
-            raise ValueError(f"rank {k} is outside the table")
-        if shape["low"] == shape["high"]:
-            return shape["low"], above
-        if shape["n"] <= CUT_ROWS:
-            ordered = sorted((r["v"] for r in values.collect()), reverse=True)
-            found = ordered[k - above - 1]
-            return found, above + sum(1 for v in ordered if v > found)
-        splits = sorted({shape["low"], *shape["quantiles"], shape["high"]})
-        counts = {}
-        slot = _interval_of(F.col("v"), splits)
-        on_split = F.array(*[F.lit(s) for s in splits])
-        grouped = (
-            values.withColumn("slot", slot)
-            .withColumn("exact", F.col("v") == F.get(on_split, F.col("slot")))
-            .groupBy("slot", "exact")
-            .count()
-        )
-        for r in grouped.collect():  # at most two rows per split
-            counts[(r["slot"], r["exact"])] = r["count"]
-        for i in range(len(splits) - 1, -1, -1):
-            between = counts.get((i, False), 0)
-            if k <= above + between:
-                values = values.filter(
-                    (F.col("v") > F.lit(splits[i])) & (F.col("v") < F.lit(splits[i + 1]))
-                )
-                break
-            above += between
-            equal = counts.get((i, True), 0)
-            if k <= above + equal:
-                return splits[i], above
-            above += equal
+    rows: int
+    splits: tuple
 
 
 @dataclass(frozen=True)
@@ -177,24 +134,107 @@ class Cut:
         )
 
 
-def find_cut(df: DataFrame, score: str, identity: str, rank: int) -> Cut:
-    value, above = kth_largest(df, score, rank)
-    tied = df.filter(F.col(score) == F.lit(value))
-    name, _ = kth_largest(tied, identity, rank - above)
-    return Cut(value, name)
+def _shape(rows: DataFrame) -> _Shape:
+    fractions = [i / CUT_SPLITS for i in range(1, CUT_SPLITS)]
+    found = rows.agg(
+        F.count("s").alias("n"),
+        F.min("s").alias("low"),
+        F.max("s").alias("high"),
+        F.percentile_approx("s", fractions, 1000).alias("quantiles"),
+    ).first()
+    if not found["n"]:
+        return _Shape(0, ())
+    return _Shape(found["n"], tuple(sorted({found["low"], *found["quantiles"], found["high"]})))
+
+
+def _slot_counts(rows: DataFrame, splits: tuple) -> dict:
+    """Rows on each split and strictly between it and the next."""
+    slotted = rows.select("s", _interval_of(F.col("s"), splits).alias("slot"))
+    on_split = F.get(F.array(*[F.lit(v) for v in splits]), F.col("slot"))
+    grouped = slotted.groupBy("slot", (F.col("s") == on_split).alias("exact")).count()
+    return {(r["slot"], r["exact"]): r["count"] for r in grouped.collect()}  # two per split
+
+
+def _locate(counts: dict, splits: tuple, rank: int) -> tuple[int, bool, int]:
+    """(slot, on the split itself, rows above) of a descending rank."""
+    above = 0
+    for slot in range(len(splits) - 1, -1, -1):
+        for exact in (False, True):
+            here = counts.get((slot, exact), 0)
+            if rank <= above + here:
+                return slot, exact, above
+            above += here
+    raise ValueError(f"rank {rank} is outside the table")
+
+
+def _search(rows: DataFrame, rank: int, shape: _Shape, counts: dict | None = None) -> Cut:
+    """The row (s, i) at a descending rank.
+
+    Exact. Each step takes approximate quantiles as split points, counts the rows on and between
+    them in one aggregation, and goes on in the one interval that holds the rank. A value held by
+    many rows soon becomes a split point itself; the search then goes on among the ids.
+    """
+    while shape.rows > CUT_ROWS:
+        splits = shape.splits
+        slot, exact, above = _locate(counts or _slot_counts(rows, splits), splits, rank)
+        here = (counts or {}).get((slot, exact))
+        counts = None
+        rank -= above
+        if exact:
+            value = splits[slot]
+            tied = rows.filter(F.col("s") == F.lit(value))
+            ids = tied.select(F.col("i").alias("s"), "i")
+            if here is not None and here <= CUT_ROWS:
+                return Cut(value, _search(ids, rank, _Shape(here, ())).identity)
+            among = _shape(ids)
+            if among.splits[0] == among.splits[-1]:  # rows that share the id as well
+                return Cut(value, among.splits[0])
+            return Cut(value, _search(ids, rank, among).identity)
+        rows = rows.filter((F.col("s") > F.lit(splits[slot])) & (F.col("s") < F.lit(splits[slot + 1])))
+        shape = _Shape(here, ()) if here is not None and here <= CUT_ROWS else _shape(rows)
+    ordered = sorted(((r["s"], r["i"]) for r in rows.collect()), reverse=True)
+    if not 1 <= rank <= len(ordered):
+        raise ValueError(f"rank {rank} is outside the table")
+    return Cut(*ordered[rank - 1])
+
+
+def find_cuts(
+    df: DataFrame, score: str, identity: str, ranks: Callable[[int], list[int]]
+) -> tuple[int, list[Cut | None]]:
+    """The number of rows and the rows at the ranks that ``ranks`` names for that number.
+
+    A rank of 0 or of the last row needs no cut and yields None.
+    """
+    rows = df.select(F.col(score).alias("s"), F.col(identity).alias("i")).filter("s is not null")
+    shape = _shape(rows)
+    wanted = ranks(shape.rows)
+    open_ranks = [r for r in wanted if 0 < r < shape.rows]
+    counts = _slot_counts(rows, shape.splits) if open_ranks and shape.rows > CUT_ROWS else None
+    cuts = [
+        _search(rows, r, shape, counts) if 0 < r < shape.rows else None for r in wanted
+    ]
+    return shape.rows, cuts
+
+
+def kth_largest(df: DataFrame, column: str, rank: int):
+    """The value at a 1-based descending rank."""
+    rows = df.select(F.col(column).alias("s"), F.lit(0).alias("i")).filter("s is not null")
+    return _search(rows, rank, _shape(rows)).score
 
 
 def _between_ranks(
-    df: DataFrame, score: str, identity: str, after: int, through: int, total: int
+    df: DataFrame, score: str, identity: str, ends: Callable[[int], tuple[int, int]]
 ) -> DataFrame:
     """Rows with ``after < rank <= through`` by (score desc, id desc)."""
+    total, (lower, upper) = find_cuts(df, score, identity, lambda n: list(ends(n)))
+    after, through = ends(total)
     if through <= after:
         return df.filter(F.lit(False))
     kept = df.filter(F.col(score).isNotNull())
-    if through < total:
-        kept = kept.filter(find_cut(df, score, identity, through).at_or_above(score, identity))
-    if after > 0:
-        kept = kept.filter(~find_cut(df, score, identity, after).at_or_above(score, identity))
+    if upper is not None:
+        kept = kept.filter(upper.at_or_above(score, identity))
+    if lower is not None:
+        kept = kept.filter(~lower.at_or_above(score, identity))
     return kept
 
 
@@ -209,17 +249,18 @@ def rank_band(
     """
     if not 0 <= low <= high <= 1:
         raise ValueError("need 0 <= low <= high <= 1")
-    total = df.filter(F.col(score).isNotNull()).count()
-    through = int(high * total)
-    if mode == "exact":
-        after = math.floor(low * total)
-    elif mode == "reference":
-        if through < 1:
-            raise ValueError("this band is empty at its upper end; the reference formula needs int(high*n) >= 1")
-        after = int(low * total + 1)
-    else:
+    if mode not in ("exact", "reference"):
         raise ValueError(f"unknown mode {mode!r}")
-    return _between_ranks(df, score, identity, after, through, total)
+
+    def ends(n: int) -> tuple[int, int]:
+        through = int(high * n)
+        if mode == "exact":
+            return int(low * n), through
+        if through < 1:
+            raise ValueError("the reference formula needs int(high*n) >= 1")
+        return min(int(low * n + 1), n), through
+
+    return _between_ranks(df, score, identity, ends)
 
 
 def chained_bands(
@@ -233,8 +274,7 @@ def chained_bands(
 
 def top_fraction(df: DataFrame, score: str, identity: str, fraction: float) -> DataFrame:
     """The ``int(n * fraction)`` rows with the highest score; none when that is zero."""
-    total = df.filter(F.col(score).isNotNull()).count()
-    return _between_ranks(df, score, identity, 0, min(int(total * fraction), total), total)
+    return _between_ranks(df, score, identity, lambda n: (0, min(int(n * fraction), n)))
 
 
 def random_fraction(df: DataFrame, identity: str, fraction: float, seed: int) -> DataFrame:
