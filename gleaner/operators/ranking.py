@@ -176,22 +176,23 @@ def _search(rows: DataFrame, rank: int, shape: _Shape, counts: dict | None = Non
     """
     while shape.rows > CUT_ROWS:
         splits = shape.splits
-        slot, exact, above = _locate(counts or _slot_counts(rows, splits), splits, rank)
-        here = (counts or {}).get((slot, exact))
+        counts = counts or _slot_counts(rows, splits)
+        slot, exact, above = _locate(counts, splits, rank)
+        here = counts[(slot, exact)]
         counts = None
         rank -= above
         if exact:
             value = splits[slot]
             tied = rows.filter(F.col("s") == F.lit(value))
             ids = tied.select(F.col("i").alias("s"), "i")
-            if here is not None and here <= CUT_ROWS:
+            if here <= CUT_ROWS:
                 return Cut(value, _search(ids, rank, _Shape(here, ())).identity)
             among = _shape(ids)
             if among.splits[0] == among.splits[-1]:  # rows that share the id as well
                 return Cut(value, among.splits[0])
             return Cut(value, _search(ids, rank, among).identity)
         rows = rows.filter((F.col("s") > F.lit(splits[slot])) & (F.col("s") < F.lit(splits[slot + 1])))
-        shape = _Shape(here, ()) if here is not None and here <= CUT_ROWS else _shape(rows)
+        shape = _Shape(here, ()) if here <= CUT_ROWS else _shape(rows)
     ordered = sorted(((r["s"], r["i"]) for r in rows.collect()), reverse=True)
     if not 1 <= rank <= len(ordered):
         raise ValueError(f"rank {rank} is outside the table")
