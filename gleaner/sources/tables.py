@@ -76,12 +76,19 @@ def make_file_list(files: DataFrame, class_name: str = "class_name", file_name:
     )
 
 
-def read_prob_history(spark: SparkSession, path: str) -> DataFrame:
+# The first number in the last part of a path.
+FIRST_NUMBER_IN_NAME = r"^(?:.*/)?[^/0-9]*(\d+)[^/]*$"
+
+
+def read_prob_history(
+    spark: SparkSession, path: str, epoch_pattern: str = FIRST_NUMBER_IN_NAME
+) -> DataFrame:
     """(epoch, sample_id, prob): one text file per epoch, one probability per line, line number =
-    sample. The epoch is the first number in the file name."""
+    sample. ``epoch_pattern`` finds the epoch in the file's path, by default the first number in
+    its name; a table written by epoch has it in the folder."""
     lines = materialize(
         spark.read.text(path).select(
-            F.regexp_extract(F.col("_metadata.file_name"), r"\d+", 0).cast("int").alias("epoch"),
+            F.regexp_extract(F.col("_metadata.file_path"), epoch_pattern, 1).cast("int").alias("epoch"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_place"),
             F.col("value").cast("double").alias("prob"),

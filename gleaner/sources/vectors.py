@@ -8,19 +8,30 @@ A file is read in ranges of rows, each range its own task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    InputPartition,
+    WriterCommitMessage,
+)
+
+from gleaner.functions.vectors import matrix
 from gleaner.sources.files import list_files, open_filesystem
 
 # Bytes of one read range and rows of one Arrow batch.
 RANGE_BYTES = 128 * 1024 * 1024
 BATCH_ROWS = 10000
+# Rows of one written file.
+FILE_ROWS = 100_000
 
 
 @dataclass
@@ -95,8 +106,45 @@ class _VectorReader(DataSourceReader):
                 )
 
 
+class _VectorWriter(DataSourceArrowWriter):
+    """Writes the vectors of a task as files of at most ``rows_per_file`` rows. A file gets its
+    final name when it is whole; a task that runs again replaces it."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+        self.rows_per_file = int(options.get("rows_per_file", FILE_ROWS))
+
+    def write(self, batches) -> WriterCommitMessage:
+        system, inner = open_filesystem(self.path)
+        system.create_dir(inner, recursive=True)
+        task = TaskContext.get().partitionId()
+        held, files = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, self.rows_per_file):
+                held.append(matrix(batch.column(0).slice(start, self.rows_per_file)))
+                while sum(len(h) for h in held) >= self.rows_per_file:
+                    rows = np.concatenate(held)
+                    self._save(system, inner, task, files, rows[: self.rows_per_file])
+                    held, files = [rows[self.rows_per_file :]], files + 1
+        rest = np.concatenate(held) if held else np.empty((0, 0))
+        if len(rest):
+            self._save(system, inner, task, files, rest)
+        return WriterCommitMessage()
+
+    def _save(self, system, inner: str, task: int, number: int, rows: np.ndarray) -> None:
+        name = f"{task:06d}_{number:04d}.npy"
+        temporary = f"{inner}/.{name}-{uuid.uuid4().hex}"
+        with system.open_output_stream(temporary) as f:
+            np.lib.format.write_array(f, np.ascontiguousarray(rows), allow_pickle=False)
+        system.move(temporary, f"{inner}/{name}")
+
+    def abort(self, messages) -> None:
+        pass
+
+
 class VectorFiles(DataSource):
-    """The ``vector_files`` format. Options: ``flat`` (one number per row), ``range_bytes``."""
+    """The ``vector_files`` format. Options: ``flat`` (one number per row), ``range_bytes``,
+    ``rows_per_file``."""
 
     @classmethod
     def name(cls) -> str:
@@ -112,6 +160,9 @@ class VectorFiles(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _VectorReader(dict(self.options), self._flat())
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _VectorWriter(dict(self.options))
+
 
 def read_embeddings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Vectors in name order: parquet tables, or ``.npy`` folders with ``fmt="npy"``."""
@@ -127,3 +178,11 @@ def read_scores(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
         return spark.read.parquet(path)
     spark.dataSource.register(VectorFiles)
     return spark.read.format("vector_files").option("flat", "true").load(path)
+
+
+def write_embeddings(df: DataFrame, path: str, embedding: str = "embedding", rows_per_file: int = FILE_ROWS) -> None:
+    """Write the vectors as ``.npy`` files, in the order and partitions of ``df``."""
+    spark = df.sparkSession
+    spark.dataSource.register(VectorFiles)
+    writer = df.select(embedding).write.format("vector_files").mode("append")
+    writer.option("rows_per_file", rows_per_file).save(path)

@@ -57,7 +57,9 @@ def keep_first_arrivals(
         found = fresh if found is None else found.unionByName(fresh)
         near = max_similarity_to(rest, fresh, cluster, identity, embedding, block_rows)
         rest = materialize(
-            rest.join(near.filter(F.col("max_sim") <= threshold), identity, "left_semi").select(columns),
+            rest.join(near.filter(F.col("max_sim") <= threshold), identity, "left_semi")
+            .join(fresh.select(identity), identity, "left_anti")
+            .select(columns),
             "arrivals",
         )
     return found if found is not None else rest
