@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The file suffixes that count as an image, in order of preference, and the
 # suffix of the caption.
@@ -118,7 +119,7 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape_twice(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(html.unescape(t)) if t and "&" in t else t)
 
