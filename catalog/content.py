@@ -70,7 +70,7 @@ def read_embeddings_npy(spark, sf):
 
     path = scratch_path(spark, "npy")
     ordered = vectors(spark, sf).repartitionByRange(4, "id").sortWithinPartitions("id")
-    vector_files.write_embeddings(ordered, path, rows_per_file=60)
+    vector_files.write_embeddings(ordered, path, rows_per_file=300)
     rows = vector_files.read_embeddings(spark, path, "npy")
     starts = materialize(row_offsets(rows, "file"), "offsets").select("file", "start")
     return rows.join(starts, "file").select((F.col("start") + F.col("row_id")).alias("position"), *_entries(rows))
@@ -187,9 +187,10 @@ def read_archives(spark, sf):
 
 
 def _unescape_sql(text):
-    """The entities of the test pages. Their ampersands never form a further entity."""
-    for entity, plain in [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
-        text = f"replace({text}, '{entity}', '{plain}')"
+    """The entities of the test pages, some cut off before the semicolon, resolved twice."""
+    for _ in range(2):
+        for name, plain in [("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")]:
+            text = f"regexp_replace({text}, '&{name};?', '{plain}', 'g')"
     return text
 
 

@@ -38,18 +38,26 @@ def query(name, sql=None):
 # --- rank bands -----------------------------------------------------------------------------
 
 
+# Order and line number repeat in the test table; with part and supplier they do not.
+LINE_ID_SQL = "((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber"
+
+
+def line_id():
+    return F.expr(LINE_ID_SQL)
+
+
 def lines(spark, sf):
     """(id, price, quantity, flag) of every line item."""
     return table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        line_id().alias("id"),
         F.col("l_extendedprice").alias("price"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_returnflag").alias("flag"),
     )
 
 
-LINES_SQL = """
-line AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice AS price, l_quantity AS quantity,
+LINES_SQL = f"""
+line AS (SELECT {LINE_ID_SQL} AS id, l_extendedprice AS price, l_quantity AS quantity,
     l_returnflag AS flag FROM lineitem)"""
 
 
@@ -240,14 +248,15 @@ def coreset_semi_join(spark, sf):
 
 @query(
     "first_by_key",
-    """SELECT l_partkey AS key, l_orderkey AS shard, l_linenumber AS position, l_extendedprice AS price
-       FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1""",
+    """SELECT l_partkey AS key, l_orderkey AS shard, l_suppkey * 10 + l_linenumber AS position,
+         l_extendedprice AS price FROM lineitem
+       QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_suppkey * 10 + l_linenumber) = 1""",
 )
 def first_by_key(spark, sf):
     samples = table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("key"),
         F.col("l_orderkey").alias("shard"),
-        F.col("l_linenumber").alias("position"),
+        (F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("position"),
         F.col("l_extendedprice").alias("price"),
     )
     return joins.first_by_key(samples, "key", ["shard", "position"])
@@ -311,7 +320,7 @@ def real_accuracy(spark, sf):
 def _logits(spark, sf):
     """(id, logits, label): four columns of a line item stand for the logits of a sample."""
     return table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        line_id().alias("id"),
         F.array(
             F.col("l_quantity") / 10, F.col("l_discount") * 50, F.col("l_tax") * 40, F.col("l_linenumber").cast("double")
         ).alias("logits"),
@@ -319,8 +328,8 @@ def _logits(spark, sf):
     )
 
 
-LOGITS_SQL = """
-lg AS (SELECT l_orderkey * 10 + l_linenumber AS id,
+LOGITS_SQL = f"""
+lg AS (SELECT {LINE_ID_SQL} AS id,
     [l_quantity / 10, l_discount * 50, l_tax * 40, l_linenumber::DOUBLE] AS z, l_linenumber % 4 AS label FROM lineitem)"""
 
 

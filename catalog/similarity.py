@@ -332,12 +332,12 @@ def exclude_clusters(spark, sf):
     with_sql(
         BASE_SQL,
         select="""SELECT id, cluster_id FROM vec WHERE cluster_id NOT IN
-            (SELECT cluster_id FROM vec GROUP BY 1 HAVING count(*) > 50)""",
+            (SELECT cluster_id FROM vec GROUP BY 1 HAVING count(*) > (SELECT count(*) // 10 FROM vec))""",
     ),
 )
 def exclude_oversize_clusters(spark, sf):
     rows = vectors(spark, sf).select("id", "cluster_id")
-    return dedup.exclude_clusters(rows, dedup.oversize_clusters(rows, 50))
+    return dedup.exclude_clusters(rows, dedup.oversize_clusters(rows, rows.count() // 10))
 
 
 @query("cluster_sizes", "SELECT label AS cluster_id, count(*) AS n_rows FROM embeddings GROUP BY 1")
