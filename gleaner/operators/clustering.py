@@ -49,7 +49,7 @@ class _Block:
         self.squares = np.einsum("ij,ij->i", self.matrix, self.matrix)
 
 
-def _blocks(centroids: DataFrame, limit: int) -> Iterator[_Block]:
+def centroid_blocks(centroids: DataFrame, limit: int) -> Iterator[_Block]:
     """The centroid table in blocks of bounded size, in id order."""
     shape = centroids.agg(
         F.count(F.lit(1)).alias("k"), F.max(F.size("centroid")).alias("dim")
@@ -95,7 +95,7 @@ def assign_clusters(
     ``centroid_cosine`` (to the normalised one). A map over Arrow batches: no shuffle. Select the
     columns you need first.
     """
-    blocks = _blocks(centroids, limit)
+    blocks = centroid_blocks(centroids, limit)
     first = next(blocks)
     result = _nearest(df, first, embedding)
     for block in blocks:
@@ -170,7 +170,7 @@ def centroid_geometry(
     Rows whose cluster has no centroid are dropped, as in an inner join.
     """
     results = None
-    for block in _blocks(centroids, limit):
+    for block in centroid_blocks(centroids, limit):
         # One block holds a range of cluster ids; its rows are found by a filter on that range.
         part = df.filter(F.col(cluster).between(int(block.ids[0]), int(block.ids[-1])))
         measured = _own_geometry(part, block, cluster, embedding)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,25 +34,43 @@ def order_value(order: str | Column, identity: str = "id", seed: int = 0) -> Col
     raise ValueError(f"unknown order {order!r}")
 
 
-def _collapse(df: DataFrame, cluster: str, identity: str, embedding: str):
+@dataclass(frozen=True)
+class _Collapsed:
+    """Rows to compare, their number per cluster, and the copies that need no comparison (None if
+    the table has none)."""
+
+    distinct: DataFrame
+    sizes: DataFrame
+    copies: DataFrame | None
+
+
+def _collapse(df: DataFrame, cluster: str, identity: str, embedding: str) -> _Collapsed:
     """Split exact copies from the rows that have to be compared.
 
     Of equal vectors in a cluster only the first stays; the others are fully described by it
-    (their similarity to it is 1, the highest there is). One narrow aggregation finds them, and a
-    group of copies of any size leaves one row for the tiles. Expects the column ``_order``.
-    Returns (rows to compare, copies with ``_first``).
+    (their similarity to it is 1, the highest there is). Digests are written once as narrow rows,
+    from which copies and sizes follow without the vectors; a group of copies of any size leaves
+    one row for the tiles. Expects the column ``_order``; copies carry the id of their first row
+    as ``_first``.
     """
     keyed = df.withColumn("_digest", content_hash(embedding))
+    digests = materialize(keyed.select(cluster, identity, "_order", "_digest"), "digests")
     firsts = (
-        keyed.groupBy(cluster, "_digest")
+        digests.groupBy(cluster, "_digest")
         .agg(F.min(F.struct("_order", identity)).alias("_lead"), F.count(F.lit(1)).alias("_copies"))
         .filter("_copies > 1")
         .select(cluster, "_digest", F.col("_lead")[identity].alias("_first"))
     )
-    marked = keyed.join(materialize(firsts, "copies"), [cluster, "_digest"], "left").drop("_digest")
-    distinct = marked.filter(F.col("_first").isNull() | (F.col("_first") == F.col(identity)))
-    copies = marked.filter(F.col("_first") != F.col(identity))
-    return distinct.drop("_first"), copies.select(cluster, identity, "_first")
+    firsts = materialize(firsts, "copies")
+    if firsts.isEmpty():
+        return _Collapsed(df, tiles.cluster_rows(digests, cluster), None)
+    is_copy = F.col("_first").isNotNull() & (F.col("_first") != F.col(identity))
+    marked = digests.join(firsts, [cluster, "_digest"], "left")
+    return _Collapsed(
+        keyed.join(firsts, [cluster, "_digest"], "left").filter(~is_copy).drop("_digest", "_first"),
+        tiles.cluster_rows(marked.filter(~is_copy), cluster),
+        marked.filter(is_copy).select(cluster, identity, "_first"),
+    )
 
 
 def semdedup_score(
@@ -71,14 +91,16 @@ def semdedup_score(
         .withColumn("_order", order_value(order, identity, seed))
         .select(cluster, identity, embedding, "_order")
     )
-    distinct, copies = _collapse(ready, cluster, identity, embedding)
+    split = _collapse(ready, cluster, identity, embedding)
     kind = df.schema[identity].dataType.simpleString()
     partial = tiles.self_tiles(
-        distinct, cluster, identity, embedding, "_order", tiles.earlier_maxima,
-        f"_id {kind}, _best double", block_rows,
+        split.distinct, cluster, identity, embedding, "_order", tiles.earlier_maxima,
+        f"_id {kind}, _best double", block_rows, split.sizes,
     )
     compared = partial.groupBy(F.col("_id").alias(identity)).agg(F.max("_best").alias("semdedup_score"))
-    return compared.unionByName(copies.select(identity, F.lit(1.0).alias("semdedup_score")))
+    if split.copies is None:
+        return compared
+    return compared.unionByName(split.copies.select(identity, F.lit(1.0).alias("semdedup_score")))
 
 
 def distance_rank(
@@ -170,16 +192,16 @@ def similarity_edges(
     ready = drop_zero_vectors(df, embedding).select(
         cluster, identity, embedding, F.lit(0.0).alias("_order")
     )
-    distinct, copies = _collapse(ready, cluster, identity, embedding)
+    split = _collapse(ready, cluster, identity, embedding)
     kind, own = (df.schema[c].dataType.simpleString() for c in (cluster, identity))
     near = tiles.self_tiles(
-        distinct, cluster, identity, embedding, None, tiles.pairs_above(threshold),
-        f"cluster_id {kind}, src {own}, dst {own}, sim double", block_rows,
+        split.distinct, cluster, identity, embedding, None, tiles.pairs_above(threshold),
+        f"cluster_id {kind}, src {own}, dst {own}, sim double", block_rows, split.sizes,
     )
-    if threshold >= 1:
+    if threshold >= 1 or split.copies is None:
         return near
     return near.unionByName(
-        copies.select(
+        split.copies.select(
             F.col(cluster).alias("cluster_id"),
             F.col("_first").alias("src"),
             F.col(identity).alias("dst"),
@@ -204,15 +226,15 @@ def linking_edges(
     ready = drop_zero_vectors(df, embedding).select(
         cluster, identity, embedding, F.lit(0.0).alias("_order")
     )
-    distinct, copies = _collapse(ready, cluster, identity, embedding)
+    split = _collapse(ready, cluster, identity, embedding)
     own = df.schema[identity].dataType.simpleString()
     links = tiles.self_tiles(
-        distinct, cluster, identity, embedding, None, tiles.forest_above(threshold),
-        f"src {own}, dst {own}", block_rows,
+        split.distinct, cluster, identity, embedding, None, tiles.forest_above(threshold),
+        f"src {own}, dst {own}", block_rows, split.sizes,
     )
-    if threshold >= 1:
+    if threshold >= 1 or split.copies is None:
         return links
-    return links.unionByName(copies.select(F.col("_first").alias("src"), F.col(identity).alias("dst")))
+    return links.unionByName(split.copies.select(F.col("_first").alias("src"), F.col(identity).alias("dst")))
 
 
 def max_similarity_to(

@@ -14,8 +14,15 @@ from gleaner.functions.captions import has_caption_and_image
 from gleaner.functions.probabilities import top_classes
 from gleaner.functions.vectors import COMPARE_DECIMALS, cosine, l2_normalize, matrix, unit_rows
 from gleaner.operators import tiles
-from gleaner.operators.clustering import BROADCAST_BYTES, STRIP_ENTRIES, drop_zero_vectors, mean_vectors
+from gleaner.operators.clustering import (
+    BROADCAST_BYTES,
+    STRIP_ENTRIES,
+    centroid_blocks,
+    drop_zero_vectors,
+    mean_vectors,
+)
 from gleaner.operators.joins import membership
+from gleaner.storage import materialize
 
 # Fixed value: logits are this many times the cosine.
 LOGIT_SCALE = 100.0
@@ -37,17 +44,21 @@ def zero_shot_logits(
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``images`` without vectors, with ``logits``: 100 times the cosine to each class prototype,
-    classes in label order. The prototypes must fit the broadcast bound."""
-    shape = prototypes.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("prototype")).alias("dim")).first()
-    if not shape["k"]:
-        raise ValueError("no prototypes")
-    if shape["k"] * shape["dim"] * 8 > limit:
-        raise ValueError("the class prototypes exceed the broadcast bound; raise the limit")
-    table = np.array(
-        [r["prototype"] for r in prototypes.orderBy(label).select("prototype").collect()]
-    )
-    shared = images.sparkSession.sparkContext.broadcast(table)
-    kept = [f for f in images.schema.fields if f.name != embedding]
+    classes in label order. Prototypes beyond the broadcast bound go out in blocks, one pass each."""
+    table = prototypes.select(F.col(label).alias("cluster_id"), F.col("prototype").alias("centroid"))
+    result = drop_zero_vectors(images, embedding)
+    for number, block in enumerate(centroid_blocks(table, limit)):
+        if number:
+            result = materialize(result, "logits")
+        result = _add_logits(result, block.matrix, embedding)
+    return result.drop(embedding)
+
+
+def _add_logits(images: DataFrame, prototypes: np.ndarray, embedding: str) -> DataFrame:
+    """Append the logits of these classes to those already there."""
+    shared = images.sparkSession.sparkContext.broadcast(prototypes)
+    kept = [f for f in images.schema.fields if f.name != "logits"]
+    continued = "logits" in images.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
@@ -57,6 +68,8 @@ def zero_shot_logits(
                 batch = whole.slice(start, step)
                 logits = LOGIT_SCALE * (unit_rows(matrix(batch.column(embedding))) @ classes.T)
                 logits = np.round(logits, COMPARE_DECIMALS)
+                if continued:
+                    logits = np.hstack([matrix(batch.column("logits")), logits])
                 ends = pa.array(np.arange(len(logits) + 1, dtype=np.int32) * logits.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(f.name) for f in kept]
@@ -65,7 +78,7 @@ def zero_shot_logits(
                 )
 
     schema = T.StructType(kept + [T.StructField("logits", T.ArrayType(T.DoubleType()))])
-    return drop_zero_vectors(images, embedding).mapInArrow(work, schema)
+    return images.mapInArrow(work, schema)
 
 
 def topk_accuracy(scored: DataFrame, label: str = "label", ks: tuple[int, ...] = (1, 5)) -> DataFrame:

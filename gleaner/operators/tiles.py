@@ -26,10 +26,14 @@ BLOCK_ROWS = 8192
 STRIP_ENTRIES = 8_000_000
 
 
-def block_counts(df: DataFrame, cluster: str, block_rows: int) -> DataFrame:
+def cluster_rows(df: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, _rows)."""
+    return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def block_counts(sizes: DataFrame, cluster: str, block_rows: int) -> DataFrame:
     """Clusters that need more than one block, and how many. Written once, so that Spark knows
     its size when it plans the join."""
-    sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("_rows"))
     blocks = sizes.select(cluster, F.ceil(F.col("_rows") / F.lit(block_rows)).cast("int").alias("_blocks"))
     return materialize(blocks.filter("_blocks > 1"), "blocks")
 
@@ -56,10 +60,12 @@ def self_tiles(
     work: Callable[[pa.Table], pa.Table],
     schema: str,
     block_rows: int = BLOCK_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``work`` on every unordered pair of blocks of every cluster.
 
-    ``work`` gets the columns ``_id``, ``_order``, ``_vector``, ``_side`` (0 left, 1 right; all 0
+    ``sizes`` gives the rows of each cluster where they are known from narrow columns, so that
+    the vectors are not read for counting. ``work`` gets the columns ``_id``, ``_order``, ``_vector``, ``_side`` (0 left, 1 right; all 0
     on a diagonal tile) and ``_cluster``.
     """
     narrow = df.select(
@@ -68,7 +74,8 @@ def self_tiles(
         (F.col(order) if order else F.lit(0.0)).cast("double").alias("_order"),
         F.col(embedding).alias("_vector"),
     )
-    blocks = block_counts(narrow, "_cluster", block_rows)
+    counted = sizes.withColumnRenamed(cluster, "_cluster") if sizes is not None else cluster_rows(narrow, "_cluster")
+    blocks = block_counts(counted, "_cluster", block_rows)
     placed = _with_block(narrow, "_cluster", "_id", blocks)
     paired = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     tiles = paired.select(
@@ -97,8 +104,9 @@ def cross_tiles(
     Both inputs have the columns ``_cluster``, ``_id``, ``_order`` and ``_vector``. A cluster
     found on one side only still yields its left rows, against an empty right side.
     """
-    left_blocks = block_counts(left, "_cluster", block_rows)
-    right_blocks = block_counts(right, "_cluster", block_rows)
+    left_blocks, right_blocks = (
+        block_counts(cluster_rows(side, "_cluster"), "_cluster", block_rows) for side in (left, right)
+    )
 
     def placed(df: DataFrame, own: DataFrame, other: DataFrame) -> DataFrame:
         counts = other.select("_cluster", F.col("_blocks").alias("_facing"))

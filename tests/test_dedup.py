@@ -237,3 +237,16 @@ def test_plans_keep_a_subset(spark):
     for kept in (by_score, by_graph):
         found = [r["id"] for r in kept.collect()]
         assert found and len(set(found)) == len(found) and set(found) < set(range(200))
+
+
+def test_logits_in_blocks(spark):
+    from gleaner.operators import evaluation
+
+    v = random_vectors(60)
+    df = rows(spark, v, cluster=[i % 6 for i in range(60)]).select("id", "embedding", F.col("cluster_id").alias("label"))
+    prototypes = evaluation.class_prototypes(df, "label")
+    whole = evaluation.zero_shot_logits(df, prototypes)
+    parts = evaluation.zero_shot_logits(df, prototypes, limit=2 * 8 * 8)
+    a, b = ({r["id"]: r["logits"] for r in d.collect()} for d in (whole, parts))
+    assert a.keys() == b.keys() and all(np.allclose(a[i], b[i]) for i in a)
+    assert all(len(x) == 6 for x in a.values())
