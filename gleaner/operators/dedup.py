@@ -81,10 +81,13 @@ def semdedup_score(
     embedding: str = "embedding",
     seed: int = 0,
     block_rows: int = tiles.BLOCK_ROWS,
+    floor: float | None = None,
 ) -> DataFrame:
     """(id, semdedup_score): the highest similarity of a row to a row before it in its cluster.
 
-    Clipped at 0; the first row of a cluster scores 0. Zero vectors are left out.
+    Clipped at 0; the first row of a cluster scores 0. Zero vectors are left out. With a
+    ``floor``, scores at or below it are reported as the floor, which lets large clusters be
+    compared in part; thresholds from the floor upward give the same rows.
     """
     ready = (
         drop_zero_vectors(df, embedding)
@@ -95,9 +98,10 @@ def semdedup_score(
     kind = df.schema[identity].dataType.simpleString()
     partial = tiles.self_tiles(
         split.distinct, cluster, identity, embedding, "_order", tiles.earlier_maxima,
-        f"_id {kind}, _best double", block_rows, split.sizes,
+        f"_id {kind}, _best double", block_rows, split.sizes, floor,
     )
-    compared = partial.groupBy(F.col("_id").alias(identity)).agg(F.max("_best").alias("semdedup_score"))
+    best = F.max("_best") if floor is None else F.greatest(F.max("_best"), F.lit(float(floor)))
+    compared = partial.groupBy(F.col("_id").alias(identity)).agg(best.alias("semdedup_score"))
     if split.copies is None:
         return compared
     return compared.unionByName(split.copies.select(identity, F.lit(1.0).alias("semdedup_score")))
@@ -124,9 +128,10 @@ def score_table(
     embedding: str = "embedding",
     seed: int = 0,
     block_rows: int = tiles.BLOCK_ROWS,
+    floor: float | None = None,
 ) -> DataFrame:
     """``df`` without its vectors, with ``semdedup_score`` and ``dis_rank``."""
-    scores = semdedup_score(df, order, cluster, identity, embedding, seed, block_rows)
+    scores = semdedup_score(df, order, cluster, identity, embedding, seed, block_rows, floor)
     ranks = distance_rank(drop_zero_vectors(df, embedding), order, cluster, identity, seed)
     return df.drop(embedding).join(scores, identity).join(ranks.drop(cluster), identity)
 
@@ -196,7 +201,7 @@ def similarity_edges(
     kind, own = (df.schema[c].dataType.simpleString() for c in (cluster, identity))
     near = tiles.self_tiles(
         split.distinct, cluster, identity, embedding, None, tiles.pairs_above(threshold),
-        f"cluster_id {kind}, src {own}, dst {own}, sim double", block_rows, split.sizes,
+        f"cluster_id {kind}, src {own}, dst {own}, sim double", block_rows, split.sizes, threshold,
     )
     if threshold >= 1 or split.copies is None:
         return near
@@ -230,7 +235,7 @@ def linking_edges(
     own = df.schema[identity].dataType.simpleString()
     links = tiles.self_tiles(
         split.distinct, cluster, identity, embedding, None, tiles.forest_above(threshold),
-        f"src {own}, dst {own}", block_rows, split.sizes,
+        f"src {own}, dst {own}", block_rows, split.sizes, threshold,
     )
     if threshold >= 1 or split.copies is None:
         return links

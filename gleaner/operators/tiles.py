@@ -10,13 +10,15 @@ The rows of a tile never exceed two blocks, and the similarity matrix is formed
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gleaner.functions.keys import seeded_hash
 from gleaner.functions.vectors import COMPARE_DECIMALS, COMPARE_STEP, matrix, unit_rows
 from gleaner.storage import materialize
 
@@ -24,6 +26,18 @@ from gleaner.storage import materialize
 BLOCK_ROWS = 8192
 # Entries of a similarity matrix held at one time (64 MB of doubles).
 STRIP_ENTRIES = 8_000_000
+# Clusters of more blocks than this may be laid out around pivots when a threshold is known, with
+# up to this many pivots each, and no more clusters than this: 90 MB of pivots of 768 doubles.
+HOT_BLOCKS = 64
+PIVOTS = 900
+PIVOTS_PER_BLOCK = 4
+MAX_HOT = 16
+# A layout is used if it leaves at most this share of the pairs.
+WORTHWHILE = 0.7
+# The cell of rows that are near no pivot.
+APART = -1
+# Angles come out of arccos, which is coarse near 1 (about 1e-8 for the last bit of a double).
+ANGLE_SLACK = 1e-6
 
 
 def cluster_rows(df: DataFrame, cluster: str) -> DataFrame:
@@ -61,12 +75,15 @@ def self_tiles(
     schema: str,
     block_rows: int = BLOCK_ROWS,
     sizes: DataFrame | None = None,
+    threshold: float | None = None,
 ) -> DataFrame:
     """Run ``work`` on every unordered pair of blocks of every cluster.
 
     ``sizes`` gives the rows of each cluster where they are known from narrow columns, so that
-    the vectors are not read for counting. ``work`` gets the columns ``_id``, ``_order``, ``_vector``, ``_side`` (0 left, 1 right; all 0
-    on a diagonal tile) and ``_cluster``.
+    the vectors are not read for counting. With a ``threshold``, only similarities above it
+    matter, and block pairs of large clusters that cannot hold one are left out. ``work`` gets the
+    columns ``_id``, ``_order``, ``_vector``, ``_side`` (0 left, 1 right; all 0 on a diagonal
+    tile) and ``_cluster``.
     """
     narrow = df.select(
         F.col(cluster).alias("_cluster"),
@@ -76,9 +93,21 @@ def self_tiles(
     )
     counted = sizes.withColumnRenamed(cluster, "_cluster") if sizes is not None else cluster_rows(narrow, "_cluster")
     blocks = block_counts(counted, "_cluster", block_rows)
-    placed = _with_block(narrow, "_cluster", "_id", blocks)
-    paired = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    tiles = paired.select(
+    hot = _hot_clusters(blocks) if threshold is not None else []
+    laid_out, around = _around_pivots(narrow, hot, threshold, block_rows) if hot else ([], None)
+    rest = narrow.filter(~F.col("_cluster").isin(laid_out)) if laid_out else narrow
+    placed = _with_block(rest, "_cluster", "_id", blocks)
+    tiles = _facing(placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))))
+    if laid_out:
+        tiles = tiles.unionByName(_facing(around))
+    return (
+        _spread(tiles, "_cluster").groupBy("_cluster", "_left", "_right").applyInArrow(work, schema)
+    )
+
+
+def _facing(paired: DataFrame) -> DataFrame:
+    """One row per tile a row takes part in, from its ``_block`` and the ``_other`` block."""
+    return paired.select(
         "_cluster",
         F.least("_block", "_other").alias("_left"),
         F.greatest("_block", "_other").alias("_right"),
@@ -87,9 +116,122 @@ def self_tiles(
         "_order",
         "_vector",
     )
-    return (
-        _spread(tiles, "_cluster").groupBy("_cluster", "_left", "_right").applyInArrow(work, schema)
+
+
+def _hot_clusters(blocks: DataFrame) -> dict:
+    """The largest clusters of more than ``HOT_BLOCKS`` blocks, at most ``MAX_HOT``, with their
+    pivots. The others are compared in full, so the bound limits what is sent around, not what is
+    compared."""
+    large = blocks.filter(F.col("_blocks") > HOT_BLOCKS).orderBy(F.desc("_blocks"), "_cluster")
+    return {r["_cluster"]: min(PIVOTS_PER_BLOCK * r["_blocks"], PIVOTS) for r in large.limit(MAX_HOT).collect()}
+
+
+def _around_pivots(
+    narrow: DataFrame, hot: dict, threshold: float, block_rows: int
+) -> tuple[list, DataFrame | None]:
+    """Large clusters for which a layout around pivots pays, and their rows with the block of each
+    and, one row each, the blocks it must meet.
+
+    A few rows of each cluster serve as pivots, and every row joins the cell of its nearest
+    pivot. By the triangle inequality on angles, rows of two cells can only be similar if the
+    angle between the pivots is at most the radii of both cells plus the angle of the threshold.
+    Rows far from every pivot would make their cells wide; they form a cell of their own that
+    meets all others. Cells are cut into blocks by a hash of the id. A cluster whose cells nearly
+    all have to meet is left to plain blocks.
+    """
+    rows = narrow.filter(F.col("_cluster").isin(list(hot)))
+    # The rank limit is applied before the shuffle. At most PIVOTS rows of MAX_HOT clusters stay.
+    by_hash = Window.partitionBy("_cluster").orderBy(seeded_hash("_id", "pivot"), "_id")
+    first = rows.select("_cluster", "_id").withColumn("_n", F.row_number().over(by_hash))
+    first = materialize(first.filter(F.col("_n") <= PIVOTS), "pivots")
+    chosen = rows.join(first, ["_cluster", "_id"]).select("_cluster", "_n", "_vector").collect()
+    pivots: dict = {}
+    for r in sorted(chosen, key=lambda r: r["_n"]):
+        if r["_n"] <= hot[r["_cluster"]]:
+            pivots.setdefault(r["_cluster"], []).append(r["_vector"])
+    pivots = {c: unit_rows(np.array(v)) for c, v in pivots.items()}
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+    near = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = unit_rows(matrix(batch.column("_vector")))
+            own = np.array(batch.column("_cluster").to_pylist())
+            cell = np.zeros(len(own), dtype=np.int32)
+            sim = np.zeros(len(own))
+            for c in np.unique(own):
+                here = np.flatnonzero(own == c)
+                sims = vectors[here] @ shared.value[c.item()].T
+                cell[here] = sims.argmax(axis=1)
+                sim[here] = sims.max(axis=1)
+            angle = np.arccos(np.clip(sim, -1.0, 1.0))
+            cell[angle > near] = APART
+            yield pa.RecordBatch.from_arrays(
+                batch.columns + [pa.array(cell), pa.array(angle)], batch.schema.names + ["_cell", "_angle"]
+            )
+
+    schema = T.StructType(
+        rows.schema.fields + [T.StructField("_cell", T.IntegerType()), T.StructField("_angle", T.DoubleType())]
+    )
+    # Written, so that the cells and the radii taken from them belong together.
+    celled = materialize(rows.mapInArrow(nearest, schema), "cells")
+    cells = (
+        celled.groupBy("_cluster", "_cell")
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("_angle").alias("radius"))
+        .orderBy("_cluster", "_cell")
+        .collect()  # one row per pivot
     )
+    layout, laid_out = [], []
+    for c in pivots:
+        own = [r for r in cells if r["_cluster"] == c]
+        meets = _cells_that_meet(own, pivots[c], threshold)
+        counts = np.array([r["rows"] for r in own], dtype=np.float64)
+        if counts @ meets @ counts <= WORTHWHILE * counts.sum() ** 2:
+            laid_out.append(c)
+            layout += [(c, *entry) for entry in _cell_layout(own, meets, block_rows)]
+    if not laid_out:
+        return [], None
+    kind = rows.schema["_cluster"].dataType.simpleString()
+    placement = rows.sparkSession.createDataFrame(
+        layout, f"_cluster {kind}, _cell int, _start int, _blocks int, _near array<struct<a:int,b:int>>"
+    )
+    block = F.col("_start") + F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")
+    others = F.flatten(F.transform("_near", lambda r: F.sequence(r["a"], r["b"])))
+    return laid_out, celled.join(placement, ["_cluster", "_cell"]).select(
+        "_cluster", "_id", "_order", "_vector", block.alias("_block"), F.explode(others).alias("_other")
+    )
+
+
+def _cells_that_meet(cells: list, pivots: np.ndarray, threshold: float) -> np.ndarray:
+    """For each pair of cells of one cluster, whether two of their rows could be similar."""
+    index = np.array([r["_cell"] for r in cells])
+    radius = np.array([r["radius"] for r in cells])
+    apart = np.arccos(np.clip(pivots[index] @ pivots[index].T, -1.0, 1.0))
+    reach = np.arccos(np.clip(threshold, -1.0, 1.0)) + ANGLE_SLACK
+    meets = apart <= radius[:, None] + radius[None, :] + reach
+    np.fill_diagonal(meets, True)
+    meets[index == APART, :] = True
+    meets[:, index == APART] = True
+    return meets
+
+
+def _cell_layout(cells: list, meets: np.ndarray, block_rows: int) -> list[tuple]:
+    """(cell, first block, blocks, ranges of blocks to meet) for the cells of one cluster."""
+    count = np.array([-(-r["rows"] // block_rows) for r in cells])
+    start = np.cumsum(count) - count
+    entries = []
+    for i, cell in enumerate(cells):
+        ranges: list[list[int]] = []
+        for j in np.flatnonzero(meets[i]):
+            first, last = int(start[j]), int(start[j] + count[j] - 1)
+            if ranges and ranges[-1][1] == first - 1:
+                ranges[-1][1] = last
+            else:
+                ranges.append([first, last])
+        entries.append((cell["_cell"], int(start[i]), int(count[i]), [tuple(r) for r in ranges]))
+    return entries
 
 
 def cross_tiles(

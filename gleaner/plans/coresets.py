@@ -27,15 +27,21 @@ def score_coreset(
     identity: str = "id",
     embedding: str = "embedding",
     block_rows: int = tiles.BLOCK_ROWS,
+    floor: float | None = None,
 ) -> DataFrame:
     """Assign, score, keep rows at or below the threshold, then a band of the pair score.
 
     Two tables are written: the assigned vectors, which every comparison reads, and the scores,
-    from which any other threshold can be served.
+    from which any other threshold (not below ``floor``, if one is given) can be served.
     """
+    if floor is not None and floor > threshold:
+        raise ValueError("the floor of the scores must not exceed the threshold")
     assigned = materialize(assign_clusters(rows, centroids, embedding), "assigned")
     scores = materialize(
-        score_table(assigned, order, "cluster_id", identity, embedding, block_rows=block_rows), "scores"
+        score_table(
+            assigned, order, "cluster_id", identity, embedding, block_rows=block_rows, floor=floor
+        ),
+        "scores",
     )
     kept = threshold_filter(scores, threshold)
     return chained_bands(kept, identity, [("clip_score", *band)], band_mode) if band else kept

@@ -51,7 +51,9 @@ def keep_first_arrivals(
     rest = materialize(rest, "arrivals")
     found = None
     while not rest.isEmpty():
-        scores = semdedup_score(rest, F.lit(0.0), cluster, identity, embedding, block_rows=block_rows)
+        scores = semdedup_score(
+            rest, F.lit(0.0), cluster, identity, embedding, block_rows=block_rows, floor=threshold
+        )
         first = scores.filter(F.col("semdedup_score") <= threshold).select(identity)
         fresh = materialize(rest.join(first, identity, "left_semi").select(columns), "kept")
         found = fresh if found is None else found.unionByName(fresh)

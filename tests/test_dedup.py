@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import clustering, components, dedup
+from gleaner.operators import clustering, components, dedup, tiles
 from gleaner.plans import coresets
 from gleaner.streaming import streams
 
@@ -250,3 +250,40 @@ def test_logits_in_blocks(spark):
     a, b = ({r["id"]: r["logits"] for r in d.collect()} for d in (whole, parts))
     assert a.keys() == b.keys() and all(np.allclose(a[i], b[i]) for i in a)
     assert all(len(x) == 6 for x in a.values())
+
+
+@pytest.fixture
+def pivots(monkeypatch):
+    """Clusters count as hot early, so that small tables are laid out around pivots."""
+    monkeypatch.setattr(tiles, "HOT_BLOCKS", 2)
+    monkeypatch.setattr(tiles, "PIVOTS", 12)
+    monkeypatch.setattr(tiles, "MAX_HOT", 2)
+    monkeypatch.setattr(tiles, "WORTHWHILE", 1.0)
+
+
+@pytest.mark.parametrize("spread", [0.03, 0.3])
+def test_pivots_leave_nothing_out(spark, pivots, spread):
+    """Links, edges and scores above the floor are the same with and without the layout."""
+    v = random_vectors(240, spread=spread)
+    cluster = [0 if i % 3 else i % 5 for i in range(240)]
+    df = rows(spark, v, cluster=cluster)
+    u = unit(v)
+    near = [
+        (i, j) for i in range(240) for j in range(i + 1, 240) if cluster[i] == cluster[j] and u[i] @ u[j] > 0.95
+    ]
+    edges = dedup.similarity_edges(df, 0.95, block_rows=10)
+    assert sorted((r["src"], r["dst"]) for r in edges.collect()) == near
+    whole = components.connected_components(df, dedup.linking_edges(df, 0.95))
+    parts = components.connected_components(df, dedup.linking_edges(df, 0.95, block_rows=10))
+    assert parts.exceptAll(whole).isEmpty() and parts.count() == 240
+    order = [-(240 - i) for i in range(240)]
+    expected = {i: max(s, 0.95) for i, s in brute_scores(v, order, cluster).items()}
+    assert scores(df, block_rows=10, floor=0.95) == expected
+
+
+def test_pivots_skip_cells_that_are_far_apart():
+    pivots = unit(np.array([[1, 0], [0.999, 0.04], [0, 1], [-1, 0.0]]))
+    cells = [{"_cell": i, "rows": 25, "radius": 0.1} for i in range(4)]
+    layout = tiles._cell_layout(cells, tiles._cells_that_meet(cells, pivots, 0.9), 10)
+    assert [entry[:3] for entry in layout] == [(0, 0, 3), (1, 3, 3), (2, 6, 3), (3, 9, 3)]
+    assert [entry[3] for entry in layout] == [[(0, 5)], [(0, 5)], [(6, 8)], [(9, 11)]]
