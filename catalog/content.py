@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from catalog.inputs import (
     BASE_SQL,
-    HISTORY_SQL,
     GRID_SQL,
+    HISTORY_SQL,
     SAMPLES_SQL,
     centroids,
     history,
@@ -18,9 +18,10 @@ from catalog.inputs import (
 )
 from gleaner.functions import captions
 from gleaner.operators import evaluation
+from gleaner.operators.joins import row_offsets
 from gleaner.sources import archives, tables
 from gleaner.sources import vectors as vector_files
-from gleaner.storage import scratch_path
+from gleaner.storage import materialize, scratch_path
 from gleaner.streaming import streams
 
 WINDOW = 5
@@ -65,9 +66,6 @@ def read_embeddings(spark, sf):
 def read_embeddings_npy(spark, sf):
     """Written as vector files in id order and read back in name order: (file, row) gives the
     global position through the row offsets."""
-    from gleaner.operators.joins import row_offsets
-    from gleaner.storage import materialize
-
     path = scratch_path(spark, "npy")
     ordered = vectors(spark, sf).repartitionByRange(4, "id").sortWithinPartitions("id")
     vector_files.write_embeddings(ordered, path, rows_per_file=300)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from gleaner.functions.keys import seeded_hash
 from gleaner.functions.vectors import content_hash
 from gleaner.operators import tiles
 from gleaner.operators.clustering import drop_zero_vectors
-from gleaner.operators.ranking import rank_in_group
+from gleaner.operators.ranking import kth_largest, rank_in_group, running_total
 from gleaner.storage import materialize
 
 
@@ -288,8 +289,6 @@ def keep_ratio(rows: DataFrame, kept: DataFrame, cluster: str = "cluster_id") ->
 
 def running_keep_ratio(ratios: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """The share kept over all clusters up to and including each one, in percent."""
-    from gleaner.operators.ranking import running_total
-
     per_cluster = ratios.filter(F.col(cluster).isNotNull()).select(cluster, "n_rows", "n_kept")
     rows = running_total(per_cluster, [F.col(cluster)], "n_rows", "total_rows")
     both = running_total(rows, [F.col(cluster)], "n_kept", "total_kept")
@@ -317,10 +316,6 @@ def threshold_sweep(
 
 def threshold_for_fraction(scores: DataFrame, fraction: float, score: str = "semdedup_score") -> float:
     """The lowest score at which at least ``fraction`` of the rows stays at or below it."""
-    import math
-
-    from gleaner.operators.ranking import kth_largest
-
     total = scores.filter(F.col(score).isNotNull()).count()
     wanted = max(1, math.ceil(fraction * total))
     return kth_largest(scores, score, total - wanted + 1)

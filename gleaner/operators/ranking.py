@@ -59,15 +59,20 @@ def rank_in_group(
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1
     )
+    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
     shifts = materialize(
         parts.select(
-            "_part",
-            *group,
-            (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+            F.col("_part").alias("_at"),
+            *[F.col(g).alias(f"_group_{i}") for i, g in enumerate(group)],
+            (before - F.col("_first")).alias("_shift"),
         ),
         "shifts",
     )
-    return laid.join(shifts, ["_part", *group]).select(
+    # Null is a group like any other.
+    same = F.col("_part") == F.col("_at")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_group_{i}"))
+    return laid.join(shifts, same).select(
         *df.columns, (F.col("_place") + F.col("_shift") + 1).alias(name)
     )
 

@@ -117,3 +117,10 @@ def test_random_samples_repeat(spark):
     assert len(one) == 250
     assert one == ids(ranking.random_fraction(df.repartition(7), "id", 0.25, seed=4))
     assert one != ids(ranking.random_fraction(df, "id", 0.25, seed=5))
+
+
+def test_null_is_a_group(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("g"))
+    ranked = ranking.rank_in_group(df, [F.col("id")], ["g"])
+    assert ranked.count() == 100
+    assert ranked.groupBy("g").agg(F.max("rank").alias("m")).filter("m <> 25").isEmpty()
