@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, mixing, quality, secrets, sharding
+from gleaner.llm import chat, mixing, neardup, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -157,3 +157,37 @@ SELECT conv_id, count(*) AS n_turns,
   sum(CASE WHEN role = 'assistant' OR pos = n THEN upto END)::BIGINT AS formatted_chars
 FROM summed GROUP BY conv_id
 """
+
+
+# --- 6 --------------------------------------------------------------------------------------
+
+
+@register
+def op6_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"), width=2, percent=80)
+
+
+# All pairs of texts that share a shingle, then the smallest id reachable.
+SQL["op6_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM g),
+e AS (SELECT doc_id, unnest(g) AS s FROM g),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
+  WHERE 100 * common >= 80 * (x.n + y.n - common)),
+r AS (
+  SELECT doc_id AS start, doc_id AS seen FROM n
+  UNION
+  SELECT r.start, l.b FROM r JOIN l ON l.a = r.seen)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept
+FROM n JOIN (SELECT start, min(seen) AS component_id FROM r GROUP BY start) c ON c.start = n.doc_id
+"""
