@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, mixing, neardup, quality, secrets, sharding
+from gleaner.llm import chat, decontaminate, mixing, neardup, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -191,3 +191,12 @@ r AS (
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept
 FROM n JOIN (SELECT start, min(seen) AS component_id FROM r GROUP BY start) c ON c.start = n.doc_id
 """
+
+
+# --- 2 --------------------------------------------------------------------------------------
+
+
+@register
+def op2_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that hold a benchmark item, with item, place and distance."""
+    return decontaminate.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
