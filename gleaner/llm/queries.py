@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontaminate, mixing, neardup, quality, secrets, sharding
+from gleaner.llm import chat, decontaminate, mixing, neardup, quality, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -200,3 +200,34 @@ FROM n JOIN (SELECT start, min(seen) AS component_id FROM r GROUP BY start) c ON
 def op2_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """The documents that hold a benchmark item, with item, place and distance."""
     return decontaminate.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+# --- 5 --------------------------------------------------------------------------------------
+
+
+@register
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.cut(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+SQL["op5_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, i, list_aggregate(w[i:i + 19], 'string_agg', ' ') AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w)),
+m AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id NULLS FIRST, i) > 1 AS later FROM s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM m WHERE later),
+g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+k AS (
+  SELECT w.doc_id, len(w) AS n, coalesce(len(g.gone), 0) AS n_gone,
+         CASE WHEN g.gone IS NULL THEN w
+              ELSE list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(g.gone, x)), lambda x: w[x]) END AS kept
+  FROM w LEFT JOIN g ON g.doc_id = w.doc_id)
+SELECT doc_id, n::BIGINT AS n_words, n_gone::BIGINT AS n_removed,
+       sha256(coalesce(list_aggregate(kept, 'string_agg', ' '), '')) AS kept_sha256
+FROM k
+"""
