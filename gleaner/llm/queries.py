@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontaminate, mixing, neardup, quality, secrets, sharding, substrings
+from gleaner.llm import chat, decontaminate, lm, mixing, neardup, quality, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -231,3 +231,11 @@ SELECT doc_id, n::BIGINT AS n_words, n_gone::BIGINT AS n_removed,
        sha256(coalesce(list_aggregate(kept, 'string_agg', ' '), '')) AS kept_sha256
 FROM k
 """
+
+
+# --- 8 --------------------------------------------------------------------------------------
+
+
+@register
+def op8_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.score(table(spark, sf, "documents"))
