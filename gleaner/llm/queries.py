@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontaminate, lm, mixing, neardup, quality, secrets, sharding, substrings
+from gleaner.llm import chat, decontaminate, lines, lm, mixing, neardup, quality, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -239,3 +239,48 @@ FROM k
 @register
 def op8_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score(table(spark, sf, "documents"))
+
+
+# --- 7 --------------------------------------------------------------------------------------
+
+
+@register
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.report(table(spark, sf, "documents")).withColumn(
+        "removed_lines", F.array_join("removed_lines", ",")
+    )
+
+
+SQL["op7_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(s))) AS line_no, unnest(s) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+s AS (
+  SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM l),
+t AS (SELECT * FROM s WHERE len(words) > 0),
+c AS (SELECT words, len(words) AS n, min((doc_id, line_no)) AS first_at, row_number() OVER () AS id FROM t GROUP BY words),
+k AS (
+  SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id <> b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  WHERE 180 * len(list_intersect(a.words, b.words)) >= 80 * (a.n + b.n)),
+e AS (
+  SELECT c.id, c.words, count(k.b) AS links, least(c.first_at, coalesce(min(o.first_at), c.first_at)) AS earliest
+  FROM c LEFT JOIN k ON k.a = c.id LEFT JOIN c o ON o.id = k.b GROUP BY c.id, c.words, c.first_at),
+m AS (SELECT t.doc_id, t.line_no, (t.doc_id, t.line_no) > e.earliest AS removed, e.links FROM t JOIN e ON t.words = e.words),
+g AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, sum(links) AS n_links,
+         string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (removed) AS removed_lines
+  FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_links, 0)::BIGINT AS n_links, coalesce(removed_lines, '') AS removed_lines
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
+# --- pipeline -------------------------------------------------------------------------------
+
+
+@register
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
