@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality rules keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = quality.ratios(docs, quality.trusted_ids(labels))
-    return quality.judge(docs, weights).filter("kept").select(*docs.columns)
+    return quality.keep(docs, weights)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,9 +105,10 @@ def mix(
 
 def _rank() -> Column:
     """Random odds over inclusion odds; documents without words cost nothing and need no rank."""
-    share = F.col("_rest") / F.col("source_size")
-    odds = share / (1 - share) * F.sqrt(F.col("source_size") / F.col("_rows") / F.col("_size"))
-    return (F.col("_u") / (1 - F.col("_u")) / odds).alias("rank")
+    share = F.try_divide(F.col("_rest"), F.col("source_size"))
+    length = F.sqrt(F.try_divide(F.col("source_size") / F.col("_rows"), F.col("_size")))
+    odds = F.try_divide(share, 1 - share) * length
+    return F.try_divide(F.col("_u") / (1 - F.col("_u")), odds).alias("rank")
 
 
 def _sources(narrow: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -117,7 +118,7 @@ def _sources(narrow: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
     placed = row_index(sized, [F.col("_from").asc_nulls_last()], "_spot")
     weight = F.get(F.array(*[F.lit(w) for w in weights]), (F.col("_spot") % len(weights)).cast("int"))
     aimed = targets(materialize(placed.withColumn("weight", weight), "mix-weights"), most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
     return materialize(
         aimed.withColumn("_whole", whole.cast("int")).withColumn(
             "_rest", F.col("target") - F.col("_whole") * F.col("source_size")

@@ -89,6 +89,11 @@ def ratios(docs: DataFrame, trusted: DataFrame, identity: str = "doc_id", text:
     ]
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _position_mask(n: Column) -> Column:
     """Bits that hold a position among ``n`` words."""
     return (
@@ -115,64 +120,82 @@ def _packed_windows(numbers: Column, mask: Column) -> Column:
     )
 
 
-def count_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and ``_h``."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    counted = docs.withColumn("_w", words(F.col(text))).select(
-        *docs.columns,
-        F.size("_w").cast("bigint").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
-        (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        F.filter(F.split(whole, "\n"), lambda line: line.rlike(WORD)).alias("_lines"),
-        _numbers(F.col("_w")).alias("_h"),
-    )
-    sorted_windows = counted.withColumn("_mask", _position_mask(F.size("_h"))).withColumn(
-        "_packed", _packed_windows(F.col("_h"), F.col("_mask"))
-    )
-    high = F.bitwise_not(F.col("_mask"))
+def _repeated_places(packed: Column, mask: Column) -> Column:
+    """Positions of the windows that have a twin beside them, in order."""
 
     def same(x: Column, i: Column) -> Column:
-        return _at(F.col("_packed"), i).bitwiseXOR(x).bitwiseAND(high) == 0
+        return _at(packed, i).bitwiseXOR(x).bitwiseAND(F.bitwise_not(mask)) == 0
 
-    # The index before the first is -1 and gives 0, as the one behind the last does: both are
-    # ruled out by position.
+    # Both ends have one neighbour only; what is read beyond them is ruled out by position.
     twins = F.filter(
-        "_packed",
-        lambda x, i: ((i > 0) & same(x, i - 1)) | ((i + 1 < F.size("_packed")) & same(x, i + 1)),
-    )
-    spots = sorted_windows.withColumn(
-        "_spots", F.sort_array(F.transform(twins, lambda x: x.bitwiseAND(F.col("_mask"))))
+        packed, lambda x, i: ((i > 0) & same(x, i - 1)) | ((i + 1 < F.size(packed)) & same(x, i + 1))
     )
+    return F.sort_array(F.transform(twins, lambda x: x.bitwiseAND(mask)))
+
+
+def _covered(places: Column) -> Column:
+    """Words under windows of three at these positions."""
     three = F.lit(3).cast("bigint")
-    covered = F.aggregate(
-        F.transform(
-            "_spots",
-            lambda p, i: F.least(three, F.coalesce(F.get(F.col("_spots"), i + 1) - p, three)),
-        ),
+    return F.aggregate(
+        F.transform(places, lambda p, i: F.least(three, F.coalesce(F.get(places, i + 1) - p, three))),
         F.lit(0).cast("bigint"),
         lambda a, b: a + b,
     )
-    return spots.withColumn("n_repeat_words", covered).withColumn(
-        "n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint")
-    ).drop("_lines", "_mask", "_packed", "_spots")
 
 
-def judge(
-    docs: DataFrame, weights: list[int], text: str = "text", threshold: int = THRESHOLD
-) -> DataFrame:
-    """``docs`` with the counts, base_failed, score (thousandths, summed), n_grams and kept."""
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
-    counted = count_base(docs, text)
-    slots = _slots(F.col("_h"))
-    scored = counted.withColumn(
-        "score",
-        F.aggregate(slots, F.lit(0).cast("bigint"), lambda a, s: a + F.get(table, s)),
-    ).withColumn("n_grams", F.greatest(2 * F.col("n_words") - 1, F.lit(0)))
-    failed = (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
-    )
-    return (
-        scored.withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.col("score") >= F.col("n_grams") * threshold))
-        .drop("_h")
+def repeat_words(numbers: Column) -> Column:
+    """Words inside windows of three that occur twice or more in the text."""
+    return _let(
+        _position_mask(F.size(numbers)),
+        lambda mask: _let(
+            _packed_windows(numbers, mask), lambda packed: _let(_repeated_places(packed, mask), _covered)
+        ),
     )
+
+
+def _dup_lines(text: Column) -> Column:
+    spoken = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
+    return _let(spoken, lambda lines: (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"))
+
+
+def verdict(text: Column, weights: list[int], threshold: int = THRESHOLD) -> Column:
+    """All counts, score (thousandths, summed), n_grams, base_failed and kept as one struct."""
+    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
+    whole = F.coalesce(text, F.lit(""))
+
+    def counted(tokens: Column) -> Column:
+        return _let(
+            _numbers(tokens),
+            lambda h: F.struct(
+                F.size(tokens).cast("bigint").alias("n_words"),
+                F.length(F.array_join(tokens, "")).cast("bigint").alias("word_chars"),
+                (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+                _dup_lines(whole).alias("n_dup_lines"),
+                repeat_words(h).alias("n_repeat_words"),
+                F.aggregate(_slots(h), F.lit(0).cast("bigint"), lambda a, s: a + F.get(table, s)).alias("score"),
+            ),
+        )
+
+    def judged(c: Column) -> Column:
+        n_grams = F.greatest(2 * c["n_words"] - 1, F.lit(0).cast("bigint"))
+        failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+        return F.struct(
+            *[c[name].alias(name) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+            c["score"].alias("score"),
+            n_grams.alias("n_grams"),
+            failed.alias("base_failed"),
+            (~failed & (c["score"] >= n_grams * threshold)).alias("kept"),
+        )
+
+    return _let(_let(words(text), counted), judged)
+
+
+def judge(docs: DataFrame, weights: list[int], text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` with the fields of ``verdict``."""
+    judged = docs.withColumn("_verdict", verdict(F.col(text), weights, threshold))
+    return judged.select(*docs.columns, "_verdict.*")
+
+
+def keep(docs: DataFrame, weights: list[int], text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    return docs.filter(verdict(F.col(text), weights, threshold)["kept"])

@@ -259,8 +259,14 @@ s AS (
   SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM l),
 t AS (SELECT * FROM s WHERE len(words) > 0),
 c AS (SELECT words, len(words) AS n, min((doc_id, line_no)) AS first_at, row_number() OVER () AS id FROM t GROUP BY words),
+u AS (SELECT id, n, unnest(words) AS word FROM c),
+f AS (SELECT word, count(*) AS f FROM u GROUP BY word),
+-- Similar sets share one of their rarest words.
+p AS (SELECT id, word FROM u JOIN f USING (word)
+      QUALIFY row_number() OVER (PARTITION BY id ORDER BY f, word) <= n - ceil(n * 0.8) + 1),
+q AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.word = y.word AND x.id <> y.id),
 k AS (
-  SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id <> b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  SELECT q.a, q.b FROM q JOIN c a ON a.id = q.a JOIN c b ON b.id = q.b
   WHERE 180 * len(list_intersect(a.words, b.words)) >= 80 * (a.n + b.n)),
 e AS (
   SELECT c.id, c.words, count(k.b) AS links, least(c.first_at, coalesce(min(o.first_at), c.first_at)) AS earliest
