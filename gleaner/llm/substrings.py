@@ -9,7 +9,7 @@ Estimates are never too low, so no repeated window is lost.
 
 The second pass looks only at windows estimated as repeated. Tasks keep the first of equal windows
 in their own partition, mark the others, and send one row per window on; equal windows then meet
-under a 128-bit key, and all but the first are marked. A window that fills a third of the table is
+under a 96-bit key, and all but the first are marked. A window that fills a third of the table is
 thus at most one row per task when it is shuffled.
 
 Marks are gathered per document and the words they cover are taken out.
@@ -49,7 +49,7 @@ def window_hashes(s: Slice, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     at = window_starts(s.of_text, width)
     one = spans(running(words), at, at + width)
     two = spans(running(mix(words ^ np.uint64(0xA0761D6478BD642F))), at, at + width)
-    return one, two, at
+    return one, (two >> np.uint64(32)).astype(np.uint32), at
 
 
 def _counter(keys: np.ndarray) -> np.ndarray:
@@ -161,7 +161,7 @@ def _first_of_equal(one: np.ndarray, two: np.ndarray, doc: np.ndarray, spot: np.
     return order, (doc == doc[leader]) & (spot == spot[leader]), new
 
 
-_SENT = "one bigint, two bigint, doc bigint, spot bigint"
+_SENT = "one bigint, two int, doc bigint, spot bigint"
 _SENT_NAMES = ["one", "two", "doc", "spot"]
 
 
@@ -180,7 +180,7 @@ def _candidates(texts: DataFrame, sketch, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(one[order].view(np.int64), mask=known),
-                pa.array(two[order].view(np.int64), mask=known),
+                pa.array(two[order].view(np.int32), mask=known),
                 pa.array(doc[order]),
                 pa.array(spot[order]),
             ],
@@ -210,20 +210,7 @@ def _candidates(texts: DataFrame, sketch, width: int) -> DataFrame:
 
 
 def _marks(candidates: DataFrame) -> DataFrame:
-    """(doc, checksum, starts): window starts to remove, as packed 32-bit numbers."""
-
-    def pack(doc: np.ndarray, spot: np.ndarray) -> Iterator[pa.RecordBatch]:
-        checksum = spot & ((1 << 31) - 1)
-        order = np.lexsort((spot, checksum, doc))
-        doc, checksum, starts = doc[order], checksum[order], (spot[order] >> 31).astype(np.int32)
-        edges = np.flatnonzero((doc[1:] != doc[:-1]) | (checksum[1:] != checksum[:-1])) + 1
-        edges = np.concatenate([[0], edges, [len(doc)]]).astype(np.int32)
-        data = pa.Array.from_buffers(
-            pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges * 4), pa.py_buffer(starts.tobytes())]
-        )
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[edges[:-1]]), pa.array(checksum[edges[:-1]]), data], ["doc", "checksum", "starts"]
-        )
+    """(doc, checksum, start): window starts to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Equal keys are in one task, whose share of the candidates is fixed by the partitioning.
@@ -239,12 +226,17 @@ def _marks(candidates: DataFrame) -> DataFrame:
         order, first, _ = _first_of_equal(one, two, doc, spot)
         later = order[~first]
         doc, spot = np.concatenate([done[0], doc[later]]), np.concatenate([done[1], spot[later]])
-        if len(doc):
-            yield from pack(doc, spot)
+        # In order of documents, runs of starts compress well.
+        order = np.lexsort((spot, doc))
+        doc, spot = doc[order], spot[order]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc), pa.array(spot & ((1 << 31) - 1)), pa.array((spot >> 31).astype(np.int32))],
+            ["doc", "checksum", "start"],
+        )
 
     # Rows without a key are dealt out by place.
     dealt = candidates.repartition(F.coalesce("one", F.xxhash64("doc", "spot")), F.coalesce("two", F.lit(0)))
-    return dealt.mapInArrow(run, "doc bigint, checksum bigint, starts binary")
+    return dealt.mapInArrow(run, "doc bigint, checksum bigint, start int")
 
 
 def _numbered(texts: DataFrame) -> DataFrame:
@@ -265,7 +257,7 @@ def cut(docs: DataFrame, width: int = WIDTH, identity: str = "doc_id", text: str
     context = docs.sparkSession.sparkContext
     sketch = context.broadcast(_gathered(merged_sketch(partial_sketches(texts, width))).tobytes())
     marks = _marks(_candidates(texts, sketch, width)).groupBy("doc", "checksum").agg(
-        F.collect_list("starts").alias("starts")
+        F.collect_list("start").alias("starts")
     )
     joined = _numbered(texts).join(
         marks.withColumnRenamed("checksum", "of"),
@@ -277,12 +269,12 @@ def cut(docs: DataFrame, width: int = WIDTH, identity: str = "doc_id", text: str
         for s in slices(batches):
             counts = s.counts()
             removed = np.zeros(len(s.starts), bool)
-            for i, parts in enumerate(s.column("starts").to_pylist()):
-                if parts:
-                    starts = np.frombuffer(b"".join(parts), np.int32) + s.of_text[i]
+            for i, starts in enumerate(s.column("starts")):
+                if starts.is_valid:
+                    at = starts.values.to_numpy()
                     step = np.zeros(counts[i] + 1, np.int64)
-                    np.add.at(step, starts - s.of_text[i], 1)
-                    np.add.at(step, starts - s.of_text[i] + width, -1)
+                    np.add.at(step, at, 1)
+                    np.add.at(step, at + width, -1)
                     removed[s.of_text[i] : s.of_text[i + 1]] = np.cumsum(step)[:-1] > 0
             raw = s.data.tobytes()
             kept = []
