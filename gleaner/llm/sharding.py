@@ -39,7 +39,9 @@ def _hash(*columns):
 def ring(spark, shards: int, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
     """(arc, shard, point): the points in ring order. Its size is set by the parameters."""
     points = spark.range(shards * virtual_nodes).select(
-        (F.col("id") % shards).cast("int").alias("shard"), _hash("id", F.lit("ring")).alias("point")
+        (F.col("id") % shards).cast("int").alias("shard"),
+        # A shard has the same points however many others there are.
+        _hash(F.col("id") % shards, F.expr(f"id div {shards}"), F.lit("ring")).alias("point"),
     )
     order = Window.orderBy("point", "shard")  # over the points, not over rows
     return points.withColumn("arc", F.row_number().over(order) - 1)
