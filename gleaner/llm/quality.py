@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 SLOTS = 16384
 TRUSTED_ROWS = 8192
 # Thousandths of a natural logarithm per word or pair.
-THRESHOLD = -50
+THRESHOLD = -70
+# Occurrences that every slot is given on both sides, so that rare slots say little.
+PRIOR = 5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -72,7 +74,9 @@ def trusted_ids(labels: DataFrame, identity: str = "doc_id", most: int = TRUSTED
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, identity: str = "doc_id", text: str = "text") -> list[int]:
-    """Thousandths of log(trusted / corpus) for every slot, add-one smoothed on both sides.
+    """Thousandths of log(trusted / corpus) for every slot.
+
+    The trusted count is set against the count expected from the corpus' shares, both plus ``PRIOR``.
 
     What reaches the driver has one row per slot. ``trusted`` holds ids and is broadcast: keep it
     bounded, as ``trusted_ids`` does.
@@ -82,11 +86,9 @@ def ratios(docs: DataFrame, trusted: DataFrame, identity: str = "doc_id", text:
     good = {r["slot"]: r["n"] for r in slot_counts(chosen, text).collect()}
     if not good:
         return [0] * SLOTS
-    n_raw, n_good = sum(raw.values()) + SLOTS, sum(good.values()) + SLOTS
-    return [
-        round(1000 * (math.log((good.get(s, 0) + 1) / n_good) - math.log((raw.get(s, 0) + 1) / n_raw)))
-        for s in range(SLOTS)
-    ]
+    n_raw, n_good = sum(raw.values()), sum(good.values())
+    expected = [n_good * raw.get(slot, 0) / n_raw for slot in range(SLOTS)]
+    return [round(1000 * math.log((good.get(s, 0) + PRIOR) / (expected[s] + PRIOR))) for s in range(SLOTS)]
 
 
 def _let(value: Column, body) -> Column:
