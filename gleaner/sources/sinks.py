@@ -38,9 +38,15 @@ def skip_done(wanted: DataFrame, done: DataFrame, cluster: str = "cluster_id") -
 
 def coreset_by_shard(kept: DataFrame, shards: int, key: str = "key") -> DataFrame:
     """(shard, keys): the selected keys of every shard in order, an empty list where there are
-    none. The key format bounds a shard's distinct keys, and copies collapse before the shuffle."""
+    none. The key format bounds a shard's distinct keys, and copies collapse before the shuffle.
+    A key of a shard beyond the last one raises."""
+    shard = shard_of(key)
+    beyond = F.raise_error(F.concat(F.lit("no such shard: "), shard.cast("string"))).cast("int")
     lists = (
-        kept.select(shard_of(key).alias("shard"), F.col(key).cast("bigint").alias("key"))
+        kept.select(
+            F.when((shard >= 0) & (shard < shards), shard).otherwise(beyond).alias("shard"),
+            F.col(key).cast("bigint").alias("key"),
+        )
         .groupBy("shard")
         .agg(F.array_sort(F.collect_set("key")).alias("keys"))
     )
