@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from gleaner.functions.keys import seeded_hash
 from gleaner.functions.vectors import COMPARE_DECIMALS, is_zero_vector, matrix
 from gleaner.operators.ranking import row_index
 from gleaner.operators.sampling import sample_files
-from gleaner.storage import materialize, scratch_path
+from gleaner.storage import exists, materialize, scratch_path
 
 # Centroids sent to the workers at one time. A larger table is sent in blocks, one pass each.
 BROADCAST_BYTES = 256 * 1024 * 1024
@@ -270,8 +269,6 @@ def train_kmeans(
 def _last_epoch(spark: SparkSession, path: str, epochs: int):
     """The number of epochs already finished under ``path`` and the last centroids."""
     for epoch in range(epochs - 1, -1, -1):
-        try:
+        if exists(spark, f"{path}/epoch={epoch:05d}/_SUCCESS"):
             return epoch + 1, spark.read.parquet(f"{path}/epoch={epoch:05d}")
-        except AnalysisException:
-            continue
     return 0, None

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.vectors import COMPARE_DECIMALS
 from gleaner.operators.ranking import top_fraction
+from gleaner.storage import materialize
 
 # Fixed value: uncertainty is this many times the standard deviation.
 SCALE = 10
@@ -108,7 +110,7 @@ def dynamic_uncertainty(history: DataFrame, window: int, epochs: DataFrame | Non
     return (
         weighted.unionByName(unseen)
         .groupBy("sample_id")
-        .agg((F.sum("_part") / F.lit(total - window)).alias("dynamic_uncertainty"))
+        .agg(F.round(F.sum("_part") / F.lit(total - window), COMPARE_DECIMALS).alias("dynamic_uncertainty"))
     )
 
 
@@ -117,7 +119,8 @@ def prune_by_uncertainty(
 ) -> DataFrame:
     """Rows of the file list with the highest uncertainty, ``int(n * fraction)`` of them, in the
     original order. Samples without a history count as never uncertain."""
-    scores = dynamic_uncertainty(history, window)
+    # Written once, so that the cut and the comparison with it see the same numbers.
+    scores = materialize(dynamic_uncertainty(history, window), "uncertainty")
     scored = file_list.join(scores, "sample_id", "left").withColumn(
         "dynamic_uncertainty", F.coalesce("dynamic_uncertainty", F.lit(0.0))
     )

@@ -204,6 +204,12 @@ def _search(rows: DataFrame, rank: int, shape: _Shape, counts: dict | None = Non
     return Cut(*ordered[rank - 1])
 
 
+def _given(df: DataFrame, score: str) -> Column:
+    """The score; a null has no rank and raises, since leaving it out would shift all fractions."""
+    missing = F.raise_error(F.lit(f"{score} is null; fill or filter it before ranking"))
+    return F.coalesce(F.col(score), missing.cast(df.schema[score].dataType))
+
+
 def find_cuts(
     df: DataFrame, score: str, identity: str, ranks: Callable[[int], list[int]]
 ) -> tuple[int, list[Cut | None]]:
@@ -211,7 +217,7 @@ def find_cuts(
 
     A rank of 0 or of the last row needs no cut and yields None.
     """
-    rows = df.select(F.col(score).alias("s"), F.col(identity).alias("i")).filter("s is not null")
+    rows = df.select(_given(df, score).alias("s"), F.col(identity).alias("i"))
     shape = _shape(rows)
     wanted = ranks(shape.rows)
     open_ranks = [r for r in wanted if 0 < r < shape.rows]
@@ -224,7 +230,7 @@ def find_cuts(
 
 def kth_largest(df: DataFrame, column: str, rank: int):
     """The value at a 1-based descending rank."""
-    rows = df.select(F.col(column).alias("s"), F.lit(0).alias("i")).filter("s is not null")
+    rows = df.select(_given(df, column).alias("s"), F.lit(0).alias("i"))
     return _search(rows, rank, _shape(rows)).score
 
 
@@ -236,7 +242,7 @@ def _between_ranks(
     after, through = ends(total)
     if through <= after:
         return df.filter(F.lit(False))
-    kept = df.filter(F.col(score).isNotNull())
+    kept = df
     if upper is not None:
         kept = kept.filter(upper.at_or_above(score, identity))
     if lower is not None:
@@ -251,7 +257,8 @@ def rank_band(
 
     ``exact`` keeps ``floor(low*n) < rank <= floor(high*n)``. ``reference`` keeps
     ``int(low*n + 1) < rank <= int(high*n)``, the off-by-one of the published coresets.
-    Equal scores rank by higher id first.
+    Equal scores rank by higher id first. A null score raises. The score must be the same each time
+    it is computed: write sums of floating numbers first.
     """
     if not 0 <= low <= high <= 1:
         raise ValueError("need 0 <= low <= high <= 1")

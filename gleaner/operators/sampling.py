@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.keys import seeded_hash, seeded_uniform
 from gleaner.operators.joins import range_lookup
-from gleaner.operators.ranking import running_total
-
-# Spark drops rows past a rank limit before the shuffle when the limit is below this value of
-# spark.sql.optimizer.windowGroupLimitThreshold.
-_EARLY_LIMIT = 1000
+from gleaner.operators.ranking import rank_in_group, running_total
 
 
 def sample_files(files: DataFrame, name: str, count: int, seed: int, epoch: int) -> DataFrame:
@@ -21,26 +17,14 @@ def sample_files(files: DataFrame, name: str, count: int, seed: int, epoch: int)
 
 
 def per_class_cap(df: DataFrame, label: str, identity: str, k: int, seed: int) -> DataFrame:
-    """Up to ``k`` random rows of every class.
+    """Up to ``k`` random rows of every class, a null class included.
 
-    The rank limit is applied before the shuffle, so that a class with most of the rows sends
-    only ``k`` rows per task. Larger caps get there by ranking inside slices of a class first.
+    Only class, hash and id are laid out in order and numbered, by range, so a class with most of the
+    rows is spread over tasks whatever ``k`` is.
     """
-    hashed = df.withColumn("_hash", seeded_hash(identity, seed))
-    if k >= _EARLY_LIMIT:
-        hashed = hashed.withColumn("_slice", F.pmod(F.xxhash64(identity), F.lit(256)))
-        first = Window.partitionBy(label, "_slice").orderBy("_hash", identity)
-        hashed = (
-            hashed.withColumn("_rank", F.row_number().over(first))
-            .filter(F.col("_rank") <= k)
-            .drop("_rank", "_slice")
-        )
-    ranks = Window.partitionBy(label).orderBy("_hash", identity)
-    return (
-        hashed.withColumn("_rank", F.row_number().over(ranks))
-        .filter(F.col("_rank") <= k)
-        .drop("_rank", "_hash")
-    )
+    hashed = df.select(label, identity, seeded_hash(identity, seed).alias("_hash"))
+    ranked = rank_in_group(hashed, [F.col("_hash"), F.col(identity)], [label], "_rank")
+    return df.join(ranked.filter(F.col("_rank") <= k).select(identity), identity, "left_semi")
 
 
 def resample_weighted(

@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -85,28 +86,30 @@ class _ArchiveReader(DataSourceReader):
 class _ArchiveWriter(DataSourceArrowWriter):
     """Writes the rows of a task, sorted by ``shard_out``, one archive per shard. An archive is
     written under a temporary name and renamed when it is whole, so a task that runs twice leaves
-    one copy."""
+    one copy. All archives wait in a folder of the job until it commits."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
+        self.job = f".job-{uuid.uuid4().hex}"
 
     def write(self, batches) -> WriterCommitMessage:
         system, inner = open_filesystem(self.path)
-        system.create_dir(inner, recursive=True)
+        waiting = f"{inner}/{self.job}"
+        system.create_dir(waiting, recursive=True)
         current, tar, stream, temporary = None, None, None, None
 
         def finish():
             if tar is not None:
                 tar.close()
                 stream.close()
-                system.move(temporary, f"{inner}/{current:06d}.tar")
+                system.move(temporary, f"{waiting}/{current:06d}.tar")
 
         for batch in batches:
             for row in batch.to_pylist():
                 if row["shard_out"] != current:
                     finish()
                     current = row["shard_out"]
-                    temporary = f"{inner}/.{current:06d}-{uuid.uuid4().hex}"
+                    temporary = f"{waiting}/.{current:06d}-{uuid.uuid4().hex}"
                     stream = system.open_output_stream(temporary)
                     tar = tarfile.open(fileobj=stream, mode="w|")
                 for suffix, content in row["files"]:
@@ -114,8 +117,26 @@ class _ArchiveWriter(DataSourceArrowWriter):
         finish()
         return WriterCommitMessage()
 
+    def commit(self, messages) -> None:
+        system, inner = open_filesystem(self.path)
+        waiting = f"{inner}/{self.job}"
+        if system.get_file_info(waiting).type != fs.FileType.Directory:
+            system.create_dir(waiting, recursive=True)
+        earlier = list_files(self.path, ".tar")
+        new = {i.base_name: i.path for i in system.get_file_info(fs.FileSelector(waiting)) if i.base_name.endswith(".tar")}
+        for name, path in new.items():
+            system.move(path, f"{inner}/{name}")
+        if self.overwrite:
+            for path, _ in earlier:
+                if path.rpartition("/")[2] not in new:
+                    system.delete_file(path)
+        system.delete_dir(waiting)
+
     def abort(self, messages) -> None:
-        pass
+        system, inner = open_filesystem(self.path)
+        waiting = f"{inner}/{self.job}"
+        if system.get_file_info(waiting).type == fs.FileType.Directory:
+            system.delete_dir(waiting)
 
 
 def _add(tar: tarfile.TarFile, name: str, content: bytes) -> None:
@@ -138,7 +159,7 @@ class SampleArchives(DataSource):
         return _ArchiveReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool):
-        return _ArchiveWriter(self.options["path"])
+        return _ArchiveWriter(self.options["path"], overwrite)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -157,8 +178,11 @@ def with_output_shard(
     )
 
 
-def write_archives(samples: DataFrame, path: str, order: list[str], max_rows: int = KEYS_PER_SHARD) -> None:
-    """Rewrite samples (``sample_key``, ``files``) as archives of at most ``max_rows``."""
+def write_archives(samples: DataFrame, path: str, order: list[str], max_rows: int = KEYS_PER_SHARD, mode: str = "overwrite") -> None:
+    """Rewrite samples (``sample_key``, ``files``) as archives of at most ``max_rows``.
+
+    ``overwrite`` also removes the archives of an earlier, longer run; ``append`` leaves them.
+    """
     spark = samples.sparkSession
     spark.dataSource.register(SampleArchives)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -168,6 +192,6 @@ def write_archives(samples: DataFrame, path: str, order: list[str], max_rows: in
         .sortWithinPartitions("shard_out", *order)
         .select("shard_out", "sample_key", "files")
         .write.format("sample_archives")
-        .mode("append")
+        .mode(mode)
         .save(path)
     )

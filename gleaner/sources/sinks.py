@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.keys import shard_of
+from gleaner.storage import exists
 
 
 def with_bucket(df: DataFrame, buckets: int, cluster: str = "cluster_id") -> DataFrame:
@@ -25,11 +25,10 @@ def write_cluster_map(df: DataFrame, path: str, buckets: int = 1000, cluster: st
 
 def pending_clusters(wanted: DataFrame, path: str, cluster: str = "cluster_id") -> DataFrame:
     """Rows of ``wanted`` whose cluster is not in the output yet."""
-    try:
-        done = wanted.sparkSession.read.parquet(path)
-    except AnalysisException:
+    spark = wanted.sparkSession
+    if not exists(spark, path):
         return wanted
-    return skip_done(wanted, done, cluster)
+    return skip_done(wanted, spark.read.parquet(path), cluster)
 
 
 def skip_done(wanted: DataFrame, done: DataFrame, cluster: str = "cluster_id") -> DataFrame:

@@ -83,26 +83,28 @@ FIRST_NUMBER_IN_NAME = r"^(?:.*/)?[^/0-9]*(\d+)[^/]*$"
 def read_prob_history(
     spark: SparkSession, path: str, epoch_pattern: str = FIRST_NUMBER_IN_NAME
 ) -> DataFrame:
-    """(epoch, sample_id, prob): one text file per epoch, one probability per line, line number =
-    sample. ``epoch_pattern`` finds the epoch in the file's path, by default the first number in
+    """(epoch, sample_id, prob): one probability per line, line number = sample; an epoch may have
+    several files, which follow each other in name order. ``epoch_pattern`` finds the epoch in the file's path, by default the first number in
     its name; a table written by epoch has it in the folder."""
     lines = materialize(
         spark.read.text(path).select(
             F.regexp_extract(F.col("_metadata.file_path"), epoch_pattern, 1).cast("int").alias("epoch"),
+            F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_place"),
             F.col("value").cast("double").alias("prob"),
         ),
         "history",
     )
-    return _number(lines, ["epoch"], ["_block"], "sample_id").select("epoch", "sample_id", "prob")
+    return _number(lines, ["epoch"], ["_file", "_block"], "sample_id").select("epoch", "sample_id", "prob")
 
 
 def read_caption_csv(
     spark: SparkSession, path: str, sep: str = "\t", image_key: str = "filepath", caption_key: str = "title"
 ) -> DataFrame:
-    """Two columns of a delimited file with a header."""
-    return spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=False).select(
+    """Two columns of a delimited file with a header. Quoted values may hold line breaks, so a file
+    is read by one task: give large tables as several files."""
+    return spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=True).select(
         image_key, caption_key
     )
 

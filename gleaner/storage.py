@@ -33,6 +33,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/gleaner/{label}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path matches, on whatever file system it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

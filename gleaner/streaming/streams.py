@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -15,7 +15,7 @@ from gleaner.operators import tiles
 from gleaner.operators.clustering import assign_clusters, drop_zero_vectors
 from gleaner.operators.dedup import max_similarity_to, semdedup_score
 from gleaner.operators.dynamics import SCALE
-from gleaner.storage import materialize
+from gleaner.storage import exists, materialize
 
 
 def stream_filter_coreset(samples: DataFrame, coreset: DataFrame, key: str = "key") -> DataFrame:
@@ -84,10 +84,9 @@ def stream_semdedup(
 
     def settle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            kept = spark.read.parquet(path).filter(F.col("batch") < batch_id)
-        except AnalysisException:
-            kept = None
+        # A batch always leaves a folder, also if it keeps nothing.
+        earlier = exists(spark, f"{path}/batch=*/_SUCCESS")
+        kept = spark.read.parquet(path).filter(F.col("batch") < batch_id) if earlier else None
         fresh = keep_first_arrivals(batch, kept, threshold, cluster, identity, embedding, block_rows)
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -104,15 +103,13 @@ def stream_uncertainty(history: DataFrame, window: int) -> DataFrame:
         raise ValueError("a window needs at least two epochs")
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("epoch")
+        held = np.array(state.get[0]) if state.exists else np.zeros(window)
+        rows = pd.concat([b for b in batches if len(b)]).sort_values("epoch")
         rows = rows[rows["prob"] != 0]
-        values = []
-        for prob in rows["prob"]:
-            held = (held + [float(prob)])[-window:]
-            padded = pd.Series([0.0] * (window - len(held)) + held)
-            values.append(SCALE * padded.std(ddof=1))
-        state.update((held,))
+        run = np.concatenate([held, rows["prob"].to_numpy(float)])
+        buffers = np.lib.stride_tricks.sliding_window_view(run, window)[1:]
+        values = SCALE * buffers.std(axis=1, ddof=1)
+        state.update((run[-window:].tolist(),))
         yield pd.DataFrame({"sample_id": key[0], "epoch": rows["epoch"], "uncertainty": values})
 
     return (

@@ -103,11 +103,11 @@ def test_running_total(spark):
     assert [r["running"] for r in found] == expected
 
 
-def test_class_cap_limits_before_the_shuffle(spark):
+def test_class_cap_has_no_window_over_a_class(spark):
     df = spark.range(10000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 20).alias("label"))
     capped = sampling.per_class_cap(df, "label", "id", 5, seed=1)
     plan = capped._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "Window [row_number" not in plan
     assert capped.groupBy("label").count().filter("count <> 5").isEmpty()
 
 
@@ -124,3 +124,17 @@ def test_null_is_a_group(spark):
     ranked = ranking.rank_in_group(df, [F.col("id")], ["g"])
     assert ranked.count() == 100
     assert ranked.groupBy("g").agg(F.max("rank").alias("m")).filter("m <> 25").isEmpty()
+
+
+def test_a_null_score_has_no_rank(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, None)], "id bigint, score double")
+    with pytest.raises(Exception, match="score is null"):
+        ranking.top_fraction(df, "score", "id", 0.5).collect()
+
+
+@pytest.mark.parametrize("k", [3, 2000])
+def test_class_cap_is_one_plan(spark, k):
+    df = spark.range(9000).selectExpr("id", "case when id % 3 = 0 then null when id % 10 = 1 then 'a' else 'b' end as label")
+    sizes = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
+    found = {r["label"]: r["count"] for r in sampling.per_class_cap(df, "label", "id", k, seed=5).groupBy("label").count().collect()}
+    assert found == {label: min(n, k) for label, n in sizes.items()}

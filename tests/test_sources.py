@@ -117,6 +117,37 @@ def test_prob_history_sorts_epochs_as_numbers(spark, tmp_path):
     ]
 
 
+def test_prob_history_in_several_files_per_epoch(spark, tmp_path):
+    for epoch in (1, 2):
+        folder = tmp_path / f"epoch={epoch}"
+        folder.mkdir()
+        for part in range(3):
+            (folder / f"part-{part}.txt").write_text("".join(f"{epoch + part / 10 + i / 100}\n" for i in range(4)))
+    found = tables.read_prob_history(spark, str(tmp_path), r"epoch=(\d+)").orderBy("epoch", "sample_id").collect()
+    assert [(r["epoch"], r["sample_id"]) for r in found] == [(e, i) for e in (1, 2) for i in range(12)]
+    assert [r["prob"] for r in found] == [e + p / 10 + i / 100 for e in (1, 2) for p in range(3) for i in range(4)]
+
+
+def test_captions_with_line_breaks(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text('filepath\ttitle\na.jpg\t"one\ntwo ""three"""\nb.jpg\tfour\n')
+    found = tables.read_caption_csv(spark, str(tmp_path / "c.tsv")).orderBy("filepath").collect()
+    assert [tuple(r) for r in found] == [("a.jpg", 'one\ntwo "three"'), ("b.jpg", "four")]
+
+
+def test_archives_are_replaced(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    with tarfile.open(source / "000000.tar", "w") as tar:
+        for i in range(10):
+            add(tar, f"{i:010d}.txt")
+    samples = archives.read_archives(spark, str(source))
+    archives.write_archives(samples, target, ["key"], max_rows=3)
+    archives.write_archives(samples.filter("key < 4"), target, ["key"], max_rows=3)
+    back = archives.read_archives(spark, target)
+    assert sorted(r["key"] for r in back.collect()) == [0, 1, 2, 3]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["000000.tar", "000001.tar"]
+
+
 def test_empty_shards_are_listed(spark):
     kept = spark.createDataFrame([(123450003,), (123450001,), (123450003,), (20001,)], "key bigint")
     found = {r["shard"]: r["keys"] for r in sinks.coreset_by_shard(kept, 12346).filter("shard in (0, 2, 12345)").collect()}
