@@ -39,7 +39,7 @@ OFFSET_BYTES = 3
 ROW_BITS = 15
 ROWS = 2
 # Windows that a task holds before it passes them on.
-HELD = 4_000_000
+HELD = 1_000_000
 _NULL = -(1 << 63)
 
 
@@ -129,8 +129,9 @@ def _gathered(merged: DataFrame) -> np.ndarray:
     """The merged sketch as one array of a fixed size."""
     size = ROWS << (ROW_BITS - 3)
     out = np.zeros(((1 << BLOCK_BITS), size), np.uint8)
-    for row in merged.toLocalIterator():  # one partition of a table of fixed size at a time
-        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    table = merged.toArrow()  # as large as ``out`` at most, in one job
+    for block, bits in zip(table.column("block").to_numpy(), table.column("bits"), strict=True):
+        out[block] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out
 
 
