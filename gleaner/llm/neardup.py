@@ -8,8 +8,9 @@ candidates that the estimate leaves possible are confirmed, on the full sets.
 
 A band may hold very many nodes. It is never expanded into pairs: in each round its nodes are
 compared with one pivot of the band, and links are merged into components; bands inside one
-component are done. What is still divided after the rounds is compared in blocks, sketches first,
-so no pair that shares a band and could link is left out.
+component are done. What is still divided after the rounds is compared in blocks, sketches first and then
+full sets inside the same tasks, so no pair that shares a band and could link is left out and no
+task sends pairs on.
 
 The pivot of a band is the node that shares most bands with others: the text that copies were made
 from is nearer to all of them than they are to each other.
@@ -41,7 +42,7 @@ SAMPLES = BANDS * BAND_ROWS
 SKETCH_BITS = 1024
 SKETCH_MARGIN = 0.15
 ROUNDS = 3
-BLOCK = 256
+BLOCK = 512
 
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACE = mix(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(1 << 40))
@@ -252,12 +253,131 @@ def _with_pivots(members: DataFrame, used: DataFrame) -> DataFrame:
     )
 
 
-def _across(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(hub, member): all pairs of different components in the divided buckets that sketches allow.
+def _possible(block: pa.Table, others: pa.RecordBatch, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of the block, the rows of ``others`` in other components that sketches leave possible."""
+    comp, sketch = block.column("component").to_numpy(), _sketch_words(block.column("sketch").combine_chunks())
+    comps, sketches = others.column("component").to_numpy(), _sketch_words(others.column("sketch"))
+    for i in range(len(comp)):
+        apart = np.flatnonzero(comps != comp[i])
+        differ = np.bitwise_count(sketches[apart] ^ sketch[i]).sum(axis=1)
+        yield i, apart[estimate(differ) >= least - SKETCH_MARGIN]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.RecordBatch | None]]:
+    """(block, others) for batches in order of (bucket, part, own first).
+
+    Only the block of a group, bounded by ``BLOCK``, is held; its other rows pass by in batches,
+    however many there are. A group ends with None.
+    """
+    key: tuple[int, int] | None = None
+    block: list[pa.RecordBatch] = []
+    table: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "part", "own")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        edges = [0, *cuts.tolist(), b.num_rows]
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            bucket, part, own = keys[:, start].tolist()
+            if (bucket, part) != key:
+                if table is not None:
+                    yield table, None
+                key, block, table = (bucket, part), [], None
+            piece = b.slice(start, end - start)
+            if own:
+                block.append(piece)
+            elif block:
+                table = table or pa.Table.from_batches(block)
+                yield table, piece
+    if table is not None:
+        yield table, None
+
+
+def _laid(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (bucket, part, own, node, component) with what ``nodes`` has, in the order of ``_groups``."""
+    return (
+        rows.join(nodes, "node")
+        .repartition("bucket", "part")
+        .sortWithinPartitions("bucket", "part", F.col("own").desc())
+    )
+
+
+def _worth_it(laid: DataFrame, least: float) -> DataFrame:
+    """(bucket, part, own, node, component): the rows with a partner that sketches leave possible."""
+    names = ["bucket", "part", "own", "node", "component"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: np.ndarray | None = None
+        for block, others in _groups(batches):
+            if some is None:
+                some = np.zeros(block.num_rows, bool)
+            if others is None:
+                yield from block.select(names).filter(pa.array(some)).to_batches()
+                some = None
+                continue
+            met = np.zeros(others.num_rows, bool)
+            for i, at in _possible(block, others, least):
+                some[i] |= len(at) > 0
+                met[at] = True
+            yield others.select(names).filter(pa.array(met))
+
+    return laid.mapInArrow(run, "bucket bigint, part int, own boolean, node bigint, component bigint")
+
+
+def _links_across(laid: DataFrame, least: float, percent: int) -> DataFrame:
+    """(src, dst): for every row of a block and every other component, a node that it is linked with, if any.
+
+    A pair is tested in the first of the bands that it shares.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached: dict[int, list[int]] = {}
+        for block, others in _groups(batches):
+            if others is None:
+                reached = {}
+                continue
+            bucket = others.column("bucket")[0].as_py()
+            node, bands, sets = (block.column(c) for c in ("node", "bands", "set"))
+            nodes, comps = others.column("node").to_numpy(), others.column("component").to_numpy()
+            all_bands = others.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+            all_sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in others.column("set")]
+            sizes = np.array([len(x) for x in all_sets])
+            src, dst = [], []
+            for i, at in _possible(block, others, least):
+                if i in reached:
+                    at = at[~np.isin(comps[at], reached[i])]
+                if not len(at):
+                    continue
+                same = all_bands[at] == bands[i].values.to_numpy()
+                at = at[all_bands[at, same.argmax(axis=1)] == bucket]
+                own = np.frombuffer(sets[i].as_buffer(), np.uint64)
+                low, high = np.minimum(sizes[at], len(own)), np.maximum(sizes[at], len(own))
+                at = at[100 * low >= percent * high]
+                if not len(at):
+                    continue
+                held = np.concatenate([all_sets[j] for j in at])
+                found = own[np.minimum(np.searchsorted(own, held), len(own) - 1)] == held
+                shared = np.add.reduceat(found.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[at])[:-1]]))
+                linked = at[100 * shared >= percent * (sizes[at] + len(own) - shared)]
+                fresh, first = np.unique(comps[linked], return_index=True)
+                if len(fresh):
+                    reached.setdefault(i, []).extend(fresh.tolist())
+                    src.extend([node[i].as_py()] * len(fresh))
+                    dst.extend(nodes[linked[first]].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return laid.mapInArrow(run, "src bigint, dst bigint")
+
+
+def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): links that join all components of the divided buckets that can be joined.
 
     The nodes outside a bucket's main component, that of its pivot, are compared with all its nodes,
-    in blocks.
+    in blocks: first by sketches, which leaves the nodes with a possible partner, then those on their
+    full sets. Pairs are formed inside the tasks; only links leave them.
     """
+    least = percent / 100
     main = (
         members.groupBy("bucket")
         .agg(
@@ -282,46 +402,10 @@ def _across(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     apart = sized.filter("apart").select(
         "bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part"), F.lit(True).alias("own"), "node", "component"
     )
-    cut = everyone.unionByName(apart)
-    laid = (
-        cut.join(nodes.select("node", "sketch"), "node")
-        .select("bucket", "part", "own", "node", "component", "sketch")
-        .repartition("bucket", "part")
-        .sortWithinPartitions("bucket", "part")
-    )
-
-    def compare(t: pa.Table) -> pa.RecordBatch:
-        node, comp = (t.column(c).to_numpy() for c in ("node", "component"))
-        own = np.asarray(t.column("own"))
-        sketch = _sketch_words(t.column("sketch").combine_chunks())
-        every = np.flatnonzero(~own)
-        found: list[np.ndarray] = []
-        for i in np.flatnonzero(own):
-            others = every[comp[every] != comp[i]]
-            differ = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1)
-            others = others[estimate(differ) >= least - SKETCH_MARGIN]
-            found.append(np.stack([np.full(len(others), node[i]), node[others]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        pairs.sort(axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["hub", "member"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([kept, t]) if kept is not None else t
-            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "part")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            edges = [0, *cuts.tolist()]
-            for a, z in zip(edges[:-1], edges[1:], strict=True):
-                yield compare(t.slice(a, z - a))
-            kept = t.slice(edges[-1])
-        if kept is not None:
-            yield compare(kept)
-
-    return laid.mapInArrow(run, "hub bigint, member bigint").distinct()
+    by_sketch = _laid(everyone.unionByName(apart), nodes.select("node", "sketch"))
+    possible = materialize(_worth_it(by_sketch, least), "possible")
+    whole = nodes.select("node", "bands", "sketch").join(sets, "node")
+    return _links_across(_laid(possible, whole), least, percent)
 
 
 def near_duplicates(
@@ -343,7 +427,7 @@ def near_duplicates(
     members = materialize(found_members.join(degrees, "node").select("bucket", "node", "degree"), "members")
     involved = materialize(
         nodes.join(members.select("node").distinct(), "node", "left_semi").select(
-            "node", "least_id", "key1", "key2", "sketch"
+            "node", "least_id", "key1", "key2", "bands", "sketch"
         ),
         "involved",
     )
@@ -362,15 +446,15 @@ def near_duplicates(
     tried = docs.sparkSession.createDataFrame([], "hub bigint, member bigint")
     for turn in range(ROUNDS + 1):
         labelled = members.join(labels, "node")
-        used = tried.select(F.col("hub").alias("node")).distinct()
-        pairs = _with_pivots(labelled, used) if turn < ROUNDS else _across(labelled, involved, least)
-        again = tried.select(F.col("member").alias("hub"), F.col("hub").alias("member")).unionByName(tried)
-        fresh = materialize(pairs.join(again, ["hub", "member"], "left_anti"), "candidates")
-        if turn == ROUNDS and fresh.isEmpty():
-            break
-        possible = _sketch_filter(fresh, involved, least) if turn < ROUNDS else fresh
-        confirmed = materialize(_confirm(possible, sets, percent), "links")
-        tried = tried.unionByName(fresh)
+        if turn < ROUNDS:
+            used = tried.select(F.col("hub").alias("node")).distinct()
+            again = tried.select(F.col("member").alias("hub"), F.col("hub").alias("member")).unionByName(tried)
+            fresh = materialize(_with_pivots(labelled, used).join(again, ["hub", "member"], "left_anti"), "candidates")
+            tried = tried.unionByName(fresh)
+            found_links = _confirm(_sketch_filter(fresh, involved, least), sets, percent)
+        else:
+            found_links = _across(labelled, involved, sets, percent)
+        confirmed = materialize(found_links, "links")
         if confirmed.isEmpty():
             continue
         links = links.unionByName(confirmed)
