@@ -122,6 +122,32 @@ def test_decontamination_finds_whole_and_edited_items(spark, docs, texts):
     assert kept == set(texts) - {d for d, _ in found}
 
 
+def test_near_groups_in_blocks_alone(spark, monkeypatch):
+    """Without rounds of pivots, blocks of three nodes find what brute force finds."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.choice(60, int(rng.integers(0, 8)), replace=False):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in rows}
+    label = dict.fromkeys(sets)
+    for i in sets:
+        if label[i] is None:
+            label[i], reached = i, [i]
+            for a in reached:
+                near = [b for b in sets if label[b] is None and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+                label.update(dict.fromkeys(near, i))
+                reached.extend(near)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2)
+    assert {r.doc_id: r.component_id for r in found.collect()} == label
+    assert 1 < len(set(label.values())) < 60
+
+
 def test_edit_distance():
     a, b = np.array([1, 2, 3, 4], np.uint64), np.array([9, 1, 3, 4, 9], np.uint64)
     assert decontaminate.edit_distance(a, b) == (1, 4)
