@@ -302,9 +302,29 @@ def stream_assign_clusters(spark, sf):
     return _to_table(assigned, spark, "stream-clusters")
 
 
-@query("stream_semdedup")
+@query(
+    "stream_semdedup",
+    # Whether a row stays depends on which earlier rows stayed: one step per row of a cluster.
+    """WITH RECURSIVE
+v AS (SELECT vec_id AS id, label AS cluster_id, embedding::DOUBLE[] AS v FROM embeddings),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY id) AS pos, sqrt(list_dot_product(v, v)) AS norm
+  FROM v WHERE list_dot_product(v, v) > 0),
+near AS (
+  SELECT a.id, list(b.id) AS earlier FROM n a JOIN n b ON a.cluster_id = b.cluster_id AND b.id < a.id
+  WHERE round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 9) > 0.35 GROUP BY a.id),
+steps AS (
+  SELECT n.cluster_id, n.pos, n.id, coalesce(near.earlier, []) AS earlier FROM n LEFT JOIN near USING (id)),
+walk AS (
+  SELECT DISTINCT cluster_id, 0::BIGINT AS pos, []::BIGINT[] AS kept FROM steps
+  UNION ALL
+  SELECT w.cluster_id, s.pos,
+         CASE WHEN list_has_any(w.kept, s.earlier) THEN w.kept ELSE list_append(w.kept, s.id) END
+  FROM walk w JOIN steps s ON s.cluster_id = w.cluster_id AND s.pos = w.pos + 1),
+ends AS (SELECT cluster_id, kept FROM walk QUALIFY pos = max(pos) OVER (PARTITION BY cluster_id))
+SELECT unnest(kept) AS id, cluster_id FROM ends""",
+)
 def stream_semdedup(spark, sf):
-    """No SQL twin: whether a row stays depends on which earlier rows stayed."""
     arriving = _stream(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").alias("cluster_id"), "embedding"
     )
