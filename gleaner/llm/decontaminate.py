@@ -1,14 +1,16 @@
-"""Benchmark decontamination by CGK embeddings and exact edit distance.
+"""Benchmark decontamination by pigeonhole runs of words and exact edit distance.
 
-The CGK embedding reads a word sequence by a random walk: at every step it writes the word under
-the cursor, and a random bit drawn from step and word says whether the cursor moves. Two sequences
-at a small edit distance soon walk in step again, so their embeddings differ in few places. A hash
-of a few sampled places of the embedding is therefore equal for similar sequences with good
-probability, and several independent walks reach the wanted recall.
+An item of ``n`` words may be met with up to ``k = int(RATE * n)`` edits. It is cut into ``k + 1``
+pieces of nearly equal length; every edit spoils at most one of them, so a stretch of a document
+that is near enough holds at least one piece word for word, at most ``k`` words from where it lies
+in the item. Each run of a document that equals a piece therefore names a window that holds the
+whole stretch, and no stretch is without such a window: recall is 1 at every length and every
+allowed number of edits.
 
-Windows start at every word of a document. Items are entered with every word as a start as well, so
-an edit spoils only the starts before it. What collides is confirmed: the item against the
-document around the place, by exact edit distance in words, with the ends in the document free.
+Windows with fewer than ``n - k`` words that occur in the item at all cannot hold it. What is left
+is confirmed: the item against the window, by exact edit distance in words, with the ends in the
+document free. Reported is the stretch with the fewest edits, of those the one that ends first, of
+those the shortest.
 
 Items are read in blocks of bounded bytes; each block is one pass over the documents.
 
@@ -21,64 +23,52 @@ no documents or no items nothing is found.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.words import Slice, mix, slices
+from gleaner.llm.words import Slice, mix, slices, window_starts
 
 MIN_WORDS = 5
 RATE = 0.2  # edits allowed per word of the item
 BLOCK_BYTES = 16 << 20
-WALKS = 3
-# Items by length: fewest words, steps of the walk, places sampled.
-CLASSES = [(16, 24, 8), (MIN_WORDS, 8, 5)]
+CHUNK = 1 << 21  # words of windows that are looked at together
 _FILTER_BITS = 22
 
 
-@dataclass
-class Walk:
-    factors: np.ndarray  # one per step: its product's top bit moves the cursor
-    sampled: np.ndarray  # whether a step's word is part of the hash
-
-    def hash(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Hash of the embedding of the sequences that begin at ``at``.
-
-        ``words`` must hold as many zeros behind every text as the walk has steps.
-        """
-        at = at.copy()
-        seen = np.zeros(len(at), np.uint64)
-        last = int(np.flatnonzero(self.sampled)[-1])
-        for step in range(last + 1):
-            here = words[at]
-            if self.sampled[step]:
-                seen = (seen ^ here) * np.uint64(0x9FB21C651E98DF25)
-                seen ^= seen >> np.uint64(29)
-            at += ((here * self.factors[step]) >> np.uint64(63)).astype(np.int64)
-        return seen
-
-
-def walks(steps: int, places: int) -> list[Walk]:
-    made = []
-    for w in range(WALKS):
-        rng = np.random.default_rng([steps, places, w])
-        sampled = np.zeros(steps, bool)
-        sampled[rng.choice(steps, places, replace=False)] = True
-        factors = rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        made.append(Walk(factors, sampled))
-    return made
-
-
-def padded(words: np.ndarray, of_text: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words with ``gap`` zeros behind every text, place of each word)."""
-    counts = np.diff(of_text)
-    place = np.arange(len(words)) + np.repeat(np.arange(len(counts)) * gap, counts)
-    out = np.zeros(len(words) + gap * len(counts) + gap, np.uint64)
-    out[place] = words
-    return out, place
+def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """One number for every run of ``width`` words, by where it begins."""
+    n = max(len(words) - width + 1, 0)
+    seen = np.zeros(n, np.uint64)
+    for i in range(width):
+        seen = (seen ^ words[i : i + n]) * np.uint64(0x9FB21C651E98DF25)
+        seen ^= seen >> np.uint64(29)
+    return seen
+
+
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(offset, words) of the pieces of an item of ``n`` words, one more than it may have edits."""
+    cuts = [n * i // (int(RATE * n) + 1) for i in range(int(RATE * n) + 2)]
+    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def chunks(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of rows whose sizes add up to about ``CHUNK``, one row at least."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(ends):
+        done = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, done + CHUNK, "right")), first + 1)
+        yield slice(first, last)
+        first = last
+
+
+def flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -94,70 +84,129 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def stretches(items: np.ndarray, text: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The fewest edits from an item to a stretch of its window, for windows laid one after another.
+
+    Window ``i`` is ``text[edges[i]:edges[i + 1]]``, and row ``i`` of ``items`` is its item; all items
+    have one length.
+    """
+    n = items.shape[1]
+    sizes = np.diff(edges)
+    # Between windows lie more blanks than an item has words, and no edit distance crosses them.
+    shift = np.arange(len(sizes)) * (n + 1)
+    row = np.zeros(len(text) + (n + 1) * len(sizes) + 1, np.int64)
+    place = flat(edges[:-1] + shift, sizes)
+    columns = np.arange(len(row))
+    differs = np.ones(len(row) - 1, np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    for i in range(n):
+        differs[place] = text != items[of, i]
+        step = np.empty_like(row)
+        step[0] = i + 1
+        step[1:] = np.minimum(row[1:] + 1, row[:-1] + differs)
+        row = np.minimum.accumulate(step - columns) + columns
+    return np.minimum.reduceat(row[1:][place], edges[:-1])
+
+
 class Items:
-    """A block of items, ready to be looked up by hash."""
+    """A block of items, ready to be looked up by their pieces."""
 
     def __init__(self, rows: list[tuple[object, np.ndarray]]):
         self.rows = [(i, w) for i, w in rows if len(w) >= MIN_WORDS]
+        self.sizes = np.array([len(w) for _, w in self.rows], np.int64)
+        self.most = np.array([int(RATE * n) for n in self.sizes], np.int64)
+        made: dict[int, list[tuple[np.uint64, int, int]]] = {}
+        for n, (_, w) in enumerate(self.rows):
+            for offset, width in pieces(len(w)):
+                made.setdefault(width, []).append((run_hashes(w[offset : offset + width], width)[0], n, offset))
         self.tables = []
-        for c, (fewest, steps, places) in enumerate(CLASSES):
-            most = CLASSES[c - 1][0] - 1 if c else None
-            mine = [n for n, (_, w) in enumerate(self.rows) if len(w) >= fewest and (most is None or len(w) <= most)]
-            if not mine:
-                continue
-            words = np.concatenate([self.rows[n][1] for n in mine])
-            ends = np.concatenate([[0], np.cumsum([len(self.rows[n][1]) for n in mine])])
-            row, place = padded(words, ends, steps)
-            of = np.repeat(np.array(mine), np.diff(ends))
-            offset = np.arange(len(words)) - np.repeat(ends[:-1], np.diff(ends))
-            # A start with almost no item left says nothing, except the item's own.
-            use = (np.repeat(ends[1:], np.diff(ends)) - np.arange(len(words)) >= steps // 2) | (offset == 0)
-            for walk in walks(steps, places):
-                keys = walk.hash(row, place[use])
-                order = np.argsort(keys, kind="stable")
-                maybe = np.zeros(1 << _FILTER_BITS, bool)
-                maybe[keys >> np.uint64(64 - _FILTER_BITS)] = True
-                self.tables.append((steps, walk, keys[order], of[use][order], offset[use][order], maybe))
+        for width, got in sorted(made.items()):
+            keys, of, offset = (np.array(x) for x in zip(*got, strict=True))
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((width, keys[order], of[order], offset[order], self._filter(keys)))
+        words = np.concatenate([self._of_item(w, np.full(len(w), n)) for n, (_, w) in enumerate(self.rows)] or [np.zeros(0, np.uint64)])
+        self.words = np.unique(words)
+        self.maybe = self._filter(self.words)
+
+    @staticmethod
+    def _of_item(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """One number for every word in an item."""
+        return mix(words ^ mix(item.astype(np.uint64) + np.uint64(1)))
+
+    @staticmethod
+    def _filter(keys: np.ndarray) -> np.ndarray:
+        maybe = np.zeros(1 << _FILTER_BITS, bool)
+        maybe[keys >> np.uint64(64 - _FILTER_BITS)] = True
+        return maybe
 
     def find(self, s: Slice) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, words, distance): the best stretch per row and item, starts in words."""
         words = s.hashes(fold=True)
-        places: set[tuple[int, int, int]] = set()
         texts = s.text_of_word()
-        made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for steps, walk, keys, of, offset, maybe in self.tables:
-            row, place = made.setdefault(steps, padded(words, s.of_text, steps))
-            seen = walk.hash(row, place)
-            hit = np.flatnonzero(maybe[seen >> np.uint64(64 - _FILTER_BITS)])
-            low = np.searchsorted(keys, seen[hit], "left")
-            high = np.searchsorted(keys, seen[hit], "right")
-            for at, a, b in zip(hit[low < high], low[low < high], high[low < high], strict=True):
-                t = int(texts[at])
-                places.update((t, int(of[k]), int(at - offset[k] - s.of_text[t])) for k in range(a, b))
-        return self._confirm(s, words, places)
-
-    def _confirm(self, s: Slice, words: np.ndarray, places: set[tuple[int, int, int]]):
+        left = [np.zeros((3, 0), np.int64)]
+        for width, keys, of, offset, maybe in self.tables:
+            at = window_starts(s.of_text, width)
+            seen = run_hashes(words, width)[at]
+            some = maybe[seen >> np.uint64(64 - _FILTER_BITS)]
+            at, seen = at[some], seen[some]
+            low, high = np.searchsorted(keys, seen, "left"), np.searchsorted(keys, seen, "right")
+            for part in chunks(high - low):
+                k = flat(low[part], (high - low)[part])
+                begin = np.repeat(at[part], (high - low)[part])
+                left.append(self._possible(s, words, texts[begin], of[k], begin - offset[k]))
+        return self._confirm(s, words, np.unique(np.concatenate(left, axis=1), axis=1))
+
+    def _window(self, s: Slice, t: np.ndarray, n: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The window of an item that lies at ``start`` but for its edits."""
+        return (
+            np.maximum(start - self.most[n], s.of_text[t]),
+            np.minimum(start + self.sizes[n] + self.most[n], s.of_text[t + 1]),
+        )
+
+    def _possible(self, s: Slice, words: np.ndarray, t: np.ndarray, n: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """(text, item, start) of the places whose windows hold enough of the item's words."""
+        if not len(t):
+            return np.zeros((3, 0), np.int64)
+        t, n, start = np.unique(np.stack([t, n, start]), axis=1)
+        kept = []
+        low, high = self._window(s, t, n, start)
+        for part in chunks(high - low):
+            size = (high - low)[part]
+            keys = self._of_item(words[flat(low[part], size)], np.repeat(n[part], size))
+            held = self.maybe[keys >> np.uint64(64 - _FILTER_BITS)]
+            at = np.minimum(np.searchsorted(self.words, keys[held]), len(self.words) - 1)
+            held[held] = self.words[at] == keys[held]
+            count = np.add.reduceat(held.astype(np.int64), np.cumsum(size) - size)
+            kept.append(count >= (self.sizes - self.most)[n[part]])
+        return np.stack([t, n, start])[:, np.concatenate(kept)]
+
+    def _confirm(self, s: Slice, words: np.ndarray, places: np.ndarray):
+        t, n, start = places
+        if not len(t):
+            return []
+        low, high = self._window(s, t, n, start)
+        # Windows of one text and item that overlap are one. They are in order, and of one length but for the text's ends.
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (n[1:] != n[:-1]) | (low[1:] > high[:-1])])
+        first = np.flatnonzero(new)
+        t, n, low, high = t[first], n[first], low[first], np.maximum.reduceat(high, first)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried: dict[tuple[int, int], list[int]] = {}
-        for t, n, start in sorted(places):
-            item = self.rows[n][1]
-            most = int(RATE * len(item))
-            # Places nearer than the free ends see the same stretch.
-            if any(abs(start - o) <= most // 2 for o in tried.get((t, n), ())):
-                continue
-            tried.setdefault((t, n), []).append(start)
-            text = words[s.of_text[t] : s.of_text[t + 1]]
-            slack = most + most // 2
-            low = max(0, start - slack)
-            high = min(len(text), start + len(item) + slack)
-            distance, end = edit_distance(item, text[low:high])
-            if distance > most:
-                continue
-            _, back = edit_distance(item[::-1], text[low : low + end][::-1])
-            found = (distance, low + end - back, back)
-            if (t, n) not in best or found < best[t, n]:
-                best[t, n] = found
-        return [(t, n, start, size, distance) for (t, n), (distance, start, size) in sorted(best.items())]
+        for size in np.unique(self.sizes[n]):
+            mine = np.flatnonzero(self.sizes[n] == size)
+            for part in chunks((high - low)[mine]):
+                own = mine[part]
+                edges = np.concatenate([[0], np.cumsum((high - low)[own])])
+                text = words[flat(low[own], (high - low)[own])]
+                used, row = np.unique(n[own], return_inverse=True)
+                least = stretches(np.stack([self.rows[i][1] for i in used])[row], text, edges)
+                for k in own[least <= self.most[n[own]]].tolist():
+                    item = self.rows[n[k]][1]
+                    distance, end = edit_distance(item, words[low[k] : high[k]])
+                    _, back = edit_distance(item[::-1], words[low[k] : low[k] + end][::-1])
+                    row_item = int(t[k]), int(n[k])
+                    found = (distance, int(low[k] - s.of_text[t[k]]) + end, back)
+                    if row_item not in best or found < best[row_item]:
+                        best[row_item] = found
+        return [(t, n, end - size, size, distance) for (t, n), (distance, end, size) in sorted(best.items())]
 
 
 def _blocks(items: DataFrame, identity: str, text: str) -> Iterator[Items]:

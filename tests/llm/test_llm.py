@@ -122,6 +122,39 @@ def test_decontamination_finds_whole_and_edited_items(spark, docs, texts):
     assert kept == set(texts) - {d for d, _ in found}
 
 
+def test_decontamination_finds_all_that_the_edit_distance_allows(spark):
+    """Every length at the most edits it may have, among words that repeat, against the whole texts."""
+    rng = np.random.default_rng(7)
+    word = [f"v{i}" for i in range(40)]
+    items, rows = {}, {}
+    for n in range(2, 41):
+        for again in range(4):
+            k = n // 5
+            w = [word[i] for i in rng.integers(0, 40, n)]
+            items[4 * n + again] = list(w)
+            for _ in range(k):
+                at, kind = int(rng.integers(0, len(w))), "sid"[int(rng.integers(0, 3)) if again % 2 else 0]
+                w[at : at + (kind != "i")] = [] if kind == "d" else [f"new{rng.integers(0, 9)}"]
+            around = [[word[i] for i in rng.integers(0, 40, int(rng.integers(0, 60)))] for _ in range(2)]
+            rows[4 * n + again] = around[0] + w + around[1]
+    for twice in (200, 201):
+        rows[twice] = rows[100] + rows[twice - 60] + rows[100]
+    number = {w: i for i, w in enumerate({w for x in [*items.values(), *rows.values()] for w in x})}
+    want = {}
+    for i, b in items.items():
+        b = np.array([number[w] for w in b], np.uint64)
+        for d, t in rows.items() if len(b) >= 5 else ():
+            t = np.array([number[w] for w in t], np.uint64)
+            distance, end = decontaminate.edit_distance(b, t)
+            if distance <= len(b) // 5:
+                want[d, i] = (distance, end, decontaminate.edit_distance(b[::-1], t[:end][::-1])[1])
+    assert all((i, i) in want for i, b in items.items() if len(b) >= 5)
+    tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in x.items()], f"{c} bigint, text string") for x, c in ((rows, "doc_id"), (items, "item_id"))]
+    found = decontaminate.search(*tables).collect()
+    assert {(r.doc_id, r.item_id): (r.distance, r.start_word + r.n_words, r.n_words) for r in found} == want
+    assert {r.doc_id for r in decontaminate.clean(*tables).collect()} == set(rows) - {d for d, _ in want}
+
+
 def test_near_groups_in_blocks_alone(spark, monkeypatch):
     """Without rounds of pivots, blocks of three nodes find what brute force finds."""
     rng = np.random.default_rng(5)
