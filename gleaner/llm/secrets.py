@@ -5,6 +5,10 @@ tokens only if what they decode to has the structure it must have: a DER sequenc
 lengths add up, the length-prefixed fields of an SSH key, a signed token whose header is JSON
 with an algorithm.
 
+Where a key ends is read from its lengths and not from the text around it: words on the lines after
+an unpadded key are not part of it, and a last line may have any number of characters. The end must
+be the end of a line. Lines may be indented, and their ends may be written out as backslash and n.
+
 Defined cases: a null text is scanned as an empty one; ids may be null or repeat, every row gives
 one row; further columns are ignored; an empty table gives an empty one. Texts are scanned whole.
 Two spans of one kind never overlap; spans of different kinds may.
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -32,9 +37,19 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # the maximal runs of [0-9a-f]+ that have 32 characters or more
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 # Base64 in one piece or in lines, as key files have it.
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{20,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+_BREAK = r"[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*"
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{{20,}}(?:{_BREAK}[A-Za-z0-9+/]+)*")
+_BREAKS = re.compile(_BREAK)
+_PADS = [re.compile(rf"(?:(?:{_BREAK})?=){{0,{n}}}") for n in range(3)]
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}")
 
+_SSH_TYPE = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$")
+_SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"sk-ssh-ed25519@openssh.com": 3} | {
+    b"ecdsa-sha2-nistp" + bits: 3 for bits in (b"256", b"384", b"521")
+}
+_SSH_FILE = b"openssh-key-v1\x00"
+_TAG = 16  # bytes that some ciphers add behind the last field
+
 Span = tuple[str, int, int]
 
 
@@ -92,25 +107,92 @@ def _is_algorithm(data: bytes, item: tuple[int, int, int]) -> bool:
     return bool(inner) and inner[0][0] == 0x06
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields that fill the whole, the first naming a key type; or a private key file."""
-    if data.startswith(b"openssh-key-v1\x00"):
-        return _fields(data, len(b"openssh-key-v1\x00"), 3) is not None
-    fields = _fields(data, 0, None)
-    return bool(fields) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]) is not None
-
-
-def _fields(data: bytes, at: int, most: int | None) -> list[bytes] | None:
-    found: list[bytes] = []
-    while at < len(data) and (most is None or len(found) < most):
-        if at + 4 > len(data):
-            return None
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
+class Written:
+    """Base64 characters in lines; reads what is written from the start of a line on."""
+
+    def __init__(self, text: str, start: int, end: int):
+        breaks = [m.span() for m in _BREAKS.finditer(text, start, end)]
+        self.starts = [start, *(b for _, b in breaks)]
+        self.ends = [*(a for a, _ in breaks), end]
+        self.body = "".join(text[a:b] for a, b in zip(self.starts, self.ends, strict=True))
+        self.line_at = {0: 0}  # by characters before it
+        for line, (a, b) in enumerate(zip(self.starts, self.ends, strict=True)):
+            self.line_at[next(reversed(self.line_at)) + b - a] = line + 1
+        self.before = list(self.line_at)
+
+    def read(self, line: int, first: int, end: int) -> bytes:
+        """Bytes ``first`` to ``end`` of what begins with the line, fewer where it ends."""
+        at, skip = self.before[line], first // 3
+        piece = self.body[at + 4 * skip : at + 4 * -(-end // 3)]
+        return _base64(piece[: len(piece) - (len(piece) % 4 == 1)])[first - 3 * skip : end - 3 * skip]
+
+    def has(self, line: int, size: int) -> bool:
+        return self.before[line] + -(-4 * size // 3) <= len(self.body)
+
+    def line_after(self, line: int, size: int) -> int | None:
+        """The line after ``size`` bytes that begin with the line, or None if they do not end with one."""
+        return self.line_at.get(self.before[line] + -(-4 * size // 3))
+
+
+def key_in(w: Written, line: int) -> tuple[str, int] | None:
+    """(kind, bytes) of the key that begins with the line, if there is one."""
+    head = w.read(line, 0, 80)
+    outer = _der_item(head, 0, 1 << 40)
+    if outer and outer[0] == 0x30:
+        whole = w.line_after(line, outer[2]) is not None and is_der_key(w.read(line, 0, outer[2]))
+        return ("der_key", outer[2]) if whole else None
+    size = _ssh_file(w, line) if head.startswith(_SSH_FILE) else _ssh_key(w, line)
+    return ("ssh_key", size) if size else None
+
+
+def _field(w: Written, line: int, at: int) -> int | None:
+    """Where the length-prefixed field at ``at`` ends, if it is all there."""
+    size = w.read(line, at, at + 4)
+    end = at + 4 + int.from_bytes(size, "big")
+    return end if len(size) == 4 and w.has(line, end) else None
+
+
+def _ssh_key(w: Written, line: int) -> int | None:
+    """Bytes of length-prefixed fields, the first naming a key type, that end with a line."""
+    at, kind, found = 0, None, {}
+    for count in itertools.count(1):
+        end = _field(w, line, at)
+        if end is None:
+            break
+        name = w.read(line, at + 4, min(end, at + 68))
+        if count == 1 and not _SSH_TYPE.match(name):
+            break
+        if found and _SSH_TYPE.match(name):  # the next key
+            break
+        kind, at = kind or name, end
+        if count > 1 and w.line_after(line, at) is not None:
+            found[count] = at
+        if count == _SSH_FIELDS.get(kind) and count in found:
+            return at
+    return max(found.values(), default=None)
+
+
+def _ssh_file(w: Written, line: int) -> int | None:
+    """Bytes of a private key file: three fields, how many keys, their public fields and a private one.
+
+    One that breaks off after the three fields is taken to fill all lines.
+    """
+    at = len(_SSH_FILE)
+    for _ in range(3):
+        at = _field(w, line, at)
+        if at is None:
             return None
-        found.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-    return found
+    keys, at = w.read(line, at, at + 4), at + 4
+    for _ in range(int.from_bytes(keys, "big") + 1):
+        end = _field(w, line, at)
+        if end is None:
+            break
+        at = end
+    else:
+        for size in (at, at + _TAG):
+            if w.line_after(line, size) is not None:
+                return size
+    return (len(w.body) - w.before[line]) * 3 // 4
 
 
 def is_signed_token(token: str) -> bool:
@@ -149,17 +231,18 @@ def base_spans(text: str) -> list[Span]:
 def confirmed_spans(text: str) -> list[Span]:
     found: list[Span] = []
     for m in _BASE64.finditer(text):
-        body = re.sub(r"[\r\n=]", "", m[0])
-        # Every key encoding here starts with a DER sequence, a field length or the file's name.
-        if body[0] not in "MAb" or len(body) < 40:
-            continue
-        try:
-            data = _base64(body)
-        except ValueError:
-            continue
-        kind = "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
-        if kind:
-            found.append((kind, *m.span()))
+        escaped = text[m.start() - 1 : m.start()] == "\\" and text[m.start()] in "nrt"
+        w, line = Written(text, m.start() + escaped, m.end()), 0
+        while line < len(w.starts):
+            first, line = line, line + 1
+            # Every key encoding here starts with a DER sequence, a field length or the file's name.
+            if text[w.starts[first]] not in "MAb" or w.ends[first] - w.starts[first] < 20:
+                continue
+            kind, size = key_in(w, first) or ("", 0)
+            if -(-4 * size // 3) >= 40:
+                line = w.line_after(first, size) or len(w.starts)
+                end = w.ends[line - 1]
+                found.append((kind, w.starts[first], _PADS[-size % 3].match(text, end).end()))
     for m in _ANY_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             found.append(("der_key", *m.span()))

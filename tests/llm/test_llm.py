@@ -249,6 +249,35 @@ def test_secrets_are_confirmed_by_structure():
     assert secrets.confirmed_spans("MAAA" * 20 + " AAAA" * 20 + " eyJub3Bl.QUJD.QUJDQUJDQUJDQUJD") == []
 
 
+def ssh(*parts):
+    return b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\n    ", "\n\t"])
+def test_wrapped_keys_of_every_size(end):
+    """Lines of 64 and 70 characters, padded or not, before a line of base64 characters and after one."""
+    for size in range(120, 220):
+        number = der(2, bytes([1]) * 10)
+        key = der(0x30, der(2, b"\0"), *[number] * 5, der(2, bytes([1]) * (size - 72)))
+        public = ssh(b"ssh-rsa", b"\1\0\1", bytes([7]) * size)
+        file = b"openssh-key-v1\0" + ssh(b"none", b"none", b"") + (1).to_bytes(4, "big") + ssh(b"k" * 51, b"p" * size)
+        for data, kind in ((key, "der_key"), (public, "ssh_key"), (file, "ssh_key")):
+            for width in (64, 70):
+                for code in (base64.b64encode(data).decode(), base64.b64encode(data).decode().rstrip("=")):
+                    secret = end.join(code[i : i + width] for i in range(0, len(code), width))
+                    for before, after in (("-----BEGIN KEY-----" + end, end + "-----END KEY-----"), ("key ", end + "Thanks for"), ("a" * 30 + end, end + "ab")):
+                        at = len(before)
+                        assert secrets.confirmed_spans(before + secret + after) == [(kind, at, at + len(secret))], (size, kind, width, code, before)
+
+
+def test_keys_on_lines_of_their_own():
+    keys = [base64.b64encode(ssh(b"ssh-ed25519", bytes([i]) * 32)).decode().rstrip("=") for i in range(3)]
+    text = "\n".join(keys)
+    n = len(keys[0])
+    assert secrets.confirmed_spans(text) == [("ssh_key", i * (n + 1), i * (n + 1) + n) for i in range(3)]
+    assert secrets.confirmed_spans(text[: n - 4]) == []
+
+
 def test_base_secrets():
     text = 'token=abc PASSWORD: "longenough1" AKIAABCDEFGHIJKL ' + "0a" * 16
     assert secrets.base_spans(text) == [("assign", 10, 32), ("access", 34, 50), ("hex", 51, 83)]
