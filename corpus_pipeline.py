@@ -25,13 +25,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.
+    """One row of each group of near-duplicates: the one with the smallest id, nulls last.
 
-    Rows that repeat an id come down to one as well.
+    Groups are of rows, so ids may be null or repeat: rows that share an id come down to one only if
+    their texts are near-duplicates. Among rows of one group and id the text's hash decides, then the
+    place. A text without words is a group of its own.
     """
-    groups = neardup.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    gone = materialize(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = neardup.near_duplicates(rows, SHINGLE_WORDS, SIMILAR_PERCENT, identity="_row")
+    groups = groups.select(F.col("_row").alias("_of"), F.col("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    placed = materialize(
+        rows.select("_row", order.alias("_order")).join(groups, F.col("_row") == F.col("_of")).select("_group", "_order"),
+        "placed",
+    )
+    first = placed.groupBy("_group").agg(F.min("_order").alias("_first"))
+    kept = materialize(first.select(F.col("_first._row").alias("_of")), "kept")
+    return rows.join(kept, F.col("_row") == F.col("_of"), "left_semi").drop("_row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

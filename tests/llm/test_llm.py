@@ -332,6 +332,22 @@ def test_chat_marks_are_escaped(spark):
     assert chat.digests(chat.expand(turns.limit(0))).count() == 0
 
 
+def test_near_dedup_goes_by_row(spark):
+    """Null ids and repeated ids, with equal, near and different texts."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    near = {t: t + " more" for t in (a, b, c)}
+    rows = [
+        (3, a), (None, near[a]), (None, d), (None, e), (None, e),  # a null id near another, on its own, and twice
+        (1, b), (7, near[b]), (7, c), (7, near[c]),  # an id with different texts, one near a smaller id
+        (9, "f g"), (9, "f g"), (4, None), (4, None),
+    ]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF)
+    assert got.columns == ["doc_id", "text"]
+    found = collections.Counter((r.doc_id, r.text) for r in got.collect())
+    assert sum(found.pop((7, t), 0) for t in (c, near[c])) == 1
+    assert found == {(3, a): 1, (None, d): 1, (None, e): 1, (1, b): 1, (9, "f g"): 1, (4, None): 2}
+
+
 def test_pipeline(spark, docs, texts):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {r.doc_id for r in rows} <= set(texts)
