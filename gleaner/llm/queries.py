@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontaminate, lines, lm, mixing, neardup, quality, secrets, sharding, substrings
+from gleaner.llm import (
+    chat,
+    decontaminate,
+    importance,
+    lines,
+    lm,
+    mixing,
+    neardup,
+    neighbours,
+    phrases,
+    quality,
+    secrets,
+    sharding,
+    substrings,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -282,6 +296,107 @@ FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g ON g.doc_id = d.doc_i
 """
 
 
+# --- 11 -------------------------------------------------------------------------------------
+
+
+@register
+def op11_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
+
+
+# --- 12 -------------------------------------------------------------------------------------
+
+
+@register
+def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    drawn = importance.resample(docs, table(spark, sf, "benchmark"), longest=1, buckets=10_000, percent=10)
+    return drawn.drop("n_words")
+
+
+# CRC-32 byte by byte, over the distinct words.
+SQL["op12_importance_resampling"] = r"""
+WITH steps AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda s, i: CASE WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END) AS c
+    FROM range(256) r(b))),
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+v AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark),
+o AS (SELECT doc_id, unnest(w) AS word FROM w),
+d AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM o UNION SELECT word FROM v)),
+c AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)),
+                               lambda s, b: xor(s >> 8, steps.t[(xor(s, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM d, steps),
+s AS (SELECT bucket, count(*) AS n FROM o JOIN c USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM v JOIN c USING (word) GROUP BY bucket),
+g AS (
+  SELECT b AS bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+           / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) r(b) LEFT JOIN s ON s.bucket = b LEFT JOIN t ON t.bucket = b),
+f AS (
+  SELECT w.doc_id, len(w.w)::BIGINT AS n_features,
+         coalesce(floor(x.total / x.n::DOUBLE)::BIGINT, 0) AS weight
+  FROM w LEFT JOIN (SELECT doc_id, count(*) AS n, sum(gain) AS total FROM o JOIN c USING (word) JOIN g USING (bucket) GROUP BY doc_id) x
+    ON x.doc_id = w.doc_id),
+p AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0)))::BIGINT AS score
+  FROM f),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM p WHERE n_features >= 20)
+SELECT p.doc_id, p.n_features, p.weight, p.score,
+       CASE WHEN r.rank <= (SELECT count(*) * 10 // 100 FROM r) THEN r.rank END AS rank
+FROM p LEFT JOIN r ON r.doc_id = p.doc_id
+"""
+
+
+# --- 13 -------------------------------------------------------------------------------------
+
+
+@register
+def op13_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"), longest=5, least=100, top=2000)
+
+
+SQL["op13_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?
+-
+]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+g AS (
+  SELECT lang, list_aggregate(w[i:i + m - 1], 'string_agg', ' ') AS phrase, m
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) r(m))),
+f AS (SELECT lang, phrase, any_value(m) AS m, count(*) AS a FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+x AS (
+  SELECT lang, unnest([array_to_string(w[1:m - 1], ' '), array_to_string(w[2:m], ' ')]) AS phrase, a AS larger
+  FROM c WHERE m > 2),
+k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.larger >= 100 * c.a)),
+u AS (SELECT *, unnest(range(1, m)) AS cut FROM k),
+s AS (
+  SELECT u.lang, u.phrase, u.a, u.cut, l.a AS l, r.a AS r, n.n,
+         (1000::HUGEINT * u.a * n.n::HUGEINT // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(u.w[1:u.cut], ' ')
+         JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(u.w[u.cut + 1:u.m], ' ')
+         JOIN n ON n.lang = u.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+WHERE rank <= 2000
+"""
+
+
 # --- pipeline -------------------------------------------------------------------------------
 
 
