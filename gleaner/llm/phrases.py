@@ -7,15 +7,17 @@ punctuation and line ends, and pieces into words.
 Counting. A task keeps a shallow trie: the root is indexed by the number of a phrase's first word
 and holds hash containers of the remaining words. A container that grows beyond ``BURST`` entries
 bursts into one container per next word. When the trie holds more than ``HELD`` entries, its largest
-subtrees leave whole, as runs sorted by phrase, and their room is free again. Runs are dealt by
-prefix (the first two words, and an eighth of what follows, so that a prefix with very many
-continuations is spread out) and the counts of equal phrases are added up there. A phrase is one row
-per run, however often it occurs.
-
-Three counts follow each other: words, pairs of frequent words, and longer phrases all of whose pairs
-are frequent. A part of a frequent phrase is as frequent as the phrase, so nothing is lost. What is
-frequent is told to the tasks as a bitmap of ``BITMAP_BITS`` bits, whatever the corpus: a wrong bit
-costs an entry in a trie and never a result.
+subtrees leave whole, as sorted runs, and their room is free again. Runs are dealt by prefix (the
+first word, and an eighth of what follows, so that a prefix with very many continuations is spread
+out) and the counts of equal phrases are added up there. A phrase is one entry per run, however
+often it occurs.
+
+Nearly all phrases are rare, so they are first counted by keys of ``KEY_BITS`` bits, in packed runs of
+about three bytes a phrase: words, then pairs of words that are frequent, then longer phrases all of
+whose pairs are. Phrases that share a key are counted together, which only adds, and a part of a
+frequent phrase is as frequent as the phrase, so nothing is lost. What may be frequent is told to the
+tasks as bitmaps of ``BITMAP_BITS`` bits, whatever the corpus: a wrong bit costs an entry in a trie
+and never a result. A last pass counts these phrases exactly, by their words.
 
 Scores are exact: products are decimals of 38 digits, quotients are floored whole numbers.
 
@@ -32,25 +34,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.splitting import alphabet, folded, resplit
 from gleaner.llm.words import Slice, mix, slices
+from gleaner.operators.ranking import rank_in_group
 from gleaner.storage import materialize
 
 LONGEST = 5
 MIN_COUNT = 100
 BURST = 4096
 HELD = 1 << 20
+KEY_BITS, PREFIX_BITS = 40, 16
 BITMAP_BITS = 1 << 26
-TOP_PARTS = 64
 TAIL_PARTS = 8
 # Punctuation and line ends part pieces; space and tab part words.
 BREAKS = alphabet(*((ord(c), ord(c)) for c in ".,;:!?"), (0x0A, 0x0D))
 INSIDE = ~(BREAKS | alphabet((0x20, 0x20), (0x09, 0x09)))
 
-RUN = "lang string, phrase string, part int, key bigint, n bigint"
+_REST_BITS = np.uint64(KEY_BITS - PREFIX_BITS)
+PACKED = "part int, entries bigint, keys binary, counts binary"
+RUN = "lang string, phrase string, part int, n bigint"
 
 
 # --- the trie -------------------------------------------------------------------------------
@@ -109,39 +114,52 @@ class BurstTrie:
 
 
 class _Lexicon:
-    """Numbers of the (language, word) pairs a task meets, with their texts and hashes."""
+    """Numbers of the (language, word) pairs a task meets, with their hashes and, if wanted, texts."""
 
-    def __init__(self):
+    def __init__(self, texts: bool):
         self.number: dict[int, int] = {}
-        self.words: list[bytes] = []
-        self.langs: list[int] = []
-        self.hashes: list[int] = []
+        self.texts, self.words, self.langs = texts, [], []
 
     def numbers(self, s: Slice, at: np.ndarray, hashes: np.ndarray, langs: np.ndarray) -> np.ndarray:
         """One number for each of the words ``at``."""
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        out = np.empty(len(keys), np.int64)
-        for i, (key, j) in enumerate(zip(keys.tolist(), first.tolist(), strict=True)):
-            n = self.number.get(key)
+        number, out = self.number, []
+        for key, j in zip(keys.tolist(), first.tolist(), strict=True):
+            n = number.get(key)
             if n is None:
-                n = self.number[key] = len(self.words)
-                self.words.append(folded(s, int(at[j])))
-                self.langs.append(int(langs[j]))
-                self.hashes.append(key)
-            out[i] = n
-        return out[back]
+                n = number[key] = len(number)
+                if self.texts:
+                    self.words.append(folded(s, int(at[j])))
+                    self.langs.append(int(langs[j]))
+            out.append(n)
+        return np.array(out, np.int64)[back]
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(self.number, np.uint64, len(self.number))
 
 
 def _chain(keys: np.ndarray, nexts: np.ndarray) -> np.ndarray:
-    """The key of a sequence from that of its beginning and its next word."""
+    """The hash of a sequence from that of its beginning and its next word."""
     return mix(keys * np.uint64(3) + nexts)
 
 
+def phrase_keys(first: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Keys that begin with the prefix: the first word and an eighth of the whole phrases."""
+    prefix = mix(first + (whole & np.uint64(TAIL_PARTS - 1))) >> np.uint64(64 - PREFIX_BITS)
+    return (prefix << _REST_BITS) | (whole >> (np.uint64(64) - _REST_BITS))
+
+
+def _partition(keys: np.ndarray, partitions: int) -> np.ndarray:
+    return ((keys >> _REST_BITS) * np.uint64(partitions) >> np.uint64(PREFIX_BITS)).astype(np.int64)
+
+
 class _Counter:
     """The trie of one task, its lexicon and the runs that leave it."""
 
-    def __init__(self):
-        self.trie, self.lexicon, self.languages = BurstTrie(), _Lexicon(), {}
+    def __init__(self, partitions: int, texts: bool):
+        self.partitions, self.texts = partitions, texts
+        self.trie, self.lexicon, self.languages = BurstTrie(), _Lexicon(texts), {}
+        self.single: dict[int, int] = {}  # words alone, by hash or number
 
     def language(self, name: str) -> tuple[int, int]:
         """(number, 64-bit salt) of a language."""
@@ -150,70 +168,117 @@ class _Counter:
             self.languages[name] = (len(self.languages), int.from_bytes(digest[:8], "little"))
         return self.languages[name]
 
+    def insert_words(self, words: np.ndarray) -> None:
+        single = self.single
+        found, counts = np.unique(words, return_counts=True)
+        for word, c in zip(found.tolist(), counts.tolist(), strict=True):
+            single[word] = single.get(word, 0) + c
+
     def insert(self, sequences: np.ndarray) -> None:
-        """Word numbers, one row per occurrence."""
+        """Word numbers, one row per occurrence, two or more words each."""
         if not len(sequences):
             return
-        order = np.lexsort(sequences.T[::-1])
-        ordered = sequences[order]
-        new = np.flatnonzero(np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)]))
-        counts = np.diff(np.append(new, len(ordered))).tolist()
-        ordered = ordered[new]
+        if sequences.shape[1] == 2:
+            pairs, counts = np.unique(sequences[:, 0] << 32 | sequences[:, 1], return_counts=True)
+            ordered = np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1)
+        else:
+            ordered = sequences[np.lexsort(sequences.T[::-1])]
+            new = np.flatnonzero(np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)]))
+            counts = np.diff(np.append(new, len(ordered)))
+            ordered = ordered[new]
+        counts, firsts = counts.tolist(), ordered[:, 0]
         width = 4 * (ordered.shape[1] - 1)
         packed = np.ascontiguousarray(ordered[:, 1:].astype("<u4")).tobytes()
-        rests = [packed[i : i + width] for i in range(0, len(packed), width)] if width else [b""] * len(ordered)
-        firsts = ordered[:, 0]
+        rests = [packed[i : i + width] for i in range(0, len(packed), width)]
         bounds = np.append(np.flatnonzero(np.concatenate([[True], firsts[1:] != firsts[:-1]])), len(firsts)).tolist()
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             self.trie.add(int(firsts[a]), rests[a:b], counts[a:b])
 
+    def full(self) -> bool:
+        return self.trie.entries + len(self.single) > HELD
+
     def runs(self, keep: int) -> Iterator[pa.RecordBatch]:
-        """Subtrees as sorted runs of about ``HELD // 8`` rows."""
+        """Subtrees as sorted runs of about ``HELD // 2`` entries; words alone all go."""
+        if self.single:
+            words, counts = list(self.single), list(self.single.values())
+            self.single = {}
+            if self.texts:
+                yield self._run(np.array(words), [b""] * len(words), counts)
+            else:
+                hashes = np.array(words, np.uint64)
+                yield self._pack(phrase_keys(hashes, hashes), np.array(counts))
         firsts, rests, counts = [], [], []
         for first, more, n in self.trie.spill(keep):
             firsts.append(np.full(len(n), first))
             rests += more
             counts += n
-            if len(counts) >= HELD // 8:
+            if len(counts) >= HELD // 2:
                 yield self._run(np.concatenate(firsts), rests, counts)
                 firsts, rests, counts = [], [], []
         if counts:
             yield self._run(np.concatenate(firsts), rests, counts)
         if not self.trie.entries:
-            self.lexicon = _Lexicon()
+            self.lexicon = _Lexicon(self.texts)
 
     def _run(self, firsts: np.ndarray, rests: list[bytes], counts: list[int]) -> pa.RecordBatch:
-        lexicon = self.lexicon
-        words = pa.array(lexicon.words, pa.binary())
-        hashes = np.array(lexicon.hashes, np.uint64)
-        lengths = np.array([len(r) // 4 for r in rests])
-        langs = pa.array(list(self.languages)).take(pa.array(np.array(lexicon.langs)[firsts]))
-        counted = np.array(counts)
-        batches = []
+        hashes, counted = self.lexicon.hashes(), np.array(counts)
+        lengths = np.fromiter(map(len, rests), np.int64, len(rests)) // 4
+        words = pa.array(self.lexicon.words, pa.binary()) if self.texts else None
+        phrases, keys, order = [], [], []
         for length in np.unique(lengths):
             at = np.flatnonzero(lengths == length)
             others = np.frombuffer(b"".join([rests[i] for i in at]), "<u4").reshape(len(at), length).astype(np.int64)
-            columns = [words.take(pa.array(firsts[at])), *(words.take(pa.array(others[:, i])) for i in range(length))]
-            phrase = columns[0] if length == 0 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary()))
-            keys = hashes[firsts[at]]
-            prefix = keys
+            whole = hashes[firsts[at]]
             for i in range(length):
-                keys = _chain(keys, hashes[others[:, i]])
-                prefix = keys if i == 0 else prefix
-            part = mix(prefix + (keys % np.uint64(TAIL_PARTS) if length > 1 else np.uint64(0)))
-            batches.append(
-                pa.RecordBatch.from_arrays(
-                    [
-                        langs.take(pa.array(at)),
-                        phrase.cast(pa.string()),
-                        pa.array((part >> np.uint64(33)).astype(np.int32)),
-                        pa.array(keys.view(np.int64)),
-                        pa.array(counted[at]),
-                    ],
-                    ["lang", "phrase", "part", "key", "n"],
-                )
-            )
-        return pa.Table.from_batches(batches).combine_chunks().sort_by([("lang", "ascending"), ("phrase", "ascending")]).to_batches()[0]
+                whole = _chain(whole, hashes[others[:, i]])
+            keys.append(phrase_keys(hashes[firsts[at]], whole))
+            order.append(at)
+            if self.texts:
+                columns = [words.take(pa.array(firsts[at])), *(words.take(pa.array(others[:, i])) for i in range(length))]
+                phrases.append(pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())) if length else columns[0])
+        at, keys = np.concatenate(order), np.concatenate(keys)
+        if not self.texts:
+            return self._pack(keys, counted[at])
+        named = pa.array(list(self.languages), pa.string())
+        run = pa.table(
+            {
+                "lang": named.take(pa.array(np.array(self.lexicon.langs)[firsts[at]])),
+                "phrase": pa.chunked_array(phrases).cast(pa.string()),
+                "part": pa.array(_partition(keys, self.partitions).astype(np.int32)),
+                "n": pa.array(counted[at]),
+            }
+        )
+        return run.sort_by([("part", "ascending"), ("phrase", "ascending")]).combine_chunks().to_batches()[0]
+
+    def _pack(self, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        """A sorted run, cut by partition: byte planes of key differences and of counts, compressed."""
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        part = _partition(keys, self.partitions)
+        bounds = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
+        rows = [
+            (b - a, _planes(np.diff(keys[a:b], prepend=np.uint64(0)), KEY_BITS // 8), _planes(counts[a:b].astype(np.uint64), 6))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+        ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[bounds[:-1]].astype(np.int32)), *(pa.array(c) for c in zip(*rows, strict=True))],
+            schema=_PACKED,
+        )
+
+
+_PACKED = pa.schema([("part", pa.int32()), ("entries", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width])
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _numbers(data: bytes, n: int, width: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
 
 
 # --- counting -------------------------------------------------------------------------------
@@ -224,81 +289,108 @@ def _known(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _sequences(s: Slice, c: _Counter, widths: range, words, pairs) -> Iterator[np.ndarray]:
-    """Word numbers of all sequences to count, one array per width."""
+def _feed(s: Slice, c: _Counter, widths: range, words, pairs, longer) -> None:
+    """Count the sequences of a slice. A bitmap that is None lets everything pass."""
     names = s.column("lang").to_pylist()
     numbers = np.array([c.language(n)[0] for n in names], np.int64)
     salts = np.array([c.language(n)[1] for n in names], np.uint64)
     of = s.text_of_word()
     hashes = mix(s.hashes(fold=True) ^ salts[of])
     if words is None:
-        at = np.arange(len(hashes))
-        yield c.lexicon.numbers(s, at, hashes, numbers[of])[:, None]
+        c.insert_words(hashes)
         return
-    # Runs of frequent words inside a piece; ``linked`` says that a word goes on with the next one.
+    # ``linked`` says that a word goes on with the next one, in one piece of one text.
     broken = np.concatenate([[0], np.cumsum(BREAKS[s.data])])
-    linked = (broken[s.starts[1:]] == broken[s.starts[:-1]]) & (of[1:] == of[:-1]) if len(of) else np.zeros(0, bool)
-    good = _known(words, hashes)
-    linked &= good[1:] & good[:-1]
+    good = _known(words, phrase_keys(hashes, hashes))
+    linked = (broken[s.starts[1:]] == broken[s.starts[:-1]]) & (of[1:] == of[:-1]) & good[1:] & good[:-1]
     if pairs is not None:
-        linked &= _known(pairs, _chain(hashes[:-1], hashes[1:]))
+        linked &= _known(pairs, phrase_keys(hashes[:-1], _chain(hashes[:-1], hashes[1:])))
     starts = np.flatnonzero(linked)
-    used = np.unique(np.concatenate([starts, starts + 1]))
+    used = np.flatnonzero(good) if 1 in widths else np.unique(np.concatenate([starts, starts + 1]))
     ids = np.zeros(len(hashes), np.int64)
     ids[used] = c.lexicon.numbers(s, used, hashes[used], numbers[of[used]])
+    if 1 in widths:
+        c.insert_words(ids[used])
+    whole = _chain(hashes[starts], hashes[starts + 1])
     for width in range(2, widths.stop):
-        # ``starts`` are the words from which ``width`` words are linked.
+        # From each of ``starts`` on ``width`` words are linked; ``whole`` has their hashes.
         if width in widths:
-            yield ids[starts[:, None] + np.arange(width)]
-        ahead = starts + width - 1
-        ahead_ok = ahead < len(linked)
-        starts = starts[ahead_ok][linked[ahead[ahead_ok]]]
-
-
-def count_phrases(docs: DataFrame, widths: range, words=None, pairs=None) -> DataFrame:
-    """(lang, phrase, part, key, n): how often each sequence of ``widths`` words occurs.
-
-    ``words`` and ``pairs`` are bitmaps of what is frequent; sequences with anything else are left
-    out. With width 1 every language has a further row without phrase, the number of its words.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
+            chosen = starts
+            if longer is not None and width > 2:
+                chosen = starts[_known(longer, phrase_keys(hashes[starts], whole))]
+            c.insert(ids[chosen[:, None] + np.arange(width)])
+        last = starts + width - 1
+        more = last < len(linked)
+        more[more] = linked[last[more]]
+        starts, whole = starts[more], _chain(whole[more], hashes[starts[more] + width])
+
+
+def _count(docs: DataFrame, widths: range, texts: bool, *bitmaps) -> DataFrame:
+    """Runs of the sequences of ``widths`` words: packed, or with ``texts`` as rows. These have a
+    further row without phrase per language, the number of its words."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(bitmaps + (None,) * (3 - len(bitmaps)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = shared.value
-        counter, totals = _Counter(), {}
+        counter, totals = _Counter(partitions, texts), {}
         for s in slices(batches):
             s = resplit(s, INSIDE)
-            if widths.start == 1:
+            if texts:
                 for name, n in zip(s.column("lang").to_pylist(), s.counts().tolist(), strict=True):
                     totals[name] = totals.get(name, 0) + n
-            for sequences in _sequences(s, counter, widths, words, pairs):
-                counter.insert(sequences)
-                if counter.trie.entries > HELD:
-                    yield from counter.runs(HELD // 2)
+            _feed(s, counter, widths, *shared.value)
+            if counter.full():
+                yield from counter.runs(HELD // 4)
         yield from counter.runs(0)
-        named = list(totals)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(named, pa.string()),
-                pa.array([""] * len(named), pa.string()),
-                pa.array([counter.language(n)[1] >> 33 for n in named], pa.int32()),
-                pa.array([0] * len(named), pa.int64()),
-                pa.array([totals[n] for n in named], pa.int64()),
-            ],
-            ["lang", "phrase", "part", "key", "n"],
-        )
+        if texts:
+            named = list(totals)
+            columns = [named, [""] * len(named), [0] * len(named), [totals[n] for n in named]]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "phrase", "part", "n"]
+            )
+
+    return docs.mapInArrow(run, RUN if texts else PACKED)
 
-    found = docs.mapInArrow(run, RUN)
-    merged = found.repartition("part").groupBy("part", "lang", "phrase")
-    return merged.agg(F.min("key").alias("key"), F.sum("n").alias("n"))
+
+def _frequent_keys(docs: DataFrame, widths: range, least: int, *bitmaps) -> np.ndarray:
+    """The bitmap of keys that at least ``least`` sequences of ``widths`` words have.
+
+    Packed runs meet by prefix partition and are merged there, one partition after the other.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def merged(runs: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        keys = np.concatenate([np.cumsum(_numbers(k, n, KEY_BITS // 8), dtype=np.uint64) for n, k, _ in runs])
+        counts = np.concatenate([_numbers(c, n, 6) for n, _, c in runs])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        often = np.add.reduceat(counts[order], new) >= least
+        return pa.RecordBatch.from_arrays([pa.array(keys[new[often]].view(np.int64))], ["key"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, runs = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != at and runs:
+                    yield merged(runs)
+                    runs = []
+                at = row["part"]
+                runs.append((row["entries"], row["keys"], row["counts"]))
+        if runs:
+            yield merged(runs)
+
+    dealt = _count(docs, widths, False, *bitmaps).repartitionById(partitions, F.col("part"))
+    return bitmap(dealt.sortWithinPartitions("part").mapInArrow(merge, "key bigint"))
 
 
 def bitmap(frequent: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     """One bit per key, as bytes. At most ``bits / 64`` numbers reach the driver."""
-    at = F.col("key").bitwiseAND(F.lit(bits - 1))
-    bit = F.expr(f"shiftleft(1L, cast((key & {bits - 1}) % 64 as int))")
-    slots = frequent.select(F.shiftright(at, 6).alias("slot"), bit.alias("bit")).groupBy("slot")
-    gathered = slots.agg(F.bit_or("bit").alias("bits")).toArrow()
+    slot = F.expr(f"(key & {bits - 1}) div 64").alias("slot")
+    bit = F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")
+    gathered = frequent.select(slot, bit).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[gathered.column("slot").to_numpy()] = gathered.column("bits").to_numpy()
     return out.view(np.uint8)
@@ -306,21 +398,15 @@ def bitmap(frequent: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
 
 def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, n) of all phrases with ``least`` occurrences, (lang, words) of all languages)."""
-
-    def often(counted: DataFrame) -> DataFrame:
-        return counted.filter((F.col("n") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "key", "n")
-
-    words = materialize(often(count_phrases(docs, range(1, 2))), "words")
-    totals = words.filter("phrase = ''").select("lang", F.col("n").alias("words"))
-    found = words = words.filter("phrase <> ''")
-    if longest > 1:
-        known = bitmap(words)
-        pairs = materialize(often(count_phrases(docs, range(2, 3), known)), "pairs")
-        found = found.unionByName(pairs)
-        if longest > 2:
-            longer = often(count_phrases(docs, range(3, longest + 1), known, bitmap(pairs)))
-            found = found.unionByName(materialize(longer, "longer"))
-    return found.select("lang", "phrase", "n"), totals
+    words = _frequent_keys(docs, range(1, 2), least)
+    pairs = _frequent_keys(docs, range(2, 3), least, words) if longest > 1 else words
+    longer = _frequent_keys(docs, range(3, longest + 1), least, words, pairs) if longest > 2 else pairs
+    runs = _count(docs, range(1, longest + 1), True, words, pairs, longer)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summed = runs.repartition(partitions, "part").groupBy("part", "lang", "phrase").agg(F.sum("n").alias("n"))
+    # The rows without phrase, of whatever partition, tell how many words a language has.
+    kept = materialize(summed.filter((F.col("n") >= least) | (F.col("phrase") == "")).drop("part"), "counts")
+    return kept.filter("phrase <> ''"), kept.filter("phrase = ''").select("lang", F.col("n").alias("words"))
 
 
 # --- scores ---------------------------------------------------------------------------------
@@ -382,9 +468,6 @@ def collocations(
     worst = F.min(F.struct(_score().alias("score"), "k", "l", "r")).alias("cut")
     best = scored.groupBy("lang", "phrase", "a", "words").agg(worst)
     best = best.select("lang", "phrase", "a", F.col("cut.l"), F.col("cut.r"), F.col("words").alias("n"), F.col("cut.score"))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS))
-    first = Window.partitionBy("lang", "_part").orderBy(*order)
-    narrowed = best.withColumn("_part", part).withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= top)
-    ranked = narrowed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint"))
-    return ranked.filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = rank_in_group(best, [F.desc("score"), F.desc("a"), F.asc("phrase")], ["lang"])
+    ranked = ranked.withColumn("rank", F.col("rank").cast("bigint")).filter(F.col("rank") <= top)
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
