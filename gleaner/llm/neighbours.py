@@ -13,8 +13,10 @@ has least. A row travels once to every partition that has one of its codes, and
 the codes it looks at there. A partition compares its queries with its rows in steps of bounded
 memory and returns the best ``k`` rows per query, never the pairs.
 
-No candidate is dropped: every row in a probed bucket is ranked. Queries that found fewer than ``k``
-rows are compared with all rows, in blocks, so that a small table is answered in full.
+No candidate is dropped: every row in a probed bucket is ranked. There are ``probes`` per table, or as
+many as it takes for the probed buckets to hold ``LEAST_ROWS`` rows at the mean size of a bucket: the
+fewer rows, the farther away are the nearest. Queries that found fewer than ``k`` rows are compared
+with all rows, in blocks.
 
 With the defaults (8 tables, 2 hashes, 384 probes) a query in 64 dimensions sees about a fifth of the rows
 of a table without any structure, the hardest case, and finds 95% of its true neighbours there;
@@ -31,7 +33,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ from gleaner.llm.words import mix
 from gleaner.storage import materialize
 
 TABLES, HASHES, PROBES = 8, 2, 384
+# Rows that the probed buckets should hold on average; the nearest rows of a small table are far away.
+LEAST_ROWS = 2048
 SEED = 11
 # Pairs compared, and entries of a table of probe costs, at one time.
 STEP_PAIRS = 1 << 16
@@ -263,7 +267,7 @@ class _Best:
             self.reduce()
 
     def reduce(self):
-        if not self.held:
+        if not self.rows:
             return None
         query, ids, score = (np.concatenate(c) for c in zip(*self.held, strict=True))
         order = np.lexsort((-score, ids, query))  # of the copies of a pair the best one stays
@@ -386,7 +390,10 @@ def nearest(
     shape = Shape(tables, hashes, probes, 1 << max(1, math.ceil(math.log2(longest))))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = min(shape.tables * shape.per_table, _CELLS_PER_PARTITION * partitions)
-    plan = Plan.of(_cell_sizes(given, shape, cells), cells, partitions)
+    sizes = _cell_sizes(given, shape, cells)
+    plan = Plan.of(sizes, cells, partitions)
+    wanted = -(-LEAST_ROWS * shape.per_table // max(1, sum(sizes.values())))
+    shape = replace(shape, probes=max(probes, wanted))
     item = f"array<{rows.schema[vector].dataType.elementType.simpleString()}>"
     schema = f"part int, asks boolean, id bigint, vector {item}, codes array<bigint>"
 
