@@ -29,7 +29,7 @@ one; one text is never cut and is held whole by its task.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +55,8 @@ INSIDE = ~(BREAKS | alphabet((0x20, 0x20), (0x09, 0x09)))
 
 _REST_BITS = np.uint64(KEY_BITS - PREFIX_BITS)
 PACKED = "part int, entries bigint, keys binary, counts binary"
-RUN = "lang string, phrase string, part int, n bigint"
+RUN = "part int, run binary"
+COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 # --- the trie -------------------------------------------------------------------------------
@@ -240,15 +241,19 @@ class _Counter:
         if not self.texts:
             return self._pack(keys, counted[at])
         named = pa.array(list(self.languages), pa.string())
-        run = pa.table(
-            {
-                "lang": named.take(pa.array(np.array(self.lexicon.langs)[firsts[at]])),
-                "phrase": pa.chunked_array(phrases).cast(pa.string()),
-                "part": pa.array(_partition(keys, self.partitions).astype(np.int32)),
-                "n": pa.array(counted[at]),
-            }
-        )
-        return run.sort_by([("part", "ascending"), ("phrase", "ascending")]).combine_chunks().to_batches()[0]
+        lang = named.take(pa.array(np.array(self.lexicon.langs)[firsts[at]]))
+        return self._text(keys, lang, pa.chunked_array(phrases).cast(pa.string()), counted[at])
+
+    def _text(self, keys: np.ndarray, lang: pa.Array, phrase, counts: np.ndarray) -> pa.RecordBatch:
+        """A run sorted by phrase, cut by partition: Arrow streams, compressed."""
+        part = _partition(keys, self.partitions)
+        run = pa.table({"part": pa.array(part), "lang": lang, "phrase": phrase, "n": pa.array(counts)})
+        run = run.sort_by([("part", "ascending"), ("phrase", "ascending")]).combine_chunks()
+        parts, first = np.unique(run.column("part").to_numpy(), return_index=True)
+        bounds = np.append(first, len(part)).tolist()
+        rows = run.drop(["part"]).cast(COUNTS)
+        packed = [_stream(rows.slice(a, b - a)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "run"])
 
     def _pack(self, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         """A sorted run, cut by partition: byte planes of key differences and of counts, compressed."""
@@ -269,6 +274,13 @@ class _Counter:
 _PACKED = pa.schema([("part", pa.int32()), ("entries", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
+def _stream(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
 def _planes(numbers: np.ndarray, width: int) -> bytes:
     planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width])
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
@@ -326,8 +338,8 @@ def _feed(s: Slice, c: _Counter, widths: range, words, pairs, longer) -> None:
 
 
 def _count(docs: DataFrame, widths: range, texts: bool, *bitmaps) -> DataFrame:
-    """Runs of the sequences of ``widths`` words: packed, or with ``texts`` as rows. These have a
-    further row without phrase per language, the number of its words."""
+    """Runs of the sequences of ``widths`` words, by key or, with ``texts``, by phrase. These have a
+    further entry without phrase per language, the number of its words."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(bitmaps + (None,) * (3 - len(bitmaps)))
@@ -343,47 +355,46 @@ def _count(docs: DataFrame, widths: range, texts: bool, *bitmaps) -> DataFrame:
             if counter.full():
                 yield from counter.runs(HELD // 4)
         yield from counter.runs(0)
-        if texts:
-            named = list(totals)
-            columns = [named, [""] * len(named), [0] * len(named), [totals[n] for n in named]]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "phrase", "part", "n"]
-            )
+        if totals:
+            none = np.zeros(len(totals), np.uint64)
+            yield counter._text(none, pa.array(list(totals)), pa.array([""] * len(totals)), np.array(list(totals.values())))
 
     return docs.mapInArrow(run, RUN if texts else PACKED)
 
 
 def _frequent_keys(docs: DataFrame, widths: range, least: int, *bitmaps) -> np.ndarray:
     """The bitmap of keys that at least ``least`` sequences of ``widths`` words have.
-
-    Packed runs meet by prefix partition and are merged there, one partition after the other.
     """
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def merged(runs: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        keys = np.concatenate([np.cumsum(_numbers(k, n, KEY_BITS // 8), dtype=np.uint64) for n, k, _ in runs])
-        counts = np.concatenate([_numbers(c, n, 6) for n, _, c in runs])
+    def merged(runs: list[dict]) -> pa.RecordBatch:
+        keys = np.concatenate([np.cumsum(_numbers(r["keys"], r["entries"], KEY_BITS // 8), dtype=np.uint64) for r in runs])
+        counts = np.concatenate([_numbers(r["counts"], r["entries"], 6) for r in runs])
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         often = np.add.reduceat(counts[order], new) >= least
         return pa.RecordBatch.from_arrays([pa.array(keys[new[often]].view(np.int64))], ["key"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, runs = None, []
+    return bitmap(_merge(_count(docs, widths, False, *bitmaps), merged, "key bigint"))
+
+
+def _merge(runs: DataFrame, merged: Callable[[list[dict]], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``merged`` makes of the runs of each prefix partition, one partition after the other."""
+    partitions = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["part"] != at and runs:
-                    yield merged(runs)
-                    runs = []
-                at = row["part"]
-                runs.append((row["entries"], row["keys"], row["counts"]))
-        if runs:
-            yield merged(runs)
+                if held and row["part"] != held[-1]["part"]:
+                    yield merged(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield merged(held)
 
-    dealt = _count(docs, widths, False, *bitmaps).repartitionById(partitions, F.col("part"))
-    return bitmap(dealt.sortWithinPartitions("part").mapInArrow(merge, "key bigint"))
+    dealt = runs.repartitionById(partitions, F.col("part")).sortWithinPartitions("part")
+    return dealt.mapInArrow(work, schema)
 
 
 def bitmap(frequent: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -401,11 +412,16 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
     words = _frequent_keys(docs, range(1, 2), least)
     pairs = _frequent_keys(docs, range(2, 3), least, words) if longest > 1 else words
     longer = _frequent_keys(docs, range(3, longest + 1), least, words, pairs) if longest > 2 else pairs
+
+    def merged(runs: list[dict]) -> pa.RecordBatch:
+        rows = pa.concat_tables([pa.ipc.open_stream(r["run"]).read_all() for r in runs])
+        summed = rows.group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(COUNTS.names)
+        kept = summed.filter((pc.field("n") >= least) | (pc.field("phrase") == ""))
+        return kept.select(COUNTS.names).cast(COUNTS).combine_chunks().to_batches()[0] if len(kept) else pa.RecordBatch.from_pylist([], COUNTS)
+
     runs = _count(docs, range(1, longest + 1), True, words, pairs, longer)
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    summed = runs.repartition(partitions, "part").groupBy("part", "lang", "phrase").agg(F.sum("n").alias("n"))
-    # The rows without phrase, of whatever partition, tell how many words a language has.
-    kept = materialize(summed.filter((F.col("n") >= least) | (F.col("phrase") == "")).drop("part"), "counts")
+    kept = materialize(_merge(runs, merged, "lang string, phrase string, n bigint"), "counts")
+    # The entries without phrase tell how many words a language has.
     return kept.filter("phrase <> ''"), kept.filter("phrase = ''").select("lang", F.col("n").alias("words"))
 
 
