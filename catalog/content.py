@@ -17,8 +17,9 @@ from catalog.inputs import (
     with_sql,
 )
 from gleaner.functions import captions
-from gleaner.operators import evaluation
+from gleaner.operators import evaluation, ranking
 from gleaner.operators.joins import row_offsets
+from gleaner.plans import coresets
 from gleaner.sources import archives, tables
 from gleaner.sources import vectors as vector_files
 from gleaner.storage import materialize, scratch_path
@@ -74,6 +75,18 @@ def read_embeddings_npy(spark, sf):
     return rows.join(starts, "file").select((F.col("start") + F.col("row_id")).alias("position"), *_entries(rows))
 
 
+@query(
+    "file_sizes",
+    """WITH v AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) // 90 AS f FROM embeddings)
+    SELECT f::INTEGER AS file_id, '000000_' || lpad(f::VARCHAR, 4, '0') || '.npy' AS file, count(*) AS rows, 90 * f AS start
+    FROM v GROUP BY f""",
+)
+def file_sizes(spark, sf):
+    path = scratch_path(spark, "npy")
+    vector_files.write_embeddings(vectors(spark, sf).coalesce(1).sortWithinPartitions("id"), path, rows_per_file=90)
+    return vector_files.file_sizes(spark, path)
+
+
 @query("read_scores", with_sql(BASE_SQL, select="SELECT round(clip_score, 5) + 0.0 AS value, count(*) AS n FROM geo GROUP BY 1"))
 def read_scores(spark, sf):
     path = scratch_path(spark, "scores")
@@ -181,6 +194,31 @@ def read_archives(spark, sf):
     )
 
 
+@query(
+    "apply_coreset",
+    with_sql(
+        SAMPLES_SQL,
+        """kept AS (SELECT doc_id * 37 AS key FROM documents
+      QUALIFY row_number() OVER (ORDER BY n_chars DESC, doc_id DESC) <= (SELECT count(*) FROM documents) // 2),
+placed AS (SELECT s.*, dense_rank() OVER (ORDER BY s.key) - 1 AS n FROM sample s JOIN kept USING (key)
+      QUALIFY row_number() OVER (PARTITION BY s.key ORDER BY s.position) = 1)""",
+        select="""SELECT lpad(CAST(n // 70 AS VARCHAR), 6, '0') AS shard, n % 70 AS position, key,
+      array_to_string(list_sort(list_filter([suffix || ':' || sha256(picture), 'txt:' || sha256(caption)],
+        lambda x: x IS NOT NULL)), ' ') AS digests FROM placed""",
+    ),
+)
+def apply_coreset(spark, sf):
+    """The longer half of the documents, copied from archives to archives."""
+    source, target = scratch_path(spark, "archives"), scratch_path(spark, "coreset")
+    archives.write_archives(samples(spark, sf), source, ["key", "position"], max_rows=150)
+    longest = ranking.top_fraction(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 0.5)
+    coresets.apply_coreset(source, longest.select((F.col("doc_id") * 37).alias("key")), target, max_rows=70)
+    entries = F.transform(F.map_entries("files"), lambda e: F.concat(e["key"], F.lit(":"), F.sha2(e["value"], 256)))
+    return archives.read_archives(spark, target).select(
+        "shard", "position", "key", F.concat_ws(" ", F.array_sort(entries)).alias("digests")
+    )
+
+
 # --- captions -------------------------------------------------------------------------------
 
 

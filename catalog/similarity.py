@@ -22,6 +22,7 @@ from gleaner.functions import vectors as fv
 from gleaner.operators import clustering, components, dedup, evaluation, joins, sampling
 from gleaner.plans import coresets
 from gleaner.sources import sinks
+from gleaner.sources.vectors import write_embeddings
 from gleaner.storage import materialize, scratch_path
 
 T = 0.35
@@ -192,6 +193,38 @@ def train_kmeans(spark, sf):
     )
 
 
+def _kmeans_on_files_sql(k, per_file, count, epochs):
+    """Every epoch has its own ``vec``; the centroids of one epoch begin the next."""
+    parts = [
+        f"""every AS (SELECT f, file, '/' || r AS r, v, row_number() OVER () AS id FROM (
+    SELECT *, '000000_' || lpad(f::VARCHAR, 4, '0') || '.npy' AS file FROM (
+      SELECT n // {per_file} AS f, n % {per_file} AS r, v FROM (
+        SELECT row_number() OVER (ORDER BY vec_id) - 1 AS n, embedding::DOUBLE[] AS v FROM embeddings))))"""
+    ]
+    for e in range(epochs):
+        parts.append(
+            f"""vec{e} AS (SELECT file || r AS id, v FROM every SEMI JOIN (
+      SELECT file FROM (SELECT DISTINCT file FROM every) ORDER BY {hash_sql('file', 5, e)}, file LIMIT {count}) USING (file))"""
+        )
+        if e == 0:
+            parts.append(
+                f"""cent0 AS (SELECT CAST(row_number() OVER (ORDER BY {hash_sql('id', 5)}, id) - 1 AS INTEGER) AS cluster_id, v AS c
+      FROM vec0 QUALIFY cluster_id < {k})"""
+            )
+        parts.append(_KMEANS_ROUND.format(n=e + 1, p=e).replace("vec.", f"vec{e}.").replace("FROM vec ", f"FROM vec{e} "))
+    return f"""WITH {','.join(parts)}
+SELECT cluster_id, list_transform(c, lambda x: round(x, 5) + 0.0) AS centroid FROM cent{epochs}"""
+
+
+@query("train_kmeans_on_files", _kmeans_on_files_sql(4, 90, 2, 2))
+def train_kmeans_on_files(spark, sf):
+    """Two epochs over two files each, drawn from the listing."""
+    path = scratch_path(spark, "npy")
+    write_embeddings(vectors(spark, sf).coalesce(1).sortWithinPartitions("id"), path, rows_per_file=90)
+    trained = clustering.train_kmeans_on_files(spark, path, 4, 2, 1, 2, seed=5)
+    return trained.select("cluster_id", F.transform("centroid", lambda x: F.round(x, 5) + 0.0).alias("centroid"))
+
+
 @query(
     "sample_files",
     f"""SELECT epoch, source FROM (

@@ -9,7 +9,9 @@ from gleaner.operators.clustering import assign_clusters
 from gleaner.operators.components import connected_components, pick_per_component
 from gleaner.operators.dedup import linking_edges, score_table, threshold_filter
 from gleaner.operators.dynamics import prune_by_uncertainty
+from gleaner.operators.joins import coreset_semi_join, first_by_key
 from gleaner.operators.ranking import chained_bands
+from gleaner.sources import archives
 from gleaner.storage import materialize
 
 # Thresholds of the published coresets.
@@ -73,3 +75,19 @@ def uncertainty_coreset(
 ) -> DataFrame:
     """Keep the samples a model was most uncertain about."""
     return prune_by_uncertainty(file_list, materialize(history, "history"), window, fraction)
+
+
+def apply_coreset(
+    source: str, coreset: DataFrame, target: str, key: str = "key", max_rows: int = archives.KEYS_PER_SHARD
+) -> DataFrame:
+    """Rewrite the archives of ``source`` with the selected samples only; returns what was written.
+
+    A key that comes twice is written once, the first time it comes. All choices are made on the
+    index of the archives: bytes of samples that were not selected are never read, and bytes of those
+    that were are read once, by the task that writes them.
+    """
+    index = materialize(archives.read_index(coreset.sparkSession, source), "index")
+    keys = coreset.select(coreset[key].cast("bigint").alias("key"))
+    chosen = materialize(first_by_key(coreset_semi_join(index, keys), "key", ["url", "position"]), "selected")
+    archives.copy_archives(chosen, source, target, max_rows)
+    return chosen.drop("members")

@@ -3,7 +3,9 @@
 ``spark.read.format("vector_files").load(folder)`` gives one row per vector:
 ``file_id`` (position of the file in name order), ``file``, ``row_id`` (position in the file) and
 ``embedding``; for one-dimensional files (scores) ``value`` takes the place of ``embedding``.
-A file is read in ranges of rows, each range its own task.
+A file is read in ranges of rows, each range its own task. Filters on ``file`` and ``file_id`` reach
+the reader: other files are not opened. ``file_sizes`` has the number of rows of every file from the
+headers alone.
 """
 
 from __future__ import annotations
@@ -15,17 +17,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    Filter,
     InputPartition,
     WriterCommitMessage,
 )
 
 from gleaner.functions.vectors import matrix
-from gleaner.sources.files import list_files, open_filesystem
+from gleaner.sources.files import PushedFilters, allow_pushdown, list_files, open_filesystem, resolved
+from gleaner.storage import materialize
 
 # Bytes of one read range and rows of one Arrow batch.
 RANGE_BYTES = 128 * 1024 * 1024
@@ -64,11 +69,17 @@ class _VectorReader(DataSourceReader):
         self.path = options["path"]
         self.flat = flat
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
+        self.filters = PushedFilters(("file", "file_id"), [])
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        yield from self.filters.take(filters)
 
     def partitions(self) -> list[_Range]:
         system, _ = open_filesystem(self.path)
-        ranges = []
+        ranges, passes = [], self.filters.passes
         for file_id, (path, _) in enumerate(list_files(self.path, ".npy")):
+            if not (passes("file_id", file_id) and passes("file", path.rpartition("/")[2])):
+                continue
             header = _header(system, path)
             width = header.dtype.itemsize * int(np.prod(header.shape[1:], dtype=np.int64))
             step = max(1, self.range_bytes // max(1, width))
@@ -92,6 +103,8 @@ class _VectorReader(DataSourceReader):
                 if self.flat:
                     last, kind = pa.array(values.astype(np.float64)), "value"
                 else:
+                    if values.dtype.itemsize > 4:
+                        raise ValueError(f"{part.path}: vectors of {values.dtype} do not fit 32 bits; convert them first")
                     flat = pa.array(values.astype(np.float32))
                     ends = pa.array(np.arange(count + 1, dtype=np.int32) * dim)
                     last, kind = pa.ListArray.from_arrays(ends, flat), "embedding"
@@ -164,20 +177,43 @@ class VectorFiles(DataSource):
         return _VectorWriter(dict(self.options))
 
 
+def _load(spark: SparkSession, path: str, flat: bool) -> DataFrame:
+    spark.dataSource.register(VectorFiles)
+    allow_pushdown(spark)
+    return spark.read.format("vector_files").option("flat", str(flat).lower()).load(resolved(spark, path))
+
+
 def read_embeddings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Vectors in name order: parquet tables, or ``.npy`` folders with ``fmt="npy"``."""
-    if fmt == "parquet":
-        return spark.read.parquet(path)
-    spark.dataSource.register(VectorFiles)
-    return spark.read.format("vector_files").load(path)
+    return spark.read.parquet(path) if fmt == "parquet" else _load(spark, path, False)
 
 
 def read_scores(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Scores, one number per row: parquet tables, or ``.npy`` folders with ``fmt="npy"``."""
-    if fmt == "parquet":
-        return spark.read.parquet(path)
-    spark.dataSource.register(VectorFiles)
-    return spark.read.format("vector_files").option("flat", "true").load(path)
+    return spark.read.parquet(path) if fmt == "parquet" else _load(spark, path, True)
+
+
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, file, rows, start) of every ``.npy`` file, read from the headers: ``start`` is the
+    global position of its first row. The listing is one row per file; headers are read by tasks."""
+    root = resolved(spark, path)
+    listed = [(i, p) for i, (p, _) in enumerate(list_files(root, ".npy"))]
+    files = spark.createDataFrame(listed, "file_id int, path string")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = open_filesystem(root)
+        for batch in batches:
+            rows = [_header(system, p).shape[0] for p in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64())], ["file_id", "path", "rows"])
+
+    counted = files.repartition(min(max(len(listed), 1), 256)).mapInArrow(read, "file_id int, path string, rows bigint")
+    earlier = Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    return materialize(counted, "headers").select(
+        "file_id",
+        F.element_at(F.split("path", "/"), -1).alias("file"),
+        "rows",
+        F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"),
+    )
 
 
 def write_embeddings(df: DataFrame, path: str, embedding: str = "embedding", rows_per_file: int = FILE_ROWS) -> None:
@@ -185,4 +221,4 @@ def write_embeddings(df: DataFrame, path: str, embedding: str = "embedding", row
     spark = df.sparkSession
     spark.dataSource.register(VectorFiles)
     writer = df.select(embedding).write.format("vector_files").mode("append")
-    writer.option("rows_per_file", rows_per_file).save(path)
+    writer.option("rows_per_file", rows_per_file).save(resolved(spark, path))

@@ -4,9 +4,11 @@ import tarfile
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In, IsNotNull, LessThan
 
 from gleaner.functions import captions
 from gleaner.operators import joins
+from gleaner.plans import coresets
 from gleaner.sources import archives, sinks, tables, vectors
 from gleaner.streaming import streams
 
@@ -210,3 +212,108 @@ def test_stream_dedup_over_several_batches(spark, tmp_path):
     )
     run.awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(kept).collect()) == list(range(14))
+
+
+class _Counting:
+    """A local file system that notes which bytes are read with ``read_at``."""
+
+    def __init__(self):
+        self.read = []
+
+    def open_input_file(self, path):
+        from pyarrow import fs
+
+        noted, inner = self.read, fs.LocalFileSystem().open_input_file(path)
+
+        class File:
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                inner.close()
+
+            def __getattr__(self, name):
+                return getattr(inner, name)
+
+            def read(self, n):
+                noted.append((inner.tell(), n))
+                return inner.read(n)
+
+            def read_at(self, n, start):
+                noted.append((start, n))
+                return inner.read_at(n, start)
+
+        return File()
+
+
+def _archive(folder, names, size=5000):
+    folder.mkdir()
+    with tarfile.open(folder / "000000.tar", "w") as tar:
+        for name in names:
+            for suffix in ("txt", "JPG"):
+                content = f"{name}.{suffix} ".encode() * size
+                info = tarfile.TarInfo(f"{name}.{suffix}")
+                info.size = len(content)
+                tar.addfile(info, io.BytesIO(content))
+
+
+def test_bytes_of_other_samples_are_not_read(tmp_path, monkeypatch):
+    names = [f"{i:010d}" for i in range(20)]
+    _archive(tmp_path / "in", names)
+    reader = archives._ArchiveReader({"path": str(tmp_path / "in")}, False)
+    rest = list(reader.pushFilters([In(("key",), (3, 17)), LessThan(("key",), 10), IsNotNull(("key",)), EqualTo(("position",), 3)]))
+    assert [type(f) for f in rest] == [IsNotNull, EqualTo]
+    (part,) = reader.partitions()
+    counting = _Counting()
+    monkeypatch.setattr(archives, "open_filesystem", lambda path: (counting, path))
+    (row,) = list(reader.read(part))
+    assert row[2:5] == (3, names[3], 3)
+    assert row[5] == {s.lower(): f"{names[3]}.{s} ".encode() * 5000 for s in ("txt", "JPG")}
+    with tarfile.open(part.path) as tar:
+        contents = {m.name: (m.offset_data, m.offset_data + m.size) for m in tar}
+    for name, (start, end) in contents.items():
+        touched = sum(max(0, min(at + n, end) - max(at, start)) for at, n in counting.read)
+        # An archive's headers may be read ahead by a block.
+        assert touched >= end - start if name.startswith(names[3]) else touched <= tarfile.RECORDSIZE
+
+
+def test_filters_reach_the_archives(spark, tmp_path):
+    _archive(tmp_path / "in", [f"{i:010d}" for i in range(6)], 3)
+    found = archives.read_archives(spark, str(tmp_path / "in"))
+    assert [r.key for r in found.filter("key in (1, 4) and key > 2").collect()] == [4]
+    assert found.filter("shard = '000001'").count() == 0
+    assert found.filter("key is not null and position < 2").count() == 2
+    index = archives.read_index(spark, str(tmp_path / "in"))
+    back = archives.fetch(index.filter("key % 2 = 0"), str(tmp_path / "in"))
+    want = {r.sample_key: r.files for r in found.collect() if r.key % 2 == 0}
+    assert {r.sample_key: r.files for r in back.collect()} == want
+
+
+def test_coreset_is_applied_once_per_key(spark, tmp_path):
+    names = [f"{i:010d}" for i in (5, 1, 1, 9, 3, 5)]
+    _archive(tmp_path / "in", [*names, "word"], 2)
+    keys = spark.createDataFrame([(1,), (5,), (5,), (77,)], "key int")
+    coresets.apply_coreset(str(tmp_path / "in"), keys, str(tmp_path / "out"), max_rows=1)
+    back = archives.read_archives(spark, str(tmp_path / "out")).orderBy("shard").collect()
+    assert [(r.shard, r.key) for r in back] == [("000000", 5), ("000001", 1)]
+    assert back[0].files["jpg"] == b"0000000005.JPG " * 2
+    coresets.apply_coreset(str(tmp_path / "in"), keys.limit(0), str(tmp_path / "out"))
+    assert archives.read_archives(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_keys_that_do_not_fit_raise(spark, tmp_path):
+    _archive(tmp_path / "in", ["9" * 19], 1)
+    with pytest.raises(Exception, match="does not fit"):
+        archives.read_archives(spark, str(tmp_path / "in")).collect()
+    assert archives.number_of("9" * 18) == 10**18 - 1 and archives.number_of("٣") is None
+
+
+def test_truncated_archives_raise(spark, tmp_path):
+    _archive(tmp_path / "in", ["0000000001"], 1000)
+    index = archives.read_index(spark, str(tmp_path / "in")).cache()
+    assert index.count() == 1
+    path = tmp_path / "in" / "000000.tar"
+    path.write_bytes(path.read_bytes()[:2000])
+    with pytest.raises(Exception, match="archive has changed"):
+        archives.fetch(index, str(tmp_path / "in")).collect()
+    index.unpersist()
