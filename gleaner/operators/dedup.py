@@ -54,23 +54,25 @@ def _collapse(df: DataFrame, cluster: str, identity: str, embedding: str) -> _Co
     one row for the tiles. Expects the column ``_order``; copies carry the id of their first row
     as ``_first``.
     """
-    keyed = df.withColumn("_digest", content_hash(embedding))
-    digests = materialize(keyed.select(cluster, identity, "_order", "_digest"), "digests")
+    digest = content_hash(embedding).alias("_digest")
+    digests = materialize(df.select(cluster, identity, "_order", digest), "digests")
     firsts = (
         digests.groupBy(cluster, "_digest")
         .agg(F.min(F.struct("_order", identity)).alias("_lead"), F.count(F.lit(1)).alias("_copies"))
         .filter("_copies > 1")
         .select(cluster, "_digest", F.col("_lead")[identity].alias("_first"))
     )
-    firsts = materialize(firsts, "copies")
-    if firsts.isEmpty():
+    marked = digests.join(materialize(firsts, "copies"), [cluster, "_digest"], "left")
+    copies = marked.filter(F.col("_first") != F.col(identity)).select(cluster, identity, "_first")
+    copies = materialize(copies, "copies")
+    if copies.isEmpty():
         return _Collapsed(df, tiles.cluster_rows(digests, cluster), None)
-    is_copy = F.col("_first").isNotNull() & (F.col("_first") != F.col(identity))
-    marked = digests.join(firsts, [cluster, "_digest"], "left")
+    # Vectors meet ids here, never a digest that many rows share.
+    gone = copies.select(identity)
     return _Collapsed(
-        keyed.join(firsts, [cluster, "_digest"], "left").filter(~is_copy).drop("_digest", "_first"),
-        tiles.cluster_rows(marked.filter(~is_copy), cluster),
-        marked.filter(is_copy).select(cluster, identity, "_first"),
+        df.join(gone, identity, "left_anti"),
+        tiles.cluster_rows(digests.join(gone, identity, "left_anti"), cluster),
+        copies,
     )
 
 
@@ -87,8 +89,8 @@ def semdedup_score(
     """(id, semdedup_score): the highest similarity of a row to a row before it in its cluster.
 
     Clipped at 0; the first row of a cluster scores 0. Zero vectors are left out. With a
-    ``floor``, scores at or below it are reported as the floor, which lets large clusters be
-    compared in part; thresholds from the floor upward give the same rows.
+    ``floor`` (0 or more), scores at or below it are reported as the floor, which lets comparisons stop
+    early; thresholds from the floor upward give the same rows.
     """
     ready = (
         drop_zero_vectors(df, embedding)
@@ -98,11 +100,11 @@ def semdedup_score(
     split = _collapse(ready, cluster, identity, embedding)
     kind = df.schema[identity].dataType.simpleString()
     partial = tiles.self_tiles(
-        split.distinct, cluster, identity, embedding, "_order", tiles.earlier_maxima,
-        f"_id {kind}, _best double", block_rows, split.sizes, floor,
+        split.distinct, cluster, identity, embedding, "_order",
+        tiles.earlier_maxima if floor is None else tiles.above_floor(max(0.0, float(floor))),
+        f"_id {kind}, _best double", block_rows, split.sizes,
     )
-    best = F.max("_best") if floor is None else F.greatest(F.max("_best"), F.lit(float(floor)))
-    compared = partial.groupBy(F.col("_id").alias(identity)).agg(best.alias("semdedup_score"))
+    compared = partial.groupBy(F.col("_id").alias(identity)).agg(F.max("_best").alias("semdedup_score"))
     if split.copies is None:
         return compared
     return compared.unionByName(split.copies.select(identity, F.lit(1.0).alias("semdedup_score")))
@@ -202,7 +204,7 @@ def similarity_edges(
     kind, own = (df.schema[c].dataType.simpleString() for c in (cluster, identity))
     near = tiles.self_tiles(
         split.distinct, cluster, identity, embedding, None, tiles.pairs_above(threshold),
-        f"cluster_id {kind}, src {own}, dst {own}, sim double", block_rows, split.sizes, threshold,
+        f"cluster_id {kind}, src {own}, dst {own}, sim double", block_rows, split.sizes,
     )
     if threshold >= 1 or split.copies is None:
         return near
@@ -236,7 +238,7 @@ def linking_edges(
     own = df.schema[identity].dataType.simpleString()
     links = tiles.self_tiles(
         split.distinct, cluster, identity, embedding, None, tiles.forest_above(threshold),
-        f"src {own}, dst {own}", block_rows, split.sizes, threshold,
+        f"src {own}, dst {own}", block_rows, split.sizes,
     )
     if threshold >= 1 or split.copies is None:
         return links

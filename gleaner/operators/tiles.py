@@ -6,19 +6,23 @@ as any other. A tile reduces what it sees before it returns: a maximum per row,
 counts. Pairs are only returned by the operator that is asked for them.
 
 The rows of a tile never exceed two blocks, and the similarity matrix is formed in strips.
+
+Where only similarities above a threshold matter, a strip is stopped early. The vectors are turned so
+that most of their length lies in few dimensions, largest first. The product over the first
+dimensions plus the product of the norms of what is left bounds a similarity from above
+(Cauchy-Schwarz); pairs whose bound stays below the threshold are done, and when few are left they
+are finished one by one. Nothing depends on how large a cluster is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gleaner.functions.keys import seeded_hash
 from gleaner.functions.vectors import COMPARE_DECIMALS, COMPARE_STEP, matrix, unit_rows
 from gleaner.storage import materialize
 
@@ -26,18 +30,14 @@ from gleaner.storage import materialize
 BLOCK_ROWS = 8192
 # Entries of a similarity matrix held at one time (64 MB of doubles).
 STRIP_ENTRIES = 8_000_000
-# Clusters of more blocks than this may be laid out around pivots when a threshold is known, with
-# up to this many pivots each, and no more clusters than this: 90 MB of pivots of 768 doubles.
-HOT_BLOCKS = 64
-PIVOTS = 900
-PIVOTS_PER_BLOCK = 4
-MAX_HOT = 16
-# A layout is used if it leaves at most this share of the pairs.
-WORTHWHILE = 0.7
-# The cell of rows that are near no pivot.
-APART = -1
-# Angles come out of arccos, which is coarse near 1 (about 1e-8 for the last bit of a double).
-ANGLE_SLACK = 1e-6
+# Bounds are taken from an eighth of the dimensions, then from half of them, if that is this many.
+MIN_DIMENSIONS = 8
+# The share of a strip's pairs that are finished one by one.
+FEW = 0.02
+# Rows from which a tile learns how to turn its vectors. Any choice gives the same result.
+BASIS_ROWS = 2048
+# What rounding may take from a bound, which is a sum of 32-bit products of unit vectors.
+BOUND_ERROR = 1e-4
 
 
 def cluster_rows(df: DataFrame, cluster: str) -> DataFrame:
@@ -75,14 +75,11 @@ def self_tiles(
     schema: str,
     block_rows: int = BLOCK_ROWS,
     sizes: DataFrame | None = None,
-    threshold: float | None = None,
 ) -> DataFrame:
     """Run ``work`` on every unordered pair of blocks of every cluster.
 
     ``sizes`` gives the rows of each cluster where they are known from narrow columns, so that
-    the vectors are not read for counting. With a ``threshold``, only similarities above it
-    matter, and block pairs of large clusters that cannot hold one are left out. ``work`` gets the
-    columns ``_id``, ``_order``, ``_vector``, ``_side`` (0 left, 1 right; all 0 on a diagonal
+    the vectors are not read for counting. ``work`` gets the columns ``_id``, ``_order``, ``_vector``, ``_side`` (0 left, 1 right; all 0 on a diagonal
     tile) and ``_cluster``.
     """
     narrow = df.select(
@@ -93,13 +90,8 @@ def self_tiles(
     )
     counted = sizes.withColumnRenamed(cluster, "_cluster") if sizes is not None else cluster_rows(narrow, "_cluster")
     blocks = block_counts(counted, "_cluster", block_rows)
-    hot = _hot_clusters(blocks) if threshold is not None else []
-    laid_out, around = _around_pivots(narrow, hot, threshold, block_rows) if hot else ([], None)
-    rest = narrow.filter(~F.col("_cluster").isin(laid_out)) if laid_out else narrow
-    placed = _with_block(rest, "_cluster", "_id", blocks)
+    placed = _with_block(narrow, "_cluster", "_id", blocks)
     tiles = _facing(placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))))
-    if laid_out:
-        tiles = tiles.unionByName(_facing(around))
     return (
         _spread(tiles, "_cluster").groupBy("_cluster", "_left", "_right").applyInArrow(work, schema)
     )
@@ -118,122 +110,6 @@ def _facing(paired: DataFrame) -> DataFrame:
     )
 
 
-def _hot_clusters(blocks: DataFrame) -> dict:
-    """The largest clusters of more than ``HOT_BLOCKS`` blocks, at most ``MAX_HOT``, with their
-    pivots. The others are compared in full, so the bound limits what is sent around, not what is
-    compared."""
-    large = blocks.filter(F.col("_blocks") > HOT_BLOCKS).orderBy(F.desc("_blocks"), "_cluster")
-    return {r["_cluster"]: min(PIVOTS_PER_BLOCK * r["_blocks"], PIVOTS) for r in large.limit(MAX_HOT).collect()}
-
-
-def _around_pivots(
-    narrow: DataFrame, hot: dict, threshold: float, block_rows: int
-) -> tuple[list, DataFrame | None]:
-    """Large clusters for which a layout around pivots pays, and their rows with the block of each
-    and, one row each, the blocks it must meet.
-
-    A few rows of each cluster serve as pivots, and every row joins the cell of its nearest
-    pivot. By the triangle inequality on angles, rows of two cells can only be similar if the
-    angle between the pivots is at most the radii of both cells plus the angle of the threshold.
-    Rows far from every pivot would make their cells wide; they form a cell of their own that
-    meets all others. Cells are cut into blocks by a hash of the id. A cluster whose cells nearly
-    all have to meet is left to plain blocks.
-    """
-    rows = narrow.filter(F.col("_cluster").isin(list(hot)))
-    # The rank limit is applied before the shuffle. At most PIVOTS rows of MAX_HOT clusters stay.
-    by_hash = Window.partitionBy("_cluster").orderBy(seeded_hash("_id", "pivot"), "_id")
-    first = rows.select("_cluster", "_id").withColumn("_n", F.row_number().over(by_hash))
-    first = materialize(first.filter(F.col("_n") <= PIVOTS), "pivots")
-    chosen = rows.join(first, ["_cluster", "_id"]).select("_cluster", "_n", "_vector").collect()
-    pivots: dict = {}
-    for r in sorted(chosen, key=lambda r: r["_n"]):
-        if r["_n"] <= hot[r["_cluster"]]:
-            pivots.setdefault(r["_cluster"], []).append(r["_vector"])
-    pivots = {c: unit_rows(np.array(v)) for c, v in pivots.items()}
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)
-    near = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = unit_rows(matrix(batch.column("_vector")))
-            own = np.array(batch.column("_cluster").to_pylist())
-            cell = np.zeros(len(own), dtype=np.int32)
-            sim = np.zeros(len(own))
-            for c in np.unique(own):
-                here = np.flatnonzero(own == c)
-                sims = vectors[here] @ shared.value[c.item()].T
-                cell[here] = sims.argmax(axis=1)
-                sim[here] = sims.max(axis=1)
-            angle = np.arccos(np.clip(sim, -1.0, 1.0))
-            cell[angle > near] = APART
-            yield pa.RecordBatch.from_arrays(
-                batch.columns + [pa.array(cell), pa.array(angle)], batch.schema.names + ["_cell", "_angle"]
-            )
-
-    schema = T.StructType(
-        rows.schema.fields + [T.StructField("_cell", T.IntegerType()), T.StructField("_angle", T.DoubleType())]
-    )
-    # Written, so that the cells and the radii taken from them belong together.
-    celled = materialize(rows.mapInArrow(nearest, schema), "cells")
-    cells = (
-        celled.groupBy("_cluster", "_cell")
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("_angle").alias("radius"))
-        .orderBy("_cluster", "_cell")
-        .collect()  # one row per pivot
-    )
-    layout, laid_out = [], []
-    for c in pivots:
-        own = [r for r in cells if r["_cluster"] == c]
-        meets = _cells_that_meet(own, pivots[c], threshold)
-        counts = np.array([r["rows"] for r in own], dtype=np.float64)
-        if counts @ meets @ counts <= WORTHWHILE * counts.sum() ** 2:
-            laid_out.append(c)
-            layout += [(c, *entry) for entry in _cell_layout(own, meets, block_rows)]
-    if not laid_out:
-        return [], None
-    kind = rows.schema["_cluster"].dataType.simpleString()
-    placement = rows.sparkSession.createDataFrame(
-        layout, f"_cluster {kind}, _cell int, _start int, _blocks int, _near array<struct<a:int,b:int>>"
-    )
-    block = F.col("_start") + F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")
-    others = F.flatten(F.transform("_near", lambda r: F.sequence(r["a"], r["b"])))
-    return laid_out, celled.join(placement, ["_cluster", "_cell"]).select(
-        "_cluster", "_id", "_order", "_vector", block.alias("_block"), F.explode(others).alias("_other")
-    )
-
-
-def _cells_that_meet(cells: list, pivots: np.ndarray, threshold: float) -> np.ndarray:
-    """For each pair of cells of one cluster, whether two of their rows could be similar."""
-    index = np.array([r["_cell"] for r in cells])
-    radius = np.array([r["radius"] for r in cells])
-    apart = np.arccos(np.clip(pivots[index] @ pivots[index].T, -1.0, 1.0))
-    reach = np.arccos(np.clip(threshold, -1.0, 1.0)) + ANGLE_SLACK
-    meets = apart <= radius[:, None] + radius[None, :] + reach
-    np.fill_diagonal(meets, True)
-    meets[index == APART, :] = True
-    meets[:, index == APART] = True
-    return meets
-
-
-def _cell_layout(cells: list, meets: np.ndarray, block_rows: int) -> list[tuple]:
-    """(cell, first block, blocks, ranges of blocks to meet) for the cells of one cluster."""
-    count = np.array([-(-r["rows"] // block_rows) for r in cells])
-    start = np.cumsum(count) - count
-    entries = []
-    for i, cell in enumerate(cells):
-        ranges: list[list[int]] = []
-        for j in np.flatnonzero(meets[i]):
-            first, last = int(start[j]), int(start[j] + count[j] - 1)
-            if ranges and ranges[-1][1] == first - 1:
-                ranges[-1][1] = last
-            else:
-                ranges.append([first, last])
-        entries.append((cell["_cell"], int(start[i]), int(count[i]), [tuple(r) for r in ranges]))
-    return entries
-
-
 def cross_tiles(
     left: DataFrame,
     right: DataFrame,
@@ -308,6 +184,81 @@ class Tile:
             yield start, stop, self.left @ self.right[start:stop].T
 
 
+    def above(self, bar: float):
+        """(left row, right row, similarity) of the pairs above ``bar``, strip by strip. On a diagonal
+        tile the left row comes first."""
+        width = self.left.shape[1] if len(self.left) else 0
+        shares = [n for n in (width // 8, width // 2) if n >= MIN_DIMENSIONS]
+        bounds = _Bounds(self, shares[0]) if shares else None
+        step = max(1, STRIP_ENTRIES // max(1, len(self.left)))
+        for start in range(0, len(self.right), step):
+            stop = min(start + step, len(self.right))
+            alive = None
+            while bounds is not None:
+                alive = bounds.reach(start, stop) > bar - BOUND_ERROR
+                if np.count_nonzero(alive) <= FEW * alive.size:
+                    break
+                # What this strip needs the next ones will need too.
+                shares, alive = shares[1:], None
+                bounds = _Bounds(self, shares[0]) if shares else None
+            if alive is None:
+                alive = self.left @ self.right[start:stop].T > bar - BOUND_ERROR
+            i, j = np.nonzero(alive)
+            if self.diagonal:
+                i, j = i[i < j + start], j[i < j + start]
+            chunk = max(1, STRIP_ENTRIES // max(1, width))
+            for a in range(0, len(i), chunk):
+                ia, ja = i[a : a + chunk], j[a : a + chunk] + start
+                exact = np.einsum("ij,ij->i", self.left[ia], self.right[ja])
+                hit = exact > bar
+                yield ia[hit], ja[hit], exact[hit]
+
+
+class _Bounds:
+    """Upper bounds of similarities from the first dimensions and the norms of the rest, as one product
+    of 32-bit matrices: the norms are one more column."""
+
+    def __init__(self, tile: Tile, first: int):
+        basis = _basis(tile.left, tile.right)[:, :first]
+        self.left = self._columns(tile.left, basis)
+        self.right = self.left if tile.diagonal else self._columns(tile.right, basis)
+
+    @staticmethod
+    def _columns(rows: np.ndarray, basis: np.ndarray) -> np.ndarray:
+        turned = rows @ basis
+        rest = 1.0 - np.einsum("ij,ij->i", turned, turned)  # the rows have norm 1
+        return np.column_stack([turned, np.sqrt(np.maximum(rest, 0.0))]).astype(np.float32)
+
+    def reach(self, start: int, stop: int) -> np.ndarray:
+        return self.left @ self.right[start:stop].T
+
+
+def _basis(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """An orthonormal basis in which the first dimensions hold most of the rows' lengths."""
+    some = [x[:: max(1, 2 * len(x) // BASIS_ROWS)] for x in (left, right)]
+    return np.linalg.eigh(sum(x.T @ x for x in some))[1][:, ::-1]
+
+
+def above_floor(floor: float) -> Callable[[pa.Table], pa.Table]:
+    """``earlier_maxima`` for scores above ``floor``; rows without one are given the floor."""
+    bar = floor - COMPARE_STEP
+
+    def work(table: pa.Table) -> pa.Table:
+        tile = Tile(table)
+        best = [np.full(len(tile.left), floor), np.full(len(tile.right), floor)]
+        for i, j, sims in tile.above(bar):
+            first = tile.position[0][i] < tile.position[1][j]
+            np.maximum.at(best[1], j[first], sims[first])
+            np.maximum.at(best[0], i[~first], sims[~first])
+        if tile.diagonal:
+            ids, found = tile.ids[0], best[1]
+        else:
+            ids, found = np.concatenate(tile.ids), np.concatenate(best)
+        return pa.table({"_id": ids, "_best": np.round(found, COMPARE_DECIMALS)})
+
+    return work
+
+
 def earlier_maxima(table: pa.Table) -> pa.Table:
     """For each row, its highest similarity to a row before it, and not below zero."""
     tile = Tile(table)
@@ -371,15 +322,11 @@ def pairs_above(threshold: float) -> Callable[[pa.Table], pa.Table]:
     def work(table: pa.Table) -> pa.Table:
         tile = Tile(table)
         found = {"src": [], "dst": [], "sim": []}
-        for start, stop, sims in tile.strips():
-            hit = sims > bar
-            if tile.diagonal:
-                hit &= np.arange(len(tile.left))[:, None] < np.arange(start, stop)[None, :]
-            i, j = np.nonzero(hit)
-            a, b = tile.ids[0][i], tile.ids[1][start + j]
+        for i, j, sims in tile.above(bar):
+            a, b = tile.ids[0][i], tile.ids[1][j]
             found["src"].append(np.minimum(a, b))
             found["dst"].append(np.maximum(a, b))
-            found["sim"].append(sims[i, j])
+            found["sim"].append(sims)
         columns = {k: np.concatenate(v) for k, v in found.items() if v}
         if not columns:
             columns = {"src": np.empty(0, np.int64), "dst": np.empty(0, np.int64), "sim": np.empty(0)}
@@ -390,6 +337,21 @@ def pairs_above(threshold: float) -> Callable[[pa.Table], pa.Table]:
     return work
 
 
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The lowest place of each part after linking ``a`` and ``b``, given that before."""
+    while len(a):
+        one, two = label[a], label[b]
+        apart = one != two
+        a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+    return label
+
+
 def forest_above(threshold: float) -> Callable[[pa.Table], pa.Table]:
     """A spanning forest of the tile's graph: each row of a connected part, linked to the part's
     lowest id. It joins the same rows as all pairs would, in fewer links than rows."""
@@ -397,16 +359,10 @@ def forest_above(threshold: float) -> Callable[[pa.Table], pa.Table]:
 
     def work(table: pa.Table) -> pa.Table:
         tile = Tile(table)
-        n_left = len(tile.left)
         ids = tile.ids[0] if tile.diagonal else np.concatenate(tile.ids)
         label = np.arange(len(ids))
-        for start, stop, sims in tile.strips():
-            hit = sims > bar
-            for j in np.flatnonzero(hit.any(axis=0)):
-                row = start + j if tile.diagonal else n_left + start + j
-                touched = np.unique(label[np.append(np.flatnonzero(hit[:, j]), row)])
-                if len(touched) > 1:
-                    label[np.isin(label, touched)] = touched[0]
+        for i, j, _ in tile.above(bar):
+            label = _joined(label, i, j if tile.diagonal else j + len(tile.left))
         lowest = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(lowest, label, ids)
         root = lowest[label]

@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import clustering, components, dedup, tiles
+from gleaner.operators import clustering, components, dedup, sampling, tiles
 from gleaner.plans import coresets
 from gleaner.streaming import streams
 
@@ -215,6 +216,68 @@ def test_assignment_in_blocks_and_ties(spark):
         assert [r["cluster_id"] for r in found] == expected
 
 
+@pytest.mark.parametrize("limit", [1 << 30, 40 * 16 * 8, 7 * 16 * 8, 16 * 8])
+def test_assignment_equals_brute_force_for_every_block(spark, monkeypatch, limit):
+    monkeypatch.setattr(clustering, "CHUNK_ROWS", 100)
+    r = np.random.default_rng(3)
+    around = r.normal(size=(12, 16)) * 3
+    centres = (around[:, None] + 0.3 * r.normal(size=(12, 10, 16))).reshape(120, 16)
+    centres[50], centres[99] = centres[3], centres[3] + 1e-13  # equal and equal after rounding
+    centres[60] = 0
+    points = np.concatenate([around[r.integers(12, size=300)] + 0.4 * r.normal(size=(300, 16)), centres[[3, 60]], [np.full(16, 1e4)]])
+    points[301] = 1e-9
+    table = spark.createDataFrame([(1000 - i, c.tolist()) for i, c in enumerate(centres)], "cluster_id int, centroid array<double>")
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, embedding array<double>")
+    apart = np.round(np.sqrt(((points[:, None] - centres[None]) ** 2).sum(axis=2)), 9)
+    found = clustering.assign_clusters(df, table, limit=limit).orderBy("id").collect()
+    for r_, row in zip(found, apart, strict=True):
+        assert r_["cluster_id"] == min((d, 1000 - i) for i, d in enumerate(row))[1]
+        assert abs(r_["centroid_dist"] - row.min()) < 2e-9
+
+
+def test_groups_out_of_reach_are_skipped(monkeypatch):
+    r = np.random.default_rng(0)
+    around = r.normal(size=(40, 32)) * 5
+    centres = (around[:, None] + 0.1 * r.normal(size=(40, 40, 32))).reshape(-1, 32)
+    table = pa.table({"cluster_id": np.arange(1600), "centroid": list(centres)})
+    index = clustering._Index(clustering._Block(table))
+    compared = []
+    real = clustering._Nearest._compare
+    monkeypatch.setattr(clustering._Nearest, "_compare", lambda s, at, i, g: (compared.append(len(at) * (i.bounds[g + 1] - i.bounds[g])), real(s, at, i, g)))
+    points = centres[r.integers(1600, size=500)] + 0.05 * r.normal(size=(500, 32))
+    found = clustering._Nearest(points)
+    found.visit(index)
+    assert (found.ids == ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
+    assert sum(compared) < 0.2 * 500 * 1600
+
+
+def test_kmeans_opens_only_the_files_it_draws(spark, tmp_path):
+    v = random_vectors(120)
+    for i in range(6):
+        np.save(tmp_path / f"{i:04d}.npy", v[20 * i : 20 * i + 20].astype(np.float32))
+    before = clustering.train_kmeans_on_files(spark, str(tmp_path), 3, 2, 2, 2, seed=1)
+    before = {r["cluster_id"]: r["centroid"] for r in before.collect()}
+    names = spark.createDataFrame([(f"{i:04d}.npy",) for i in range(6)], "file string")
+    drawn = {r["file"] for e in (0, 1) for r in sampling.sample_files(names, "file", 2, 1, e).collect()}
+    assert 2 <= len(drawn) <= 4
+    for i in range(6):
+        if f"{i:04d}.npy" not in drawn:
+            (tmp_path / f"{i:04d}.npy").write_bytes(b"")
+    after = clustering.train_kmeans_on_files(spark, str(tmp_path), 3, 2, 2, 2, seed=1)
+    assert {r["cluster_id"]: r["centroid"] for r in after.collect()} == before
+
+
+def test_means_in_many_partial_sums(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "PARTIAL_BYTES", 1000)
+    v = random_vectors(300)
+    groups = [None if i % 7 == 0 else f"g{i % 7}" for i in range(300)]
+    df = spark.createDataFrame([(g, x.tolist()) for g, x in zip(groups, v, strict=True)], "g string, embedding array<float>")
+    found = {r["g"]: r["centroid"] for r in clustering.mean_vectors(df, "g", "embedding").collect()}
+    assert found.keys() == set(groups)
+    for g, mean in found.items():
+        assert np.allclose(mean, v[[i for i in range(300) if groups[i] == g]].astype(float).mean(axis=0))
+
+
 def test_kmeans_resumes_and_keeps_empty_clusters(spark, tmp_path):
     df = rows(spark, random_vectors(100)).select("id", "embedding")
     start = clustering.initial_centroids(df, 3, "id")
@@ -252,18 +315,10 @@ def test_logits_in_blocks(spark):
     assert all(len(x) == 6 for x in a.values())
 
 
-@pytest.fixture
-def pivots(monkeypatch):
-    """Clusters count as hot early, so that small tables are laid out around pivots."""
-    monkeypatch.setattr(tiles, "HOT_BLOCKS", 2)
-    monkeypatch.setattr(tiles, "PIVOTS", 12)
-    monkeypatch.setattr(tiles, "MAX_HOT", 2)
-    monkeypatch.setattr(tiles, "WORTHWHILE", 1.0)
-
-
 @pytest.mark.parametrize("spread", [0.03, 0.3])
-def test_pivots_leave_nothing_out(spark, pivots, spread):
-    """Links, edges and scores above the floor are the same with and without the layout."""
+def test_bounds_leave_nothing_out(spark, monkeypatch, spread):
+    """Links, edges and scores above the floor are the same however early strips are stopped."""
+    monkeypatch.setattr(tiles, "MIN_DIMENSIONS", 1)
     v = random_vectors(240, spread=spread)
     cluster = [0 if i % 3 else i % 5 for i in range(240)]
     df = rows(spark, v, cluster=cluster)
@@ -281,9 +336,36 @@ def test_pivots_leave_nothing_out(spark, pivots, spread):
     assert scores(df, block_rows=10, floor=0.95) == expected
 
 
-def test_pivots_skip_cells_that_are_far_apart():
-    pivots = unit(np.array([[1, 0], [0.999, 0.04], [0, 1], [-1, 0.0]]))
-    cells = [{"_cell": i, "rows": 25, "radius": 0.1} for i in range(4)]
-    layout = tiles._cell_layout(cells, tiles._cells_that_meet(cells, pivots, 0.9), 10)
-    assert [entry[:3] for entry in layout] == [(0, 0, 3), (1, 3, 3), (2, 6, 3), (3, 9, 3)]
-    assert [entry[3] for entry in layout] == [[(0, 5)], [(0, 5)], [(6, 8)], [(9, 11)]]
+@pytest.mark.parametrize("few", [0.0, 0.02, 1.0])
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_strips_stop_early_without_loss(monkeypatch, few, diagonal):
+    monkeypatch.setattr(tiles, "FEW", few)
+    monkeypatch.setattr(tiles, "STRIP_ENTRIES", 4000)
+    r = np.random.default_rng(2)
+    v = r.normal(size=(300, 96)) * np.arange(1, 97) ** -0.5
+    v[200:] = v[r.integers(20, size=100)] + 0.02 * r.normal(size=(100, 96))
+    v = v @ np.linalg.qr(r.normal(size=(96, 96)))[0]
+    side = np.zeros(300, int) if diagonal else r.integers(2, size=300)
+    right = [0] * 300 if diagonal else [1] * 300
+    table = pa.table(
+        {"_cluster": [0] * 300, "_left": [0] * 300, "_right": right, "_side": side, "_id": np.arange(300), "_order": r.normal(size=300), "_vector": list(v)}
+    )
+    u = unit(v)
+    want = {
+        (i, j)
+        for i in range(300)
+        for j in range(i + 1, 300)
+        if u[i] @ u[j] > 0.9 and (diagonal or side[i] != side[j])
+    }
+    assert len(want) > 100
+    found = tiles.pairs_above(0.9)(table)
+    assert set(zip(found["src"].to_pylist(), found["dst"].to_pylist(), strict=True)) == want
+    floored = {r["_id"]: r["_best"] for r in tiles.above_floor(0.9)(table).to_pylist()}
+    whole = {r["_id"]: r["_best"] for r in tiles.earlier_maxima(table).to_pylist()}
+    assert floored == {i: max(0.9, s) for i, s in whole.items()}
+    forest = tiles.forest_above(0.9)(table)
+    label = np.arange(300)
+    for a, b in sorted(want):
+        label[label == max(label[a], label[b])] = min(label[a], label[b])
+    parts = {i: int(label[i]) for i in range(300) if label[i] != i}
+    assert dict(zip(forest["dst"].to_pylist(), forest["src"].to_pylist(), strict=True)) == parts
