@@ -103,6 +103,32 @@ def read_keys(spark, sf):
     return tables.read_keys(spark, path).select("key")
 
 
+@query(
+    "align_by_position",
+    with_sql(
+        BASE_SQL,
+        select=f"""SELECT id * 37 AS key, (row_number() OVER (ORDER BY id) - 1) // 90 AS file_id, {_ENTRIES},
+      round(clip_score, 5) + 0.0 AS clip_score FROM geo""",
+    ),
+)
+def align_by_position(spark, sf):
+    """Vectors, scores and keys in three sets of files that have nothing in common but their order."""
+    paths = [scratch_path(spark, name) for name in ("vectors", "scores", "keys")]
+    numbered = ranking.row_index(pair_scores(spark, sf).select("id", "clip_score"), [F.col("id")], "n")
+    laid = materialize(vectors(spark, sf).join(numbered, "id").withColumn("f", F.expr("cast(n div 90 as int)")), "laid")
+    files = laid.agg(F.max("f")).first()[0] + 1
+    dealt = laid.repartitionById(files, F.col("f")).sortWithinPartitions("id")
+    vector_files.write_embeddings(dealt.select("embedding"), paths[0])
+    vector_files.write_embeddings(dealt.select(F.array("clip_score").alias("embedding")), paths[1])
+    dealt.select(F.format_string("%010d", F.col("id") * 37).alias("key")).write.parquet(paths[2])
+    found = tables.align_by_position(
+        embeddings=vector_files.read_embeddings(spark, paths[0], "npy").drop("file"),
+        scores=vector_files.read_scores(spark, paths[1], "npy").drop("file"),
+        keys=tables.with_file_id(tables.read_keys(spark, paths[2])).drop("file"),
+    )
+    return found.select("key", F.col("file_id").cast("bigint").alias("file_id"), *_entries(found), r5("value").alias("clip_score"))
+
+
 # --- samples --------------------------------------------------------------------------------
 
 

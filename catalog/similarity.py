@@ -20,7 +20,7 @@ from catalog.inputs import (
 )
 from gleaner.functions import vectors as fv
 from gleaner.operators import clustering, components, dedup, evaluation, joins, sampling
-from gleaner.plans import coresets
+from gleaner.plans import coresets, resumable
 from gleaner.sources import sinks
 from gleaner.sources.vectors import write_embeddings
 from gleaner.storage import materialize, scratch_path
@@ -627,6 +627,46 @@ def graph_coreset(spark, sf):
     )
 
 
+@query(
+    "resumed_score_coreset",
+    with_sql(
+        _NEAREST_SQL,
+        SCORES_SQL,
+        select="""SELECT id, cluster_id, round(semdedup_score, 5) AS semdedup_score, dis_rank
+          FROM scores WHERE semdedup_score <= {t} AND cluster_id <> 3""",
+        order="-centroid_dist",
+        t=T,
+    ),
+)
+def resumed_score_coreset(spark, sf):
+    """A run that ended after half its batches, and the one that goes on. Cluster 3 is left out."""
+    path = scratch_path(spark, "run")
+    rows, centres = _with_pair_scores(spark, sf), materialize(centroids(spark, sf), "centroids")
+    resumable.score_coreset(rows, centres, path, T, "far", exclude=[3], batches=4, most=2)
+    kept = resumable.score_coreset(rows, centres, path, T, "far", exclude=[3], batches=4)
+    return kept.select("id", "cluster_id", r5("semdedup_score").alias("semdedup_score"), "dis_rank")
+
+
+@query(
+    "resumed_graph_coreset",
+    with_sql(
+        _NEAREST_SQL,
+        GROUPS_SQL,
+        f"""
+mid AS ({_MEDIAN_SQL.replace("{dist}", "centroid_dist").replace("{source}", "geo JOIN grp USING (id)")})""",
+        select="SELECT id, cluster_id, round(clip_score, 5) + 0.0 AS clip_score FROM geo JOIN mid USING (id) WHERE cluster_id NOT IN (1, 5)",
+        threshold=LOW,
+    ),
+)
+def resumed_graph_coreset(spark, sf):
+    path = scratch_path(spark, "run")
+    rows, centres = _with_pair_scores(spark, sf), materialize(centroids(spark, sf), "centroids")
+    out = spark.range(2).select((F.col("id") * 4 + 1).cast("int").alias("cluster_id"))
+    resumable.graph_coreset(rows, centres, path, LOW, exclude=out, batches=3, most=1)
+    kept = resumable.graph_coreset(rows, centres, path, LOW, exclude=out, batches=3)
+    return kept.select("id", "cluster_id", r5("clip_score").alias("clip_score"))
+
+
 @query(
     "document_duplicate_scores",
     with_sql(DOCUMENTS_SQL, SCORES_SQL, select=_SCORE_COLUMNS, order="-clip_score"),

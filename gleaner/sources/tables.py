@@ -19,6 +19,34 @@ def read_keys(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
     )
 
 
+def with_file_id(rows: DataFrame, file: str = "file") -> DataFrame:
+    """``rows`` of a file table with the place of their file in name order, counted from 0."""
+    names = sorted({f.rpartition("/")[2] for f in rows.inputFiles()})
+    listed = rows.sparkSession.createDataFrame(list(enumerate(names)), f"file_id int, `{file}` string")
+    return rows.join(materialize(listed, "files"), file)
+
+
+def align_by_position(**tables: DataFrame) -> DataFrame:
+    """Tables with (file_id, row_id), joined where both agree: row ``i`` of file ``f`` of one table
+    belongs to row ``i`` of file ``f`` of the others. Raises if files differ in number or length.
+
+    The lengths are compared first, from one row per file and table.
+    """
+    counts = None
+    for name, rows in tables.items():
+        own = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias(name))
+        counts = own if counts is None else counts.join(own, "file_id", "full")
+    first, *others = tables
+    unequal = " or ".join(f"not ({first} <=> {other})" for other in others)
+    wrong = counts.filter(unequal).orderBy("file_id").limit(5).collect() if others else []
+    if wrong:
+        raise ValueError(f"files of different lengths: {[r.asDict() for r in wrong]}")
+    joined = tables[first]
+    for other in others:
+        joined = joined.join(tables[other], ["file_id", "row_id"])
+    return joined
+
+
 def _number(lines: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Number lines from 0 inside ``group``, splits in ``order``, lines in file order.
 

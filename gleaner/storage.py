@@ -40,6 +40,37 @@ def exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _on_disk(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def write_once(spark: SparkSession, name: str, text: str) -> None:
+    """A small file that is there whole or not at all; one that is there already stays."""
+    target, system = _on_disk(spark, name)
+    system.mkdirs(target.getParent())
+    waiting, _ = _on_disk(spark, f"{name}.{uuid.uuid4().hex}")
+    out = system.create(waiting, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if system.exists(target) or not system.rename(waiting, target):
+        system.delete(waiting, False)
+        if not system.exists(target):
+            raise OSError(f"could not write {name}")
+
+
+def read_text(spark: SparkSession, name: str) -> str | None:
+    """A small file's text, None if it is not there."""
+    path, system = _on_disk(spark, name)
+    if not system.exists(path):
+        return None
+    stream = system.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
