@@ -183,6 +183,35 @@ def shuffle_deterministic(spark, sf):
     return sampling.shuffle_deterministic(lines(spark, sf).select("id"), "id", seed=40, epoch=2)
 
 
+def _mixed(x, constants):
+    factor, summand = constants
+    return f"((({x}) % 2147483647) * (({x}) % 2147483647) % 2147483647 * {factor} + {summand}) % 2147483647"
+
+
+def _permuted_sql(x, seed, epoch):
+    """Columns l1, h1, l2, h2: two rounds on either part of ``x``; needs ``a`` and ``b``."""
+    c = sampling.round_constants(seed, epoch)
+    return f"""({x} % a + {_mixed(f'{x} // a', c[0])}) % a AS l1, ({x} // a + {_mixed('l1', c[1])}) % b AS h1,
+      (l1 + {_mixed('h1', c[2])}) % a AS l2, (h1 + {_mixed('l2', c[3])}) % b AS h2"""
+
+
+@query(
+    "shuffle_rows",
+    f"""WITH RECURSIVE k AS (SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders),
+    m AS (SELECT n, a, (n + a - 1) // a AS b FROM (
+      SELECT n, CASE WHEN f * f < n THEN f + 1 ELSE f END AS a
+      FROM (SELECT count(*) AS n, CAST(floor(sqrt(count(*))) AS BIGINT) AS f FROM orders))),
+    walk AS (
+      SELECT key, 0 AS step, l2 + a * h2 AS x FROM (SELECT key, a, {_permuted_sql('r', 40, 2)} FROM k, m)
+      UNION ALL
+      SELECT key, step + 1, l2 + a * h2 FROM (SELECT key, step, a, {_permuted_sql('x', 40, 2)} FROM walk, m WHERE x >= n))
+    SELECT key, x AS position FROM walk, m WHERE x < n""",
+)
+def shuffle_rows(spark, sf):
+    numbered = ranking.row_index(_keys(spark, sf), [F.col("key")], "row")
+    return sampling.shuffle_rows(numbered, "row", numbered.count(), 40, 2).select("key", "position")
+
+
 def _keys(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"))
 
