@@ -296,13 +296,15 @@ def first_by_key(spark, sf):
     """WITH t AS (SELECT p_brand AS class_name, row_number() OVER (ORDER BY p_brand) - 1 AS i
          FROM (SELECT DISTINCT p_brand FROM part)),
        v AS (SELECT class_name, row_number() OVER (ORDER BY class_name) - 1 AS j
-         FROM (SELECT DISTINCT p_brand AS class_name FROM part WHERE p_size > 45))
+         FROM (SELECT DISTINCT p_brand AS class_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)))
        SELECT class_name, CAST(j AS INTEGER) AS idx_validation, CAST(i AS INTEGER) AS idx_train
        FROM v JOIN t USING (class_name)""",
 )
 def class_map(spark, sf):
-    classes = table(spark, sf, "part").select(F.col("p_brand").alias("class_name"), "p_size")
-    return joins.class_map(classes, classes.filter("p_size > 45"), "class_name")
+    """Classes of all parts, and of those that were ordered."""
+    classes = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("class_name"))
+    ordered = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"))
+    return joins.class_map(classes, joins.coreset_semi_join(classes, ordered), "class_name")
 
 
 def _predictions(spark, sf):
@@ -519,20 +521,24 @@ def prune_by_uncertainty(spark, sf):
 @query(
     "write_coreset_by_shard",
     """WITH s AS (SELECT range::INTEGER AS shard FROM range((SELECT max(o_orderkey) // 10000 + 3 FROM orders))),
-       k AS (SELECT CAST(o_orderkey // 10000 AS INTEGER) AS shard, o_orderkey AS key FROM orders WHERE o_orderkey % 5 = 0)
-       SELECT s.shard, count(k.key) AS n_keys, coalesce(min(k.key), -1) AS first_key,
-         coalesce(max(k.key), -1) AS last_key FROM s LEFT JOIN k ON k.shard = s.shard GROUP BY 1""",
+       k AS (SELECT CAST(o_orderkey // 10000 AS INTEGER) AS shard, o_orderkey AS key FROM (
+         SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) AS r, count(*) OVER () AS n FROM orders)
+         WHERE r > floor(0.2 * n) AND r <= floor(0.7 * n))
+       SELECT s.shard, count(k.key) AS n_keys,
+         sha256(coalesce(string_agg(k.key::VARCHAR, ',' ORDER BY k.key), '')) AS keys_sha256
+       FROM s LEFT JOIN k ON k.shard = s.shard GROUP BY 1""",
 )
 def write_coreset_by_shard(spark, sf):
-    kept = _keys(spark, sf).filter("key % 5 = 0")
+    """A band of the orders by price, as key lists per shard."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), "o_totalprice")
+    kept = ranking.rank_band(orders, "o_totalprice", "key", 0.2, 0.7)
     shards = _keys(spark, sf).agg((F.expr("max(key) div 10000") + 3).alias("n")).first()["n"]
     path = scratch_path(spark, "coreset")
     sinks.write_coreset_by_shard(kept, path, shards)
     return spark.read.parquet(path).select(
         "shard",
         F.size("keys").cast("bigint").alias("n_keys"),
-        F.coalesce(F.get("keys", F.lit(0)), F.lit(-1)).alias("first_key"),
-        F.coalesce(F.try_element_at("keys", F.lit(-1)), F.lit(-1)).alias("last_key"),
+        F.sha2(F.concat_ws(",", F.col("keys").cast("array<string>")).cast("binary"), 256).alias("keys_sha256"),
     )
 
 
@@ -568,12 +574,16 @@ def read_file_list(spark, sf):
     with_sql(
         FILES_SQL,
         select="""SELECT row_number() OVER (ORDER BY sample_id) - 1 AS line_id, path || ' ' || label AS line
-          FROM list WHERE sample_id % 4 <> 0""",
+          FROM (SELECT *, row_number() OVER (ORDER BY """
+        + hash_sql("sample_id", 9)
+        + """ DESC, sample_id DESC) AS r, count(*) OVER () AS n FROM list) WHERE r <= floor(0.75 * n)""",
     ),
 )
 def write_file_list(spark, sf):
+    """Three quarters of the list, chosen by a seeded hash."""
     path = scratch_path(spark, "file-list")
-    sinks.write_file_list(tables.make_file_list(_listed_files(spark, sf)).filter("sample_id % 4 <> 0"), path)
+    listed = materialize(tables.make_file_list(_listed_files(spark, sf)), "list")
+    sinks.write_file_list(ranking.random_fraction(listed, "sample_id", 0.75, 9), path)
     return tables.number_lines(spark, path).select("line_id", F.col("value").alias("line"))
 
 
@@ -624,11 +634,10 @@ def global_to_local(spark, sf):
 @query(
     "source_size",
     """SELECT CAST(sum(n) AS BIGINT) AS total_size, count(*) AS num_shards FROM (
-       SELECT CAST(o_orderkey // 1000 AS BIGINT) AS shard, count(*) AS n FROM orders GROUP BY 1) WHERE shard % 3 <> 1""",
+       SELECT CAST(o_orderkey // 1000 AS BIGINT) AS shard, count(*) AS n FROM orders GROUP BY 1)""",
 )
 def source_size(spark, sf):
     sizes = (
         table(spark, sf, "orders").groupBy(F.expr("o_orderkey div 1000").alias("shard")).agg(F.count(F.lit(1)).alias("size"))
     )
-    shards = sizes.select("shard").filter("shard % 3 <> 1")
-    return tables.source_size(shards, sizes)
+    return tables.source_size(sizes.select("shard"), sizes)
