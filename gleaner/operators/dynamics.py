@@ -88,27 +88,24 @@ def dynamic_uncertainty(history: DataFrame, window: int, epochs: DataFrame | Non
     """(sample_id, dynamic_uncertainty): the mean of the buffer's uncertainty over the epochs at
     positions ``window-1`` to ``E-2``, for every sample in ``history``.
 
-    A value holds from the epoch that set it until the next one, so only non-zero rows are ranked
-    and each is weighted by how long it held. One shuffle by sample.
+    A value holds from the epoch that set it until the next one, so each non-zero row is weighted by
+    how long it held. Rows of a sample are ordered with the non-zero ones first, so that one window,
+    and one shuffle by sample, serves both the buffers and the sum.
     """
     _check(window)
     positions = _epoch_positions(epochs if epochs is not None else history)
     total = positions.count()
     if total <= window:
         raise ValueError(f"{total} epochs leave nothing to average with a window of {window}")
-    placed = history.join(positions, "epoch")
-    by_sample = Window.partitionBy("sample_id").orderBy("position")
+    placed = history.filter("prob is not null").join(positions, "epoch")
+    unseen = F.col("prob") == 0
+    by_sample = Window.partitionBy("sample_id").orderBy(unseen, "position")
     recent = by_sample.rowsBetween(1 - window, 0)
-    seen = placed.filter("prob <> 0")
-    ends = F.coalesce(F.lead("position").over(by_sample), F.lit(total)) - 1
+    ends = F.coalesce(F.lead(F.when(~unseen, F.col("position"))).over(by_sample), F.lit(total)) - 1
     held = F.least(ends, F.lit(total - 2)) - F.greatest("position", F.lit(window - 1)) + 1
-    weighted = seen.select(
-        "sample_id",
-        (SCALE * _padded_std(F.col("prob"), recent, window) * F.greatest(held, F.lit(0))).alias("_part"),
-    )
-    unseen = placed.filter("prob = 0").select("sample_id", F.lit(0.0).alias("_part"))
+    part = SCALE * _padded_std(F.col("prob"), recent, window) * F.greatest(held, F.lit(0))
     return (
-        weighted.unionByName(unseen)
+        placed.select("sample_id", F.when(unseen, F.lit(0.0)).otherwise(part).alias("_part"))
         .groupBy("sample_id")
         .agg(F.round(F.sum("_part") / F.lit(total - window), COMPARE_DECIMALS).alias("dynamic_uncertainty"))
     )

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.captions import has_caption_and_image
-from gleaner.functions.probabilities import top_classes
 from gleaner.functions.vectors import COMPARE_DECIMALS, cosine, l2_normalize, matrix, unit_rows
 from gleaner.operators import tiles
 from gleaner.operators.clustering import (
@@ -82,14 +81,16 @@ def _add_logits(images: DataFrame, prototypes: np.ndarray, embedding: str) -> Da
 
 
 def topk_accuracy(scored: DataFrame, label: str = "label", ks: tuple[int, ...] = (1, 5)) -> DataFrame:
-    """One row: the share of rows whose label is among the best k logits."""
-    ranked = scored.select(F.col(label), top_classes("logits", max(ks)).alias("_ranked"))
-    return ranked.agg(
-        *[
-            F.avg(F.array_contains(F.slice("_ranked", 1, k), F.col(label)).cast("int")).alias(f"top{k}")
-            for k in ks
-        ]
-    )
+    """One row: the share of rows whose label is among the best k logits, ties to the lower class.
+
+    A label's place is the number of classes ahead of it, so nothing is sorted. A label without a
+    logit is a miss; a null label does not count.
+    """
+    place = F.col(label)
+    own = F.get("logits", place)
+    ahead = F.size(F.filter("logits", lambda x, i: (x > own) | ((x == own) & (i < place))))
+    placed = scored.select(F.when(place.isNotNull(), F.when(own.isNull(), F.lit(max(ks))).otherwise(ahead)).alias("_ahead"))
+    return placed.agg(*[F.avg((F.col("_ahead") < k).cast("int")).alias(f"top{k}") for k in ks])
 
 
 def real_accuracy(

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import dynamics
+from gleaner.operators import dynamics, evaluation
 from gleaner.streaming import streams
 
 
@@ -86,3 +86,25 @@ def test_stream_keeps_its_buffer_between_batches(spark, tmp_path):
     batch = dynamics.window_uncertainty(df, 3).select("sample_id", "epoch", F.round("uncertainty", 9))
     found = spark.read.parquet(target).select("sample_id", "epoch", F.round("uncertainty", 9))
     assert found.count() == 8 and found.exceptAll(batch).isEmpty()
+
+
+def test_uncertainty_takes_one_shuffle_by_sample(spark):
+    rows = [(e, s, ((e * 7 + s * 3) % 10) / 10) for e in range(12) for s in range(20)]
+    df = spark.createDataFrame(rows, "epoch int, sample_id bigint, prob double")
+    found = dynamics.dynamic_uncertainty(df, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(sample_id") == 1
+    for r in found.collect():
+        seen = [p for _, s, p in sorted(rows) if s == r["sample_id"]]
+        held, values = [0.0] * 3, []
+        for e, p in enumerate(seen):
+            held = (held + [p])[-3:] if p else held
+            if 2 <= e <= 10:
+                values.append(10 * np.std(held, ddof=1))
+        assert abs(r["dynamic_uncertainty"] - np.mean(values)) < 1e-8
+
+
+def test_places_of_labels(spark):
+    rows = [([3.0, 5.0, 5.0, 1.0], 2), ([3.0, 5.0, 5.0, 1.0], 1), ([9.0, 5.0, 5.0, 1.0], 3), ([1.0], 7), ([1.0, 2.0], None)]
+    df = spark.createDataFrame(rows, "logits array<double>, label int")
+    assert evaluation.topk_accuracy(df, ks=(1, 2, 4)).first().asDict() == {"top1": 0.25, "top2": 0.5, "top4": 0.75}
