@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,9 +66,9 @@ class _Range(InputPartition):
 
 
 class _VectorReader(DataSourceReader):
-    def __init__(self, options: dict, flat: bool):
+    def __init__(self, options: dict, flat: bool, wide: bool):
         self.path = options["path"]
-        self.flat = flat
+        self.flat, self.kind = flat, np.float64 if wide else np.float32
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.filters = PushedFilters(("file", "file_id"), [])
 
@@ -103,9 +104,9 @@ class _VectorReader(DataSourceReader):
                 if self.flat:
                     last, kind = pa.array(values.astype(np.float64)), "value"
                 else:
-                    if values.dtype.itemsize > 4:
-                        raise ValueError(f"{part.path}: vectors of {values.dtype} do not fit 32 bits; convert them first")
-                    flat = pa.array(values.astype(np.float32))
+                    if not np.can_cast(values.dtype, self.kind, "same_kind") or values.dtype.itemsize > np.dtype(self.kind).itemsize:
+                        raise ValueError(f"{part.path}: vectors of {values.dtype} do not fit 32 bits; read them with wide=True")
+                    flat = pa.array(values.astype(self.kind))
                     ends = pa.array(np.arange(count + 1, dtype=np.int32) * dim)
                     last, kind = pa.ListArray.from_arrays(ends, flat), "embedding"
                 yield pa.RecordBatch.from_arrays(
@@ -120,16 +121,21 @@ class _VectorReader(DataSourceReader):
 
 
 class _VectorWriter(DataSourceArrowWriter):
-    """Writes the vectors of a task as files of at most ``rows_per_file`` rows. A file gets its
-    final name when it is whole; a task that runs again replaces it."""
+    """Writes the vectors of a task as files of at most ``rows_per_file`` rows. Files wait in a folder of
+    the job until it commits; a task that runs again replaces its own."""
 
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
         self.rows_per_file = int(options.get("rows_per_file", FILE_ROWS))
+        self.job = f".job-{uuid.uuid4().hex}"
 
-    def write(self, batches) -> WriterCommitMessage:
+    def _waiting(self):
         system, inner = open_filesystem(self.path)
-        system.create_dir(inner, recursive=True)
+        return system, inner, f"{inner}/{self.job}"
+
+    def write(self, batches) -> WriterCommitMessage:
+        system, _, waiting = self._waiting()
+        system.create_dir(waiting, recursive=True)
         task = TaskContext.get().partitionId()
         held, files = [], 0
         for batch in batches:
@@ -137,27 +143,44 @@ class _VectorWriter(DataSourceArrowWriter):
                 held.append(matrix(batch.column(0).slice(start, self.rows_per_file)))
                 while sum(len(h) for h in held) >= self.rows_per_file:
                     rows = np.concatenate(held)
-                    self._save(system, inner, task, files, rows[: self.rows_per_file])
+                    self._save(system, waiting, task, files, rows[: self.rows_per_file])
                     held, files = [rows[self.rows_per_file :]], files + 1
         rest = np.concatenate(held) if held else np.empty((0, 0))
         if len(rest):
-            self._save(system, inner, task, files, rest)
+            self._save(system, waiting, task, files, rest)
         return WriterCommitMessage()
 
-    def _save(self, system, inner: str, task: int, number: int, rows: np.ndarray) -> None:
+    def _save(self, system, folder: str, task: int, number: int, rows: np.ndarray) -> None:
         name = f"{task:06d}_{number:04d}.npy"
-        temporary = f"{inner}/.{name}-{uuid.uuid4().hex}"
+        temporary = f"{folder}/.{name}-{uuid.uuid4().hex}"
         with system.open_output_stream(temporary) as f:
             np.lib.format.write_array(f, np.ascontiguousarray(rows), allow_pickle=False)
-        system.move(temporary, f"{inner}/{name}")
+        system.move(temporary, f"{folder}/{name}")
+
+    def commit(self, messages) -> None:
+        system, inner, waiting = self._waiting()
+        system.create_dir(waiting, recursive=True)
+        earlier = {path.rpartition("/")[2]: path for path, _ in list_files(self.path, ".npy")}
+        new = [i for i in system.get_file_info(fs.FileSelector(waiting)) if i.base_name.endswith(".npy")]
+        clash = [i.base_name for i in new if i.base_name in earlier]
+        if clash and not self.overwrite:
+            system.delete_dir(waiting)
+            raise FileExistsError(f"{self.path} has files of an earlier run: {clash[:3]}; write to another folder or overwrite")
+        for i in new:
+            system.move(i.path, f"{inner}/{i.base_name}")
+        for name in set(earlier) - {i.base_name for i in new} if self.overwrite else ():
+            system.delete_file(earlier[name])
+        system.delete_dir(waiting)
 
     def abort(self, messages) -> None:
-        pass
+        system, _, waiting = self._waiting()
+        if system.get_file_info(waiting).type == fs.FileType.Directory:
+            system.delete_dir(waiting)
 
 
 class VectorFiles(DataSource):
-    """The ``vector_files`` format. Options: ``flat`` (one number per row), ``range_bytes``,
-    ``rows_per_file``."""
+    """The ``vector_files`` format. Options: ``flat`` (one number per row), ``wide`` (64-bit vectors),
+    ``range_bytes``, ``rows_per_file``."""
 
     @classmethod
     def name(cls) -> str:
@@ -166,26 +189,31 @@ class VectorFiles(DataSource):
     def _flat(self) -> bool:
         return str(self.options.get("flat", "false")).lower() == "true"
 
+    def _wide(self) -> bool:
+        return str(self.options.get("wide", "false")).lower() == "true"
+
     def schema(self) -> str:
-        last = "value double" if self._flat() else "embedding array<float>"
+        last = "value double" if self._flat() else f"embedding array<{'double' if self._wide() else 'float'}>"
         return f"file_id int, file string, row_id bigint, {last}"
 
     def reader(self, schema) -> DataSourceReader:
-        return _VectorReader(dict(self.options), self._flat())
+        return _VectorReader(dict(self.options), self._flat(), self._wide())
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _VectorWriter(dict(self.options))
+        return _VectorWriter(dict(self.options), overwrite)
 
 
-def _load(spark: SparkSession, path: str, flat: bool) -> DataFrame:
+def _load(spark: SparkSession, path: str, flat: bool, wide: bool = False) -> DataFrame:
     spark.dataSource.register(VectorFiles)
     allow_pushdown(spark)
-    return spark.read.format("vector_files").option("flat", str(flat).lower()).load(resolved(spark, path))
+    reader = spark.read.format("vector_files").option("flat", str(flat).lower()).option("wide", str(wide).lower())
+    return reader.load(resolved(spark, path))
 
 
-def read_embeddings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Vectors in name order: parquet tables, or ``.npy`` folders with ``fmt="npy"``."""
-    return spark.read.parquet(path) if fmt == "parquet" else _load(spark, path, False)
+def read_embeddings(spark: SparkSession, path: str, fmt: str = "parquet", wide: bool = False) -> DataFrame:
+    """Vectors in name order: parquet tables, or ``.npy`` folders with ``fmt="npy"``, of 64-bit numbers
+    with ``wide``; without it such files raise, since half of their digits would be lost."""
+    return spark.read.parquet(path) if fmt == "parquet" else _load(spark, path, False, wide)
 
 
 def read_scores(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -216,9 +244,15 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_embeddings(df: DataFrame, path: str, embedding: str = "embedding", rows_per_file: int = FILE_ROWS) -> None:
-    """Write the vectors as ``.npy`` files, in the order and partitions of ``df``."""
+def write_embeddings(
+    df: DataFrame, path: str, embedding: str = "embedding", rows_per_file: int = FILE_ROWS, mode: str = "append"
+) -> None:
+    """Write the vectors as ``.npy`` files, in the order and partitions of ``df``.
+
+    Nothing is seen before all of it is there. ``append`` refuses to replace files of an earlier run,
+    ``overwrite`` removes them.
+    """
     spark = df.sparkSession
     spark.dataSource.register(VectorFiles)
-    writer = df.select(embedding).write.format("vector_files").mode("append")
+    writer = df.select(embedding).write.format("vector_files").mode(mode)
     writer.option("rows_per_file", rows_per_file).save(resolved(spark, path))

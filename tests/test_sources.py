@@ -317,3 +317,30 @@ def test_truncated_archives_raise(spark, tmp_path):
     with pytest.raises(Exception, match="archive has changed"):
         archives.fetch(index, str(tmp_path / "in")).collect()
     index.unpersist()
+
+
+def test_vector_files_appear_together(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.range(0, 40, 1, 4).select(F.array(F.col("id").cast("float")).alias("embedding"))
+    vectors.write_embeddings(df, path, rows_per_file=4)
+    assert len(list((tmp_path / "out").glob("*.npy"))) == 12 and not list((tmp_path / "out").glob(".job*"))
+    with pytest.raises(Exception, match="earlier run"):
+        vectors.write_embeddings(df, path, rows_per_file=4)
+    broken = df.withColumn("embedding", F.when(F.col("embedding")[0] < 35, F.col("embedding")).otherwise(F.raise_error(F.lit("gone"))))
+    with pytest.raises(Exception, match="gone"):
+        vectors.write_embeddings(broken, path, rows_per_file=4, mode="overwrite")
+    assert vectors.read_embeddings(spark, path, "npy").count() == 40
+    vectors.write_embeddings(df.limit(3), path, rows_per_file=4, mode="overwrite")
+    assert sorted(r.embedding[0] for r in vectors.read_embeddings(spark, path, "npy").collect()) == [0, 1, 2]
+    assert not list((tmp_path / "out").glob(".job*"))
+
+
+def test_wide_vectors_are_not_cut(spark, tmp_path):
+    np.save(tmp_path / "0.npy", np.ones((2, 3)))
+    with pytest.raises(Exception, match="do not fit 32 bits"):
+        vectors.read_embeddings(spark, str(tmp_path), "npy").collect()
+    exact = np.array([[1 / 3, 2 / 3], [0.1, 1e-300]])
+    df = spark.createDataFrame([(x.tolist(),) for x in exact], "embedding array<double>").coalesce(1)
+    vectors.write_embeddings(df, str(tmp_path / "w"))
+    found = vectors.read_embeddings(spark, str(tmp_path / "w"), "npy", wide=True).orderBy("row_id").collect()
+    assert [r.embedding for r in found] == exact.tolist()
