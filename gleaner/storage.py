@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open = threading.local()  # the tables of every open scope, innermost last
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -71,12 +76,50 @@ def read_text(spark: SparkSession, name: str) -> str | None:
         stream.close()
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes in this scope are dropped where it ends, however it ends.
+
+    What is returned from it has to be written with ``lasting=True``: such a table belongs to the
+    scope around, and stays if there is none.
+    """
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for name in scopes.pop():
+            path, system = _on_disk(spark, name)
+            system.delete(path, True)
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run here go when their query has ended."""
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+
+
+def materialize(df: DataFrame, label: str = "table", lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage with files that outlive any executor, keeps later scans columnar, and
-    gives Catalyst the true size, so that its choice of a broadcast join is a checked one.
+    gives Catalyst the true size, so that its choice of a broadcast join is a checked one. The shuffle
+    files behind the table are of no more use and go at once.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    scopes = getattr(_open, "scopes", [])
+    level = len(scopes) - (2 if lasting else 1)
+    if level >= 0:
+        scopes[level].append(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
