@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.words import longs, mix, positions_in_text, slices
 from gleaner.operators.components import connected_components
-from gleaner.storage import materialize
+from gleaner.storage import materialize, passing
 
 BANDS, BAND_ROWS = 40, 5
 SAMPLES = BANDS * BAND_ROWS
@@ -413,6 +413,22 @@ def near_duplicates(
 ) -> DataFrame:
     """(identity, n_shingles, component_id, kept) per row of ``docs``."""
     found = materialize(prints(docs, width, identity, text), "prints")
+    with passing(docs.sparkSession):
+        of_set = _components(found, docs, width, percent, identity, text)
+    return (
+        found.select("id", "n", "key1", "key2")
+        .join(of_set, ["key1", "key2"], "left")
+        .select(
+            F.col("id").alias(identity),
+            F.col("n").alias("n_shingles"),
+            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        )
+        .withColumn("kept", F.col(identity).eqNullSafe(F.col("component_id")))
+    )
+
+
+def _components(found: DataFrame, docs: DataFrame, width: int, percent: int, identity: str, text: str) -> DataFrame:
+    """(key1, key2, component_id) per distinct set."""
     nodes = materialize(
         found.filter("n > 0")
         .groupBy("key1", "key2")
@@ -463,14 +479,6 @@ def near_duplicates(
         "component", F.coalesce("component", "node")
     )
     names = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_set = materialize(grouped.join(names, "component").select("key1", "key2", "component_id"), "groups")
-    return (
-        found.select("id", "n", "key1", "key2")
-        .join(of_set, ["key1", "key2"], "left")
-        .select(
-            F.col("id").alias(identity),
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-        )
-        .withColumn("kept", F.col(identity).eqNullSafe(F.col("component_id")))
+    return materialize(
+        grouped.join(names, "component").select("key1", "key2", "component_id"), "groups", lasting=True
     )

@@ -12,6 +12,8 @@ import pytest
 
 import corpus_pipeline
 from catalog.checking import compare, duck
+from pyspark.sql import functions as F
+
 from gleaner.llm import chat, decontaminate, lines, lm, mixing, neardup, quality, queries, secrets, sharding, substrings
 
 SF = "/root/testdata/sf0.001"
@@ -341,8 +343,12 @@ def test_near_dedup_goes_by_row(spark):
         (1, b), (7, near[b]), (7, c), (7, near[c]),  # an id with different texts, one near a smaller id
         (9, "f g"), (9, "f g"), (4, None), (4, None),
     ]
-    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF)
-    assert got.columns == ["doc_id", "text"]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    names = ["doc_id", "text", "id", "key", "row", "kept", "_row", "_of"]  # names that the stage or its operator use
+    clashing = table.select("*", *[F.lit("mine").alias(n) for n in names[2:]])
+    got = corpus_pipeline.near_dedup(spark, clashing, SF)
+    assert got.columns == names
+    assert got.filter(" and ".join(f"`{n}` = 'mine'" for n in names[2:])).count() == got.count()
     found = collections.Counter((r.doc_id, r.text) for r in got.collect())
     assert sum(found.pop((7, t), 0) for t in (c, near[c])) == 1
     assert found == {(3, a): 1, (None, d): 1, (None, e): 1, (1, b): 1, (9, "f g"): 1, (4, None): 2}
