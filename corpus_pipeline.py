@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontaminate, mixing, neardup, quality, sharding
-from gleaner.storage import materialize
+from gleaner.storage import materialize, passing
 
 SHARDS = 40
 SHINGLE_WORDS = 5
@@ -28,20 +28,33 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest id, nulls last.
 
     Groups are of rows, so ids may be null or repeat: rows that share an id come down to one only if
-    their texts are near-duplicates. Among rows of one group and id the text's hash decides, then the
-    place. A text without words is a group of its own.
+    their texts are near-duplicates. Among rows of one group and id a hash of the whole row decides;
+    of rows that are equal in all columns one stays at most. A row whose text has no words is a
+    group of its own. Further columns of any name pass through.
+
+    Rows are known by id and hash (128 bits), so no copy of the texts is written; they are joined
+    with the rows that go, which are few.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = neardup.near_duplicates(rows, SHINGLE_WORDS, SIMILAR_PERCENT, identity="_row")
-    groups = groups.select(F.col("_row").alias("_of"), F.col("component_id").alias("_group"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
-    placed = materialize(
-        rows.select("_row", order.alias("_order")).join(groups, F.col("_row") == F.col("_of")).select("_group", "_order"),
-        "placed",
+    values = [F.col(f"`{c}`") for c in docs.columns]
+    marked = [*values, *[v.isNull() for v in values]]
+    key = F.struct(
+        F.col("doc_id").isNull().alias("none"),
+        "doc_id",
+        F.xxhash64(*marked).alias("hash1"),
+        F.xxhash64(F.lit(1), *marked).alias("hash2"),
     )
-    first = placed.groupBy("_group").agg(F.min("_order").alias("_first"))
-    kept = materialize(first.select(F.col("_first._row").alias("_of")), "kept")
-    return rows.join(kept, F.col("_row") == F.col("_of"), "left_semi").drop("_row")
+    with passing(spark):
+        found = neardup.near_duplicates(docs.select(key.alias("id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT, identity="id")
+        rows = found.filter("n_shingles > 0").groupBy("id", "kept").agg(F.count(F.lit(1)).alias("n"))
+        decided = materialize(rows.filter("not kept or n > 1"), "decided", lasting=True)
+    # Structs keep the names of the columns apart from those used here.
+    whole = docs.select(F.struct(*values).alias("row"), key.alias("key"))
+    left = whole.join(decided.select(F.col("id").alias("key")), "key", "left_anti").select("row")
+    again = decided.filter("kept").select(F.col("id").alias("key"))
+    if not again.isEmpty():
+        equal = whole.join(again, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+        left = left.unionByName(equal.select("row"))
+    return left.select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
