@@ -12,7 +12,7 @@ compares itself with the end row of its source.
 
 Defined cases: a null or empty text has size 0 and is taken at no cost; a null source is a source,
 the last one; ids may be null or repeat; rows equal in source, id and text share one draw; further
-columns pass through; an empty table gives an empty one. Draws depend on seed, id and text only.
+columns pass through, except that those of a result's name give way to it; an empty table gives an empty one. Draws depend on seed, id and text only.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
+RESULTS = ("size", "source_size", "target", "copies")
 _HEX_DIGITS = 13  # 52 bits: exact in a double
 
 
@@ -76,26 +77,29 @@ def mix(
     most: int = MOST,
     seed: int = SEED,
 ) -> DataFrame:
-    """``docs`` with size, source_size, target and copies (how often the mix takes the row)."""
+    """``docs`` with size, source_size, target and copies (how often the mix takes the row).
+
+    Columns of ``docs`` with one of these names are replaced.
+    """
     digest = _digest(F.col(text))
     numbered = {
         "_size": size_of(F.col(text)),
         "_digest": digest,
         "_u": _uniform(seed, F.col(identity), digest),
     }
-    wide = docs.withColumns(numbered)
-    narrow = materialize(
-        wide.select(F.col(source).alias("_source"), F.col(identity).alias("_id"), *numbered), "mix-narrow"
-    )
+    known_as = [F.col(source).alias("_source"), F.col(identity).alias("_id"), *[c.alias(n) for n, c in numbered.items()]]
+    narrow = materialize(docs.select(*known_as), "mix-narrow")
+    # Inside a struct the columns of docs cannot clash with those used here.
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *known_as)
     sources = _sources(narrow, weights, most)
     ends = _ends(narrow, sources)
     known = materialize(sources.join(ends, "_spot", "left"), "mix-sources")
-    joined = wide.join(known, F.col(source).eqNullSafe(F.col("_from")))
-    mine = F.struct(_rank(), F.col(identity).alias("id"), F.col("_digest").alias("digest"))
+    joined = wide.join(known, F.col("_source").eqNullSafe(F.col("_from")))
+    mine = F.struct(_rank(), F.col("_id").alias("id"), F.col("_digest").alias("digest"))
     extra = F.coalesce((mine <= F.col("_end")).cast("int"), F.lit(0))
     copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.least(F.col("_whole") + extra, F.lit(most)))
     return joined.select(
-        *docs.columns,
+        *[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in RESULTS],
         F.col("_size").alias("size"),
         F.col("source_size"),
         F.col("target"),
@@ -140,7 +144,8 @@ def _ends(narrow: DataFrame, sources: DataFrame) -> DataFrame:
     )
     order = [F.col("_spot"), F.col("rank"), F.col("_id"), F.col("_digest")]
     summed = materialize(running_total(units, order, "_size", "_run"), "mix-order")
-    starts = summed.groupBy("_spot").agg(F.min(F.col("_run") - F.col("_size")).alias("_start"))
+    # One row per source, written so that Catalyst knows its size: joined to a hot source without moving it.
+    starts = materialize(summed.groupBy("_spot").agg(F.min(F.col("_run") - F.col("_size")).alias("_start")), "mix-starts")
     middle = F.col("_run") - F.col("_start") - F.col("_size") / 2
     return (
         summed.join(starts, "_spot")
@@ -152,6 +157,8 @@ def _ends(narrow: DataFrame, sources: DataFrame) -> DataFrame:
 
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of a mix as often as it takes them."""
-    return mixed.filter("copies > 0").select(
-        *columns, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy")
-    ).drop("_copy")
+    turn = "_copy"
+    while turn in columns:
+        turn = f"_{turn}"
+    copied = mixed.filter("copies > 0").withColumn(turn, F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return copied.select(*[F.col(f"`{c}`") for c in columns])
