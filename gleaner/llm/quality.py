@@ -193,9 +193,14 @@ def verdict(text: Column, weights: list[int], threshold: int = THRESHOLD) -> Col
 
 
 def judge(docs: DataFrame, weights: list[int], text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with the fields of ``verdict``."""
-    judged = docs.withColumn("_verdict", verdict(F.col(text), weights, threshold))
-    return judged.select(*docs.columns, "_verdict.*")
+    """``docs`` with the fields of ``verdict``; columns of ``docs`` with their names give way to them."""
+    mine = "_verdict"
+    while mine in docs.columns:
+        mine = f"_{mine}"
+    judged = docs.withColumn(mine, verdict(F.col(text), weights, threshold))
+    results = judged.schema[mine].dataType.names
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in results]
+    return judged.select(*others, f"{mine}.*")
 
 
 def keep(docs: DataFrame, weights: list[int], text: str = "text", threshold: int = THRESHOLD) -> DataFrame:

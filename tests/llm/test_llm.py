@@ -9,11 +9,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from catalog.checking import compare, duck
-from pyspark.sql import functions as F
-
 from gleaner.llm import chat, decontaminate, lines, lm, mixing, neardup, quality, queries, secrets, sharding, substrings
 
 SF = "/root/testdata/sf0.001"
@@ -354,6 +353,33 @@ def test_near_dedup_goes_by_row(spark):
     assert found == {(3, a): 1, (None, d): 1, (None, e): 1, (1, b): 1, (9, "f g"): 1, (4, None): 2}
 
 
+def test_columns_with_names_of_results(spark):
+    """They pass through, or give way to a result of their name; all other results are as without them."""
+    words = [" ".join(f"{x}{i}" for i in range(70)) for x in "abcdef"]
+    rows = [(i, w + "\nsame line of five words\n" + w[:9], "xy"[i % 2]) for i, w in enumerate(words)]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+
+    def with_names(*names):
+        return plain.select("*", *[F.lit("mine").alias(n) for n in names])
+
+    def same(got, want, passing):
+        shared = ["doc_id", *[c for c in want.columns if c != "doc_id"]]
+        assert sorted(got.select(*shared).collect()) == sorted(want.select(*shared).collect())
+        assert len(set(got.columns)) == len(got.columns)
+        assert all(got.filter(F.col(n) != "mine").isEmpty() for n in passing)
+
+    own = ["_size", "_digest", "_u", "_source", "_id", "_row", "_copy"]
+    named = with_names(*own, *mixing.RESULTS)
+    same(mixing.mix(named), mixing.mix(plain), own)
+    want = mixing.repeat(mixing.mix(plain), plain.columns)
+    same(mixing.repeat(mixing.mix(named), [*plain.columns, *own]), want, own)
+    same(corpus_pipeline.mix_sources(spark, named, SF), want, [*own, *mixing.RESULTS])
+    flat = [0] * quality.SLOTS
+    same(quality.judge(with_names("_verdict", "score", "kept", "n_words"), flat), quality.judge(plain, flat), ["_verdict"])
+    names = ["removed_lines", "_id", "id", "own", "row", "n_lines"]
+    same(lines.cut(with_names(*names)), lines.cut(plain), names)
+
+
 def test_pipeline(spark, docs, texts):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {r.doc_id for r in rows} <= set(texts)
