@@ -63,8 +63,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.repeat(mixing.mix(docs), docs.columns)
+    """Documents as often as the mix takes them, with their columns as they are, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return mixing.repeat(mixing.mix(docs.select("doc_id", "text", "source", row)), ["row"]).select("row.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
