@@ -107,12 +107,13 @@ def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_SHUFFLE_CLEANUP, before)
 
 
-def materialize(df: DataFrame, label: str = "table", lasting: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str = "table", lasting: bool = False, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage with files that outlive any executor, keeps later scans columnar, and
     gives Catalyst the true size, so that its choice of a broadcast join is a checked one. The shuffle
-    files behind the table are of no more use and go at once.
+    files behind the table are of no more use and go at once. ``compression`` is for tables of texts;
+    None is the session's own.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
@@ -121,5 +122,5 @@ def materialize(df: DataFrame, label: str = "table", lasting: bool = False) -> D
     if level >= 0:
         scopes[level].append(path)
     with _shuffles_dropped(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
