@@ -412,3 +412,25 @@ def stream_uncertainty(spark, sf):
     arriving = spark.readStream.schema("epoch int, sample_id bigint, prob double").parquet(path)
     found = streams.stream_uncertainty(arriving, WINDOW)
     return _to_table(found, spark, "stream-uncertainty").withColumn("uncertainty", r5("uncertainty"))
+
+
+@query(
+    "stream_uncertainty_late",
+    with_sql(
+        HISTORY_SQL,
+        GRID_SQL,
+        select="SELECT sample_id, epoch, round(uncertainty, 5) AS uncertainty FROM unc WHERE prob <> 0",
+        window=WINDOW,
+    ),
+)
+def stream_uncertainty_late(spark, sf):
+    """Epochs arrive in three files, dealt by a hash."""
+    source, target = scratch_path(spark, "stream-late"), scratch_path(spark, "stream-updates")
+    rows = history(spark, sf)
+    lateness = rows.agg(F.max("epoch") - F.min("epoch")).first()[0] or 0
+    rows.repartition(3, F.xxhash64("epoch")).write.parquet(source)
+    arriving = spark.readStream.schema("epoch int, sample_id bigint, prob double")
+    found = streams.stream_uncertainty_late(arriving.option("maxFilesPerTrigger", 1).parquet(source), WINDOW, lateness)
+    _finish(streams.write_updates(found, target), spark, "stream-updates")
+    updates = spark.read.schema("sample_id bigint, epoch int, uncertainty double, batch int").parquet(target)
+    return streams.latest(updates, ["sample_id", "epoch"]).withColumn("uncertainty", r5("uncertainty"))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleaner.operators import tiles
@@ -123,3 +123,103 @@ def stream_uncertainty(history: DataFrame, window: int) -> DataFrame:
             GroupStateTimeout.NoTimeout,
         )
     )
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _LateEpochs(StatefulProcessor):
+    """A sample's values that a late epoch can still touch, in order of epochs.
+
+    These are the epochs that the watermark has not passed and the ``window - 1`` values before them.
+    """
+
+    def __init__(self, window: int):
+        self.window = window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "epochs array<int>, probs array<double>")
+
+    def _held(self) -> tuple[np.ndarray, np.ndarray]:
+        epochs, probs = self.seen.get() if self.seen.exists() else ([], [])
+        return np.array(epochs, np.int64), np.array(probs, float)
+
+    def _keep(self, epochs: np.ndarray, probs: np.ndarray, passed: int) -> None:
+        settled = int(np.searchsorted(epochs, passed))
+        first = max(settled - self.window + 1, 0)
+        self.seen.update((epochs[first:].tolist(), probs[first:].tolist()))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        epochs, probs = self._held()
+        fresh = pd.concat([r for r in rows if len(r)]).groupby("epoch")["prob"].max()
+        known = dict(zip(epochs.tolist(), probs.tolist(), strict=True))
+        changed = [e for e, p in fresh.items() if p > known.get(e, 0)]
+        if not changed:
+            return
+        known.update({e: float(fresh[e]) for e in changed})
+        epochs = np.array(sorted(known), np.int64)
+        probs = np.array([known[e] for e in epochs.tolist()])
+        padded = np.concatenate([np.zeros(self.window - 1), probs])
+        values = SCALE * np.lib.stride_tricks.sliding_window_view(padded, self.window).std(axis=1, ddof=1)
+        touched = epochs >= min(changed)
+        # The watermark is in milliseconds; an epoch is a second, the first one ends at 1.
+        self._keep(epochs, probs, timerValues.getCurrentWatermarkInMs() // 1000)
+        self.handle.registerTimer((int(epochs[-1]) + 1) * 1000)
+        yield pd.DataFrame({"sample_id": key[0], "epoch": epochs[touched].astype("int32"), "uncertainty": values[touched]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """What no late epoch can touch any more goes, also for a sample that is not seen again."""
+        if self.seen.exists():
+            self._keep(*self._held(), timerValues.getCurrentWatermarkInMs() // 1000)
+        yield pd.DataFrame({"sample_id": [], "epoch": [], "uncertainty": []}).astype(
+            {"sample_id": "int64", "epoch": "int32", "uncertainty": "float64"}
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def stream_uncertainty_late(history: DataFrame, window: int, lateness: int) -> DataFrame:
+    """(sample_id, epoch, uncertainty) in update mode, for epochs that arrive in any order.
+
+    A probability that arrives late is put in its place, and the values of its epoch and the later ones
+    are sent again; of repeated rows of a sample and epoch the highest probability counts, as in
+    ``merge_ranks``. Zeros and nulls change nothing. Epochs more than ``lateness`` behind the highest
+    one of the earlier triggers are dropped by the watermark (``numRowsDroppedByWatermark``), and a
+    timer takes from a sample's state what they could have touched. A state has at most ``window - 1``
+    values and those of the last ``lateness`` epochs. Epochs count from 0. Needs the RocksDB state store, which is set here.
+    """
+    if window < 2 or lateness < 0:
+        raise ValueError("a window needs at least two epochs, and lateness cannot be negative")
+    history.sparkSession.conf.set(_STORE, _ROCKS)
+    at = F.timestamp_seconds(F.col("epoch") + 1)  # a watermark begins at 0, where nothing may lie
+    return (
+        history.filter(F.col("prob") != 0)
+        .select("sample_id", "epoch", "prob", at.alias("at"))
+        .withWatermark("at", f"{lateness + 1} seconds")
+        .groupBy("sample_id")
+        .transformWithStateInPandas(
+            _LateEpochs(window),
+            "sample_id bigint, epoch int, uncertainty double",
+            outputMode="Update",
+            timeMode="EventTime",
+        )
+    )
+
+
+def write_updates(values: DataFrame, path: str) -> DataStreamWriter:
+    """A writer of a stream of updates: a folder per batch, which a batch that runs again overwrites."""
+
+    def settle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return values.writeStream.outputMode("update").foreachBatch(settle)
+
+
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last version of every key in the folders of ``write_updates``."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    newest = F.max_by(F.struct(*rest), "batch").alias("_last")
+    return updates.groupBy(*keys).agg(newest).select(*keys, "_last.*")

@@ -88,6 +88,57 @@ def test_stream_keeps_its_buffer_between_batches(spark, tmp_path):
     assert found.count() == 8 and found.exceptAll(batch).isEmpty()
 
 
+def _run_late(arriving, tmp_path, lateness):
+    run = (
+        streams.write_updates(streams.stream_uncertainty_late(arriving, 3, lateness), str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "log"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    return run
+
+
+def test_late_epochs_are_put_in_their_place(spark, tmp_path):
+    """Epochs in shuffled order, a repeated row, a restart in between: what the batch gives."""
+    rng = np.random.default_rng(3)
+    probs = np.round(rng.random((12, 10)) * (rng.random((12, 10)) < 0.7), 3).tolist()
+    df = history(spark, probs)
+    source = str(tmp_path / "in")
+
+    def put(epoch):
+        df.filter(F.col("epoch") == epoch).coalesce(1).write.mode("append").parquet(source)
+
+    epochs = df.select("epoch").distinct().count()
+    order = [2, 0, 1, 5, 3, 7, 4, 6, *range(8, epochs)]
+    for e in order[:5]:
+        put(e)
+    arriving = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    _run_late(arriving, tmp_path, 4)
+    for e in [*order[5:], order[-1]]:
+        put(e)
+    _run_late(arriving, tmp_path, 4)
+    found = streams.latest(spark.read.parquet(str(tmp_path / "out")), ["sample_id", "epoch"])
+    want = dynamics.window_uncertainty(df, 3).select("sample_id", "epoch", F.round("uncertainty", 9))
+    found = found.select("sample_id", "epoch", F.round("uncertainty", 9))
+    assert found.count() == want.count() and found.exceptAll(want).isEmpty()
+
+
+def test_epochs_behind_the_watermark_are_dropped_and_counted(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for e in (0, 9, 10, 1, 11):
+        rows = spark.createDataFrame([(e, 1, 0.5 + e / 100)], "epoch int, sample_id bigint, prob double")
+        rows.coalesce(1).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run = _run_late(arriving, tmp_path, 2)
+    dropped = sum(o.numRowsDroppedByWatermark for p in run.recentProgress for o in p.stateOperators)
+    found = streams.latest(spark.read.parquet(str(tmp_path / "out")), ["sample_id", "epoch"]).collect()
+    assert dropped == 1
+    values = {r["epoch"]: r["uncertainty"] for r in found}
+    assert sorted(values) == [0, 9, 10, 11]
+    assert abs(values[11] - 10 * np.std([0.59, 0.6, 0.61], ddof=1)) < 1e-9
+
+
 def test_uncertainty_takes_one_shuffle_by_sample(spark):
     rows = [(e, s, ((e * 7 + s * 3) % 10) / 10) for e in range(12) for s in range(20)]
     df = spark.createDataFrame(rows, "epoch int, sample_id bigint, prob double")
