@@ -18,9 +18,9 @@ from catalog.inputs import (
 )
 from gleaner.functions import captions
 from gleaner.operators import evaluation, ranking
-from gleaner.operators.joins import row_offsets
+from gleaner.operators.joins import attach_metadata, row_offsets
 from gleaner.plans import coresets
-from gleaner.sources import archives, tables
+from gleaner.sources import archives, buckets, tables
 from gleaner.sources import vectors as vector_files
 from gleaner.storage import materialize, scratch_path
 from gleaner.streaming import streams
@@ -316,6 +316,24 @@ def read_caption_csv(spark, sf):
     return tables.read_caption_csv(spark, path)
 
 
+@query(
+    "bucketed_join",
+    """SELECT l_orderkey AS key, l_linenumber AS line, o_orderpriority AS priority, o_totalprice AS price
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+)
+def bucketed_join(spark, sf):
+    """Both sides laid out by key once, the second one read as another session would."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"))
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price")
+    )
+    left = buckets.write_bucketed(lines, scratch_path(spark, "buckets-lines"), ["key"], 8)
+    path = scratch_path(spark, "buckets-orders")
+    buckets.write_bucketed(orders, path, ["key"], 8)
+    right = buckets.read_bucketed(spark, path)
+    return attach_metadata(left, right.select("key", "priority"), right.select("key", "price"))
+
+
 # --- streams --------------------------------------------------------------------------------
 
 

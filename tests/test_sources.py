@@ -9,7 +9,7 @@ from pyspark.sql.datasource import EqualTo, In, IsNotNull, LessThan
 from gleaner.functions import captions
 from gleaner.operators import joins
 from gleaner.plans import coresets
-from gleaner.sources import archives, sinks, tables, vectors
+from gleaner.sources import archives, buckets, sinks, tables, vectors
 from gleaner.streaming import streams
 
 
@@ -344,3 +344,41 @@ def test_wide_vectors_are_not_cut(spark, tmp_path):
     vectors.write_embeddings(df, str(tmp_path / "w"))
     found = vectors.read_embeddings(spark, str(tmp_path / "w"), "npy", wide=True).orderBy("row_id").collect()
     assert [r.embedding for r in found] == exact.tolist()
+
+
+def _exchanges(df):
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return final.count("Exchange hashpartitioning")
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    left = spark.range(5000).select(F.col("id").alias("key"), (F.col("id") * 3).alias("a b"))
+    right = spark.range(0, 9000, 3).select(F.col("id").alias("key"), F.array(F.col("id").cast("float")).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        one = buckets.write_bucketed(left, str(tmp_path / "one"), ["key"], 6)
+        buckets.write_bucketed(right, str(tmp_path / "two"), ["key"], 6)
+        two = buckets.read_bucketed(spark, str(tmp_path / "two"))
+        both = joins.attach_embeddings(one, two)
+        assert _exchanges(both) == 0 and _exchanges(joins.attach_embeddings(left, right)) == 2
+        assert sorted(both.collect()) == sorted(joins.attach_embeddings(left, right).collect())
+        chosen = joins.coreset_semi_join(two, left.filter("key % 7 = 0"))
+        assert _exchanges(chosen) == 1 and chosen.count() == 239
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bucketed_tables_refuse_hot_keys_and_folders_in_use(spark, tmp_path):
+    rows = spark.range(4000)
+    hot = rows.select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("key"), "id")
+    with pytest.raises(ValueError, match="one bucket"):
+        buckets.write_bucketed(hot, str(tmp_path / "hot"), ["key"], 16)
+    spread = buckets.write_bucketed(hot, str(tmp_path / "spread"), ["key", "id"], 16)
+    assert spread.count() == 4000
+    with pytest.raises(ValueError, match="already"):
+        buckets.write_bucketed(hot, str(tmp_path / "spread"), ["key", "id"], 16)
+    with pytest.raises(FileNotFoundError):
+        buckets.read_bucketed(spark, str(tmp_path / "nothing"))
+    empty = rows.filter("id < 0").select(F.col("id").alias("key"))
+    assert buckets.write_bucketed(empty, str(tmp_path / "empty"), ["key"], 4).count() == 0
