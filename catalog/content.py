@@ -338,9 +338,10 @@ def bucketed_join(spark, sf):
 
 
 def _stream(spark, sf, name):
-    """A test table as a file stream."""
+    """A test table as a file stream, be it one file or a folder of files."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # A stream takes a single file only from a pattern.
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _finish(writer, spark, label):

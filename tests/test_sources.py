@@ -2,10 +2,12 @@ import io
 import tarfile
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In, IsNotNull, LessThan
 
+from catalog import content
 from gleaner.functions import captions
 from gleaner.operators import joins
 from gleaner.plans import coresets
@@ -214,6 +216,24 @@ def test_stream_dedup_over_several_batches(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(kept).collect()) == list(range(14))
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_read_tables_in_one_file_or_many(spark, tmp_path, files):
+    """A table may be a file or a folder of files; a stream has to take the rows of both."""
+    rows = [(i, [float(np.cos(i % 7)), float(np.sin(i % 7))], i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    if files == 1:
+        pq.write_table(df.toArrow(), str(tmp_path / "embeddings.parquet"))
+    else:
+        df.repartition(files).write.parquet(str(tmp_path / "embeddings.parquet"))
+    kept = content.stream_semdedup(spark, str(tmp_path))
+    expected = {}
+    for i, v, c in rows:  # a reader of ascending ids
+        if all(np.dot(v, w) <= 0.35 for j, w in expected.items() if j % 2 == c):
+            expected[i] = v
+    assert sorted(r["id"] for r in kept.collect()) == sorted(expected)
+    assert content.stream_assign_clusters(spark, str(tmp_path)).count() == 60
+
+
 class _Counting:
     """A local file system that notes which bytes are read with ``read_at``."""
 
