@@ -55,7 +55,8 @@ def _collapse(df: DataFrame, cluster: str, identity: str, embedding: str) -> _Co
     as ``_first``.
     """
     digest = content_hash(embedding).alias("_digest")
-    digests = materialize(df.select(cluster, identity, "_order", digest), "digests")
+    width = F.size(embedding).alias("_size")
+    digests = materialize(df.select(cluster, identity, "_order", digest, width), "digests")
     firsts = (
         digests.groupBy(cluster, "_digest")
         .agg(F.min(F.struct("_order", identity)).alias("_lead"), F.count(F.lit(1)).alias("_copies"))
@@ -66,12 +67,12 @@ def _collapse(df: DataFrame, cluster: str, identity: str, embedding: str) -> _Co
     copies = marked.filter(F.col("_first") != F.col(identity)).select(cluster, identity, "_first")
     copies = materialize(copies, "copies")
     if copies.isEmpty():
-        return _Collapsed(df, tiles.cluster_rows(digests, cluster), None)
+        return _Collapsed(df, tiles.cluster_rows(digests, cluster, F.col("_size")), None)
     # Vectors meet ids here, never a digest that many rows share.
     gone = copies.select(identity)
     return _Collapsed(
         df.join(gone, identity, "left_anti"),
-        tiles.cluster_rows(digests.join(gone, identity, "left_anti"), cluster),
+        tiles.cluster_rows(digests.join(gone, identity, "left_anti"), cluster, F.col("_size")),
         copies,
     )
 

@@ -5,7 +5,11 @@ task group ("tile"). A cluster that holds a third of all rows becomes many tiles
 as any other. A tile reduces what it sees before it returns: a maximum per row, a spanning forest,
 counts. Pairs are only returned by the operator that is asked for them.
 
-The rows of a tile never exceed two blocks, and the similarity matrix is formed in strips.
+Blocks may be small. A cluster of more than ``FACING`` blocks sends them in bundles: a row travels once
+for each bundle it faces, and a task compares all pairs of blocks of two bundles. So small blocks
+do not multiply the rows that are shuffled; a bundle has as many rows as a worker may hold.
+
+The rows of a tile never exceed two bundles, and the similarity matrix is formed in strips.
 
 Where only similarities above a threshold matter, a strip is stopped early. The vectors are turned so
 that most of their length lies in few dimensions, largest first. The product over the first
@@ -20,7 +24,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import COMPARE_DECIMALS, COMPARE_STEP, matrix, unit_rows
@@ -28,6 +32,11 @@ from gleaner.storage import materialize
 
 # Rows of one block. Two blocks of 768 doubles are about 100 MB in a Python worker.
 BLOCK_ROWS = 8192
+# Entries of the vectors of a bundle that has several blocks (50 MB of doubles), and its rows.
+BUNDLE_ENTRIES = BLOCK_ROWS * 768
+BUNDLE_ROWS = 4 * BLOCK_ROWS
+# Blocks that a row faces one by one; from here on they come in bundles, in no fewer than this.
+FACING = 16
 # Entries of a similarity matrix held at one time (64 MB of doubles).
 STRIP_ENTRIES = 8_000_000
 # Bounds are taken from an eighth of the dimensions, then from half of them, if that is this many.
@@ -40,21 +49,29 @@ BASIS_ROWS = 2048
 BOUND_ERROR = 1e-4
 
 
-def cluster_rows(df: DataFrame, cluster: str) -> DataFrame:
-    """(cluster, _rows)."""
-    return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("_rows"))
+def cluster_rows(df: DataFrame, cluster: str, width: Column) -> DataFrame:
+    """(cluster, _rows, _width): ``width`` is the length of a row's vector."""
+    return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("_rows"), F.max(width).alias("_width"))
 
 
 def block_counts(sizes: DataFrame, cluster: str, block_rows: int) -> DataFrame:
-    """Clusters that need more than one block, and how many. Written once, so that Spark knows
-    its size when it plans the join."""
-    blocks = sizes.select(cluster, F.ceil(F.col("_rows") / F.lit(block_rows)).cast("int").alias("_blocks"))
-    return materialize(blocks.filter("_blocks > 1"), "blocks")
+    """Clusters that need more than one block, how many, and the bundles these travel in. Written
+    once, so that Spark knows its size when it plans the join."""
+    held = F.least(F.lit(BUNDLE_ROWS), F.greatest(F.lit(1), F.floor(F.lit(BUNDLE_ENTRIES) / F.col("_width"))))
+    blocks = sizes.select(
+        cluster, F.ceil(F.col("_rows") / F.lit(block_rows)).cast("int").alias("_blocks"),
+        F.ceil(F.col("_rows") / held).cast("int").alias("_fewest"),
+    )
+    bundles = F.least("_blocks", F.greatest(F.lit(FACING), "_fewest")).alias("_bundles")
+    return materialize(blocks.filter("_blocks > 1").select(cluster, "_blocks", bundles), "blocks")
 
 
-def _with_block(df: DataFrame, cluster: str, identity: str, blocks: DataFrame) -> DataFrame:
-    counted = df.join(blocks, cluster, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    return counted.withColumn("_block", F.pmod(F.xxhash64(identity), F.col("_blocks")).cast("int"))
+def _with_bundle(df: DataFrame, cluster: str, identity: str, blocks: DataFrame) -> DataFrame:
+    counted = df.join(blocks, cluster, "left").withColumns(
+        {c: F.coalesce(c, F.lit(1)) for c in ("_blocks", "_bundles")}
+    )
+    block = F.pmod(F.xxhash64(identity), F.col("_blocks"))
+    return counted.withColumn("_bundle", F.floor(block * F.col("_bundles") / F.col("_blocks")).cast("int"))
 
 
 def _spread(df: DataFrame, cluster: str) -> DataFrame:
@@ -78,7 +95,7 @@ def self_tiles(
 ) -> DataFrame:
     """Run ``work`` on every unordered pair of blocks of every cluster.
 
-    ``sizes`` gives the rows of each cluster where they are known from narrow columns, so that
+    ``sizes`` gives the ``cluster_rows`` where they are known from narrow columns, so that
     the vectors are not read for counting. ``work`` gets the columns ``_id``, ``_order``, ``_vector``, ``_side`` (0 left, 1 right; all 0 on a diagonal
     tile) and ``_cluster``.
     """
@@ -88,22 +105,22 @@ def self_tiles(
         (F.col(order) if order else F.lit(0.0)).cast("double").alias("_order"),
         F.col(embedding).alias("_vector"),
     )
-    counted = sizes.withColumnRenamed(cluster, "_cluster") if sizes is not None else cluster_rows(narrow, "_cluster")
+    counted = sizes.withColumnRenamed(cluster, "_cluster") if sizes is not None else cluster_rows(narrow, "_cluster", F.size("_vector"))
     blocks = block_counts(counted, "_cluster", block_rows)
-    placed = _with_block(narrow, "_cluster", "_id", blocks)
-    tiles = _facing(placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))))
+    placed = _with_bundle(narrow, "_cluster", "_id", blocks)
+    tiles = _facing(placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_bundles") - 1))))
     return (
         _spread(tiles, "_cluster").groupBy("_cluster", "_left", "_right").applyInArrow(work, schema)
     )
 
 
 def _facing(paired: DataFrame) -> DataFrame:
-    """One row per tile a row takes part in, from its ``_block`` and the ``_other`` block."""
+    """One row per tile a row takes part in, from its ``_bundle`` and the ``_other`` one."""
     return paired.select(
         "_cluster",
-        F.least("_block", "_other").alias("_left"),
-        F.greatest("_block", "_other").alias("_right"),
-        F.when(F.col("_block") > F.col("_other"), 1).otherwise(0).alias("_side"),
+        F.least("_bundle", "_other").alias("_left"),
+        F.greatest("_bundle", "_other").alias("_right"),
+        F.when(F.col("_bundle") > F.col("_other"), 1).otherwise(0).alias("_side"),
         "_id",
         "_order",
         "_vector",
@@ -123,24 +140,24 @@ def cross_tiles(
     found on one side only still yields its left rows, against an empty right side.
     """
     left_blocks, right_blocks = (
-        block_counts(cluster_rows(side, "_cluster"), "_cluster", block_rows) for side in (left, right)
+        block_counts(cluster_rows(side, "_cluster", F.size("_vector")), "_cluster", block_rows) for side in (left, right)
     )
 
     def placed(df: DataFrame, own: DataFrame, other: DataFrame) -> DataFrame:
-        counts = other.select("_cluster", F.col("_blocks").alias("_facing"))
+        counts = other.select("_cluster", F.col("_bundles").alias("_facing"))
         return (
-            _with_block(df, "_cluster", "_id", own)
+            _with_bundle(df, "_cluster", "_id", own)
             .join(counts, "_cluster", "left")
             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce("_facing", F.lit(1)) - 1)))
         )
 
     columns = ["_cluster", "_left", "_right", "_side", "_id", "_order", "_vector"]
     lefts = placed(left, left_blocks, right_blocks).select(
-        "_cluster", F.col("_block").alias("_left"), F.col("_other").alias("_right"),
+        "_cluster", F.col("_bundle").alias("_left"), F.col("_other").alias("_right"),
         F.lit(0).alias("_side"), "_id", "_order", "_vector",
     )
     rights = placed(right, right_blocks, left_blocks).select(
-        "_cluster", F.col("_other").alias("_left"), F.col("_block").alias("_right"),
+        "_cluster", F.col("_other").alias("_left"), F.col("_bundle").alias("_right"),
         F.lit(1).alias("_side"), "_id", "_order", "_vector",
     )
     tiles = lefts.select(columns).union(rights.select(columns))

@@ -369,3 +369,20 @@ def test_strips_stop_early_without_loss(monkeypatch, few, diagonal):
         label[label == max(label[a], label[b])] = min(label[a], label[b])
     parts = {i: int(label[i]) for i in range(300) if label[i] != i}
     assert dict(zip(forest["dst"].to_pylist(), forest["src"].to_pylist(), strict=True)) == parts
+
+
+def test_small_blocks_do_not_multiply_the_rows_sent(spark):
+    """300 blocks of one row: a row travels once per bundle, and no pair is lost or seen twice."""
+    df = rows(spark, random_vectors(300, groups=30))
+
+    def count(table):
+        both = table.column("_side").to_pylist().count(1)
+        n = table.num_rows
+        pairs = (n - both) * both if both else n * (n - 1) // 2
+        diagonal = table.column("_left")[0] == table.column("_right")[0]
+        return pa.table({"_sent": [n], "_pairs": [pairs if diagonal or both else 0]})
+
+    sent = tiles.self_tiles(df, "cluster_id", "id", "embedding", None, count, "_sent bigint, _pairs bigint", 1)
+    found = sent.agg(F.sum("_sent").alias("sent"), F.sum("_pairs").alias("pairs")).first()
+    assert found["pairs"] == 300 * 299 // 2
+    assert found["sent"] <= 300 * tiles.FACING
