@@ -37,8 +37,10 @@ BUNDLE_ENTRIES = BLOCK_ROWS * 768
 BUNDLE_ROWS = 4 * BLOCK_ROWS
 # Blocks that a row faces one by one; from here on they come in bundles, in no fewer than this.
 FACING = 16
-# Entries of a similarity matrix held at one time (64 MB of doubles).
-STRIP_ENTRIES = 8_000_000
+# Entries of a similarity matrix held at one time (8 MB of doubles).
+STRIP_ENTRIES = 1_000_000
+# Left rows of a piece of a strip, where maxima are taken.
+PIECE_ROWS = 2048
 # Bounds are taken from an eighth of the dimensions, then from half of them, if that is this many.
 MIN_DIMENSIONS = 8
 # The share of a strip's pairs that are finished one by one.
@@ -276,20 +278,54 @@ def above_floor(floor: float) -> Callable[[pa.Table], pa.Table]:
     return work
 
 
+def _raise(best: np.ndarray, sims: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> None:
+    """Raise ``best`` to the highest similarity of each row of ``mine`` to a row of ``theirs``, given
+    the 32-bit ``sims`` of them (-2 where a pair does not count).
+
+    Only pairs whose 32-bit product may hold the maximum are multiplied in double; rows that
+    have had a similarity of 1 are done.
+    """
+    slack = (mine.shape[1] + 8) * 2.0**-23
+    top = sims.max(axis=1)
+    open_ = np.flatnonzero((top > best - slack) & (best < 1.0 - COMPARE_STEP))
+    if not len(open_):
+        return
+    may = sims[open_] >= np.maximum(top[open_] - 2 * slack, best[open_] - slack)[:, None]
+    if np.count_nonzero(may) > FEW * sims.size:
+        exact = np.where(may, mine[open_] @ theirs.T, best[open_][:, None])
+        best[open_] = np.maximum(best[open_], exact.max(axis=1))
+        return
+    i, j = np.nonzero(may)
+    np.maximum.at(best, open_[i], np.einsum("ij,ij->i", mine[open_[i]], theirs[j]))
+
+
 def earlier_maxima(table: pa.Table) -> pa.Table:
     """For each row, its highest similarity to a row before it, and not below zero."""
     tile = Tile(table)
-    left_best = np.zeros(len(tile.left))
-    right_best = np.zeros(len(tile.right))
-    for start, stop, sims in tile.strips():
-        # Rows are sorted, so the left rows before right row r are the first before[r] ones.
-        before = np.searchsorted(tile.position[0], tile.position[1][start:stop])
-        rows = np.arange(len(tile.left))[:, None]
-        earlier = rows < before[None, :]
-        right_best[start:stop] = np.where(earlier, sims, 0.0).max(axis=0, initial=0.0)
-        if not tile.diagonal:
-            later = np.where(earlier, 0.0, sims).max(axis=1, initial=0.0)
-            np.maximum(left_best, later, out=left_best)
+    left, right = tile.left, tile.right
+    left32 = left.astype(np.float32)
+    right32 = left32 if tile.diagonal else right.astype(np.float32)
+    left_best, right_best = np.zeros(len(left)), np.zeros(len(right))
+    # Rows are sorted, so the left rows before right row r are the first before[r] ones.
+    before = np.searchsorted(tile.position[0], tile.position[1])
+    step = max(1, STRIP_ENTRIES // PIECE_ROWS)
+    for c in range(0, len(right), step):
+        d = min(c + step, len(right))
+        for a in range(0, len(left), PIECE_ROWS):
+            b = min(a + PIECE_ROWS, len(left))
+            if tile.diagonal and before[d - 1] <= a:
+                break
+            sims = left32[a:b] @ right32[c:d].T
+            if before[c] >= b:
+                _raise(right_best[c:d], sims.T, right[c:d], left[a:b])
+            elif before[d - 1] <= a:
+                _raise(left_best[a:b], sims, left[a:b], right[c:d])
+            else:
+                earlier = np.arange(a, b)[:, None] < before[c:d]
+                no = np.float32(-2)
+                _raise(right_best[c:d], np.where(earlier, sims, no).T, right[c:d], left[a:b])
+                if not tile.diagonal:
+                    _raise(left_best[a:b], np.where(earlier, no, sims), left[a:b], right[c:d])
     if tile.diagonal:
         ids, best = tile.ids[0], right_best
     else:

@@ -386,3 +386,29 @@ def test_small_blocks_do_not_multiply_the_rows_sent(spark):
     found = sent.agg(F.sum("_sent").alias("sent"), F.sum("_pairs").alias("pairs")).first()
     assert found["pairs"] == 300 * 299 // 2
     assert found["sent"] <= 300 * tiles.FACING
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+@pytest.mark.parametrize("close", [1.0, 1e-6])
+def test_maxima_in_pieces_equal_the_full_product(monkeypatch, diagonal, close):
+    """Also where 32 bits cannot tell the similarities apart. No piece exceeds the strip."""
+    monkeypatch.setattr(tiles, "PIECE_ROWS", 16)
+    monkeypatch.setattr(tiles, "STRIP_ENTRIES", 160)
+    r = np.random.default_rng(5)
+    v = r.normal(size=(1, 12)) * (close < 1) + close * r.normal(size=(90, 12))
+    order = r.integers(0, 20, 90).astype(float)
+    side = np.zeros(90, int) if diagonal else (np.arange(90) % 2)
+    seen = []
+    raised = tiles._raise
+    monkeypatch.setattr(tiles, "_raise", lambda best, sims, *rest: (seen.append(sims.size), raised(best, sims, *rest)))
+    table = pa.table(
+        {"_cluster": [0] * 90, "_left": [0] * 90, "_right": [0 if diagonal else 1] * 90, "_side": side,
+         "_id": np.arange(90), "_order": order, "_vector": pa.array(v.tolist())}
+    )
+    out = tiles.earlier_maxima(table)
+    found = dict(zip(out.column("_id").to_pylist(), out.column("_best").to_pylist(), strict=True))
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    for i in range(90):
+        before = [j for j in range(90) if (order[j], j) < (order[i], i) and (diagonal or side[i] != side[j])]
+        assert found[i] == pytest.approx(max([0.0, *(u[before] @ u[i])]), abs=1.1e-9)
+    assert seen and max(seen) <= 160
