@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import COMPARE_DECIMALS, cosine
+from gleaner.functions.wordcounts import hashed_word_counts
 from gleaner.operators.clustering import centroid_geometry, mean_vectors
 from gleaner.operators.dynamics import merge_ranks
 
@@ -116,18 +117,10 @@ def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
     of a text are near-duplicates here, copies are copies. The language is the cluster; the pair
     score follows the text length."""
     docs = table(spark, sf, "documents")
-    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-    counted = words.filter("word <> ''").groupBy("doc_id", "word").count()
-    slot = (F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("int") % WORD_DIMS).alias("slot")
-    slots = counted.select("doc_id", slot, "count").groupBy("doc_id", "slot").agg(F.sum("count").alias("n"))
-    # At most one entry per slot.
-    held = slots.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("_m"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(WORD_DIMS - 1)),
-        lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)).cast("double"),
-    )
+    words = docs.select("doc_id", F.split(F.lower("text"), r"\s+").alias("words"))
     return (
-        held.select("doc_id", dense.alias("embedding"))
+        hashed_word_counts(words, "doc_id", "words", WORD_DIMS)
+        .withColumnRenamed("counts", "embedding")
         .join(docs.select("doc_id", "lang", "n_chars"), "doc_id")
         .select(
             F.col("doc_id").alias("id"),
