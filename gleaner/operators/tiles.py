@@ -39,8 +39,9 @@ BUNDLE_ROWS = 4 * BLOCK_ROWS
 FACING = 16
 # Entries of a similarity matrix held at one time (8 MB of doubles).
 STRIP_ENTRIES = 1_000_000
-# Left rows of a piece of a strip, where maxima are taken.
-PIECE_ROWS = 2048
+# Rows on either side of a piece of a similarity matrix, where maxima and pairs are taken; fewer right
+# rows where a piece would exceed a strip.
+PIECE_ROWS = 512
 # Bounds are taken from an eighth of the dimensions, then from half of them, if that is this many.
 MIN_DIMENSIONS = 8
 # The share of a strip's pairs that are finished one by one.
@@ -203,34 +204,64 @@ class Tile:
             yield start, stop, self.left @ self.right[start:stop].T
 
 
-    def above(self, bar: float):
-        """(left row, right row, similarity) of the pairs above ``bar``, strip by strip. On a diagonal
-        tile the left row comes first."""
+    def pieces(self):
+        """(first left, last left, first right, last right) of pieces of the similarity matrix; on a
+        diagonal tile those that may hold a pair with the left row first."""
+        step = _piece_columns()
+        for start in range(0, len(self.right), step):
+            stop = min(start + step, len(self.right))
+            for a in range(0, stop if self.diagonal else len(self.left), PIECE_ROWS):
+                yield a, min(a + PIECE_ROWS, len(self.left)), start, stop
+
+    def above(self, bar: float, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
+        """(left row, right row, similarity) of the pairs above ``bar``, piece by piece. On a diagonal
+        tile the left row comes first. Pairs that are not ``wanted`` when their turn comes are left out."""
         width = self.left.shape[1] if len(self.left) else 0
         shares = [n for n in (width // 8, width // 2) if n >= MIN_DIMENSIONS]
         bounds = _Bounds(self, shares[0]) if shares else None
-        step = max(1, STRIP_ENTRIES // max(1, len(self.left)))
-        for start in range(0, len(self.right), step):
-            stop = min(start + step, len(self.right))
+        whole = None
+        slack = max(BOUND_ERROR, _slack(width))
+        for a, b, start, stop in self.pieces():
             alive = None
             while bounds is not None:
-                alive = bounds.reach(start, stop) > bar - BOUND_ERROR
+                alive = bounds.reach(a, b, start, stop) > bar - slack
                 if np.count_nonzero(alive) <= FEW * alive.size:
                     break
-                # What this strip needs the next ones will need too.
+                # What this piece needs the next ones will need too.
                 shares, alive = shares[1:], None
                 bounds = _Bounds(self, shares[0]) if shares else None
             if alive is None:
-                alive = self.left @ self.right[start:stop].T > bar - BOUND_ERROR
+                if whole is None:
+                    left = self.left.astype(np.float32)
+                    whole = left, left if self.diagonal else self.right.astype(np.float32)
+                alive = whole[0][a:b] @ whole[1][start:stop].T > bar - slack
             i, j = np.nonzero(alive)
-            if self.diagonal:
-                i, j = i[i < j + start], j[i < j + start]
+            i, j = i + a, j + start
+            if self.diagonal and b > start:
+                i, j = i[i < j], j[i < j]
+            if wanted is not None and len(i):
+                kept = wanted(i, j)
+                i, j = i[kept], j[kept]
+            if len(i) > FEW * alive.size:
+                exact = (self.left[a:b] @ self.right[start:stop].T)[i - a, j - start]
+                hit = exact > bar
+                yield i[hit], j[hit], exact[hit]
+                continue
             chunk = max(1, STRIP_ENTRIES // max(1, width))
-            for a in range(0, len(i), chunk):
-                ia, ja = i[a : a + chunk], j[a : a + chunk] + start
-                exact = np.einsum("ij,ij->i", self.left[ia], self.right[ja])
+            for c in range(0, len(i), chunk):
+                ic, jc = i[c : c + chunk], j[c : c + chunk]
+                exact = np.einsum("ij,ij->i", self.left[ic], self.right[jc])
                 hit = exact > bar
-                yield ia[hit], ja[hit], exact[hit]
+                yield ic[hit], jc[hit], exact[hit]
+
+
+def _piece_columns() -> int:
+    return max(1, min(PIECE_ROWS, STRIP_ENTRIES // PIECE_ROWS))
+
+
+def _slack(width: int) -> float:
+    """What a 32-bit product of unit vectors can be off by."""
+    return (width + 8) * 2.0**-23
 
 
 class _Bounds:
@@ -248,8 +279,8 @@ class _Bounds:
         rest = 1.0 - np.einsum("ij,ij->i", turned, turned)  # the rows have norm 1
         return np.column_stack([turned, np.sqrt(np.maximum(rest, 0.0))]).astype(np.float32)
 
-    def reach(self, start: int, stop: int) -> np.ndarray:
-        return self.left @ self.right[start:stop].T
+    def reach(self, a: int, b: int, start: int, stop: int) -> np.ndarray:
+        return self.left[a:b] @ self.right[start:stop].T
 
 
 def _basis(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -278,59 +309,68 @@ def above_floor(floor: float) -> Callable[[pa.Table], pa.Table]:
     return work
 
 
-def _raise(best: np.ndarray, sims: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> None:
-    """Raise ``best`` to the highest similarity of each row of ``mine`` to a row of ``theirs``, given
-    the 32-bit ``sims`` of them (-2 where a pair does not count).
+def _raise(best: np.ndarray, sims: np.ndarray, rows: np.ndarray) -> None:
+    """Raise ``best`` of these rows to the highest of their similarities."""
+    best[rows] = np.fmax(best[rows], np.fmax.reduce(sims, axis=1))
+
+
+def _highest(
+    mine: np.ndarray, theirs: np.ndarray, tops: np.ndarray, step: int, before: Callable[[np.ndarray, slice], np.ndarray]
+) -> np.ndarray:
+    """The highest similarity, in double and not below zero, of each row of ``mine`` to a row of ``theirs``
+    that counts for it.
 
-    Only pairs whose 32-bit product may hold the maximum are multiplied in double; rows that
-    have had a similarity of 1 are done.
+    ``tops`` has the 32-bit maximum of every row in every ``step`` rows of ``theirs`` (-2 without a pair). Only
+    those that may hold a row's maximum are multiplied again; ``before`` says which pairs count.
     """
-    slack = (mine.shape[1] + 8) * 2.0**-23
-    top = sims.max(axis=1)
-    open_ = np.flatnonzero((top > best - slack) & (best < 1.0 - COMPARE_STEP))
-    if not len(open_):
-        return
-    may = sims[open_] >= np.maximum(top[open_] - 2 * slack, best[open_] - slack)[:, None]
-    if np.count_nonzero(may) > FEW * sims.size:
-        exact = np.where(may, mine[open_] @ theirs.T, best[open_][:, None])
-        best[open_] = np.maximum(best[open_], exact.max(axis=1))
-        return
-    i, j = np.nonzero(may)
-    np.maximum.at(best, open_[i], np.einsum("ij,ij->i", mine[open_[i]], theirs[j]))
+    best = np.zeros(len(mine))
+    if not tops.size:
+        return best
+    bar = np.maximum(tops.max(axis=1), 0.0) - 2 * _slack(mine.shape[1])
+    held = max(1, STRIP_ENTRIES // step)
+    for block in range(tops.shape[1]):
+        place = slice(block * step, (block + 1) * step)
+        may = np.flatnonzero(tops[:, block] >= bar)
+        for a in range(0, len(may), held):
+            some = may[a : a + held]
+            _raise(best, np.where(before(some, place), mine[some] @ theirs[place].T, 0.0), some)
+    return best
 
 
 def earlier_maxima(table: pa.Table) -> pa.Table:
-    """For each row, its highest similarity to a row before it, and not below zero."""
+    """For each row, its highest similarity to a row before it, and not below zero.
+
+    Maxima of pieces are taken from products in 32 bits, and finished in double where they may be a row's
+    highest. Rows are sorted, so most pieces have all their left rows before the right ones, or behind.
+    """
     tile = Tile(table)
-    left, right = tile.left, tile.right
-    left32 = left.astype(np.float32)
-    right32 = left32 if tile.diagonal else right.astype(np.float32)
-    left_best, right_best = np.zeros(len(left)), np.zeros(len(right))
-    # Rows are sorted, so the left rows before right row r are the first before[r] ones.
-    before = np.searchsorted(tile.position[0], tile.position[1])
-    step = max(1, STRIP_ENTRIES // PIECE_ROWS)
-    for c in range(0, len(right), step):
-        d = min(c + step, len(right))
-        for a in range(0, len(left), PIECE_ROWS):
-            b = min(a + PIECE_ROWS, len(left))
-            if tile.diagonal and before[d - 1] <= a:
-                break
-            sims = left32[a:b] @ right32[c:d].T
-            if before[c] >= b:
-                _raise(right_best[c:d], sims.T, right[c:d], left[a:b])
-            elif before[d - 1] <= a:
-                _raise(left_best[a:b], sims, left[a:b], right[c:d])
-            else:
-                earlier = np.arange(a, b)[:, None] < before[c:d]
-                no = np.float32(-2)
-                _raise(right_best[c:d], np.where(earlier, sims, no).T, right[c:d], left[a:b])
-                if not tile.diagonal:
-                    _raise(left_best[a:b], np.where(earlier, no, sims), left[a:b], right[c:d])
-    if tile.diagonal:
-        ids, best = tile.ids[0], right_best
-    else:
-        ids = np.concatenate(tile.ids)
-        best = np.concatenate([left_best, right_best])
+    # A vector without a direction has no similarity to any, and must not hide those of others.
+    left32 = np.nan_to_num(tile.left.astype(np.float32), nan=0.0)
+    right32 = left32 if tile.diagonal else np.nan_to_num(tile.right.astype(np.float32), nan=0.0)
+    left_at, right_at = tile.position
+    none, step = np.float32(-2), _piece_columns()
+    right_tops = np.full((len(right32), -(-len(left32) // PIECE_ROWS)), none)
+    left_tops = np.full((len(left32), 0 if tile.diagonal else -(-len(right32) // step)), none)
+    for a, b, c, d in tile.pieces():
+        sims = left32[a:b] @ right32[c:d].T
+        if left_at[b - 1] < right_at[c]:
+            right_tops[c:d, a // PIECE_ROWS] = sims.max(axis=0)
+        elif right_at[d - 1] < left_at[a]:
+            left_tops[a:b, c // step] = sims.max(axis=1)
+        else:
+            earlier = left_at[a:b, None] < right_at[None, c:d]
+            right_tops[c:d, a // PIECE_ROWS] = np.where(earlier, sims, none).max(axis=0)
+            if not tile.diagonal:
+                left_tops[a:b, c // step] = np.where(earlier, none, sims).max(axis=1)
+    best = _highest(
+        tile.right, tile.left, right_tops, PIECE_ROWS, lambda rows, place: left_at[None, place] < right_at[rows, None]
+    )
+    ids = tile.ids[1]
+    if not tile.diagonal:
+        others = _highest(
+            tile.left, tile.right, left_tops, step, lambda rows, place: right_at[None, place] < left_at[rows, None]
+        )
+        ids, best = np.concatenate(tile.ids), np.concatenate([others, best])
     return pa.table({"_id": ids, "_best": np.round(best, COMPARE_DECIMALS)})
 
 
@@ -414,8 +454,10 @@ def forest_above(threshold: float) -> Callable[[pa.Table], pa.Table]:
         tile = Tile(table)
         ids = tile.ids[0] if tile.diagonal else np.concatenate(tile.ids)
         label = np.arange(len(ids))
-        for i, j, _ in tile.above(bar):
-            label = _joined(label, i, j if tile.diagonal else j + len(tile.left))
+        shift = 0 if tile.diagonal else len(tile.left)
+        # Rows that are linked already need no further comparison.
+        for i, j, _ in tile.above(bar, lambda i, j: label[i] != label[j + shift]):
+            label = _joined(label, i, j + shift)
         lowest = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(lowest, label, ids)
         root = lowest[label]

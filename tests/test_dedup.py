@@ -412,3 +412,31 @@ def test_maxima_in_pieces_equal_the_full_product(monkeypatch, diagonal, close):
         before = [j for j in range(90) if (order[j], j) < (order[i], i) and (diagonal or side[i] != side[j])]
         assert found[i] == pytest.approx(max([0.0, *(u[before] @ u[i])]), abs=1.1e-9)
     assert seen and max(seen) <= 160
+
+
+def test_a_vector_without_direction_hides_no_maximum():
+    """Not those of the rows that share a piece with it."""
+    v = np.array([[1.0, 0.0], [np.nan, 1.0], [1.0, 0.1]])
+    table = pa.table(
+        {"_cluster": [0] * 3, "_left": [0] * 3, "_right": [0] * 3, "_side": [0] * 3, "_id": np.arange(3),
+         "_order": np.zeros(3), "_vector": pa.array(v.tolist())}
+    )
+    best = tiles.earlier_maxima(table).column("_best").to_pylist()
+    assert best == pytest.approx([0.0, 0.0, 1 / 1.01**0.5], abs=1.1e-9)
+
+
+def test_linked_rows_are_not_compared_again(monkeypatch):
+    """A forest over many like rows finishes few pairs in double."""
+    r = np.random.default_rng(3)
+    v = np.ones((400, 64)) + 0.05 * r.normal(size=(400, 64))
+    table = pa.table(
+        {"_cluster": [0] * 400, "_left": [0] * 400, "_right": [0] * 400, "_side": [0] * 400, "_id": np.arange(400),
+         "_order": np.zeros(400), "_vector": pa.array(v.tolist())}
+    )
+    monkeypatch.setattr(tiles, "PIECE_ROWS", 40)
+    done = []
+    joined = tiles._joined
+    monkeypatch.setattr(tiles, "_joined", lambda label, a, b: (done.append(len(a)), joined(label, a, b))[1])
+    found = tiles.forest_above(0.9)(table)
+    assert found["src"].to_pylist() == [0] * 399
+    assert sum(done) < 400 * 399 / 4
