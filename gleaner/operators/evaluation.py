@@ -116,22 +116,42 @@ def partner_ranks(
 ) -> DataFrame:
     """(id, partner_rank): 1 plus the number of targets more similar to a row than its own
     partner, which has the same id. Block tiles count; no pair leaves a task."""
+    both = partner_ranks_both_ways(queries, targets, identity, embedding, block_rows)
+    return both.filter("_side = 0").drop("_side")
+
+
+def partner_ranks_both_ways(
+    queries: DataFrame,
+    targets: DataFrame,
+    identity: str = "id",
+    embedding: str = "embedding",
+    block_rows: int = tiles.BLOCK_ROWS,
+) -> DataFrame:
+    """(_side, id, partner_rank): ``partner_ranks`` of the queries (side 0), and of the targets (side 1).
+
+    A similarity counts in both directions, so the vectors are
+    shuffled for one comparison. A row without a partner has no rank, but is compared with.
+    """
     queries, targets = (drop_zero_vectors(d.select(identity, embedding), embedding) for d in (queries, targets))
-    partner = queries.join(targets.withColumnRenamed(embedding, "_partner"), identity).select(
-        F.lit(0).alias("_cluster"),
-        F.col(identity).alias("_id"),
-        F.round(cosine(embedding, "_partner"), COMPARE_DECIMALS).alias("_order"),
-        F.col(embedding).alias("_vector"),
-    )
-    facing = targets.select(
-        F.lit(0).alias("_cluster"), F.col(identity).alias("_id"), F.lit(0.0).alias("_order"),
-        F.col(embedding).alias("_vector"),
-    )
+
+    def side(own: DataFrame, other: DataFrame) -> DataFrame:
+        # A row goes once for every partner; only the first time others are compared with it.
+        nth = F.row_number().over(Window.partitionBy(identity).orderBy(identity)).alias("_nth")
+        partner = other.filter(F.col(identity).isNotNull()).select(identity, F.col(embedding).alias("_partner"), nth)
+        return own.join(partner, identity, "left").select(
+            F.lit(0).alias("_cluster"),
+            F.col(identity).alias("_id"),
+            F.round(cosine(embedding, "_partner"), COMPARE_DECIMALS).alias("_order"),
+            F.col(embedding).cast("array<double>").alias("_vector"),
+            (F.coalesce("_nth", F.lit(1)) == 1).alias("_faced"),
+        )
+
     own = queries.schema[identity].dataType.simpleString()
     parts = tiles.cross_tiles(
-        partner, facing, tiles.facing_counts, f"_id {own}, _better bigint", block_rows
-    )
-    return parts.groupBy(F.col("_id").alias(identity)).agg((F.sum("_better") + 1).alias("partner_rank"))
+        side(queries, targets), side(targets, queries), tiles.facing_counts,
+        f"_side int, _id {own}, _better bigint", block_rows, ["_faced"],
+    )
+    return parts.groupBy("_side", F.col("_id").alias(identity)).agg((F.sum("_better") + 1).alias("partner_rank"))
 
 
 def rank_metrics(ranks: DataFrame, direction: str) -> DataFrame:
@@ -161,8 +181,9 @@ def retrieval_metrics(
     block_rows: int = tiles.BLOCK_ROWS,
 ) -> DataFrame:
     """Retrieval metrics in both directions, one row each."""
-    forward = rank_metrics(partner_ranks(images, texts, identity, embedding, block_rows), "image_to_text")
-    back = rank_metrics(partner_ranks(texts, images, identity, embedding, block_rows), "text_to_image")
+    ranks = materialize(partner_ranks_both_ways(images, texts, identity, embedding, block_rows), "partner-ranks")
+    forward = rank_metrics(ranks.filter("_side = 0"), "image_to_text")
+    back = rank_metrics(ranks.filter("_side = 1"), "text_to_image")
     return forward.unionByName(back)
 
 

@@ -20,7 +20,7 @@ are finished one by one. Nothing depends on how large a cluster is.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -136,11 +136,12 @@ def cross_tiles(
     work: Callable[[pa.Table], pa.Table],
     schema: str,
     block_rows: int = BLOCK_ROWS,
+    further: Sequence[str] = (),
 ) -> DataFrame:
     """Run ``work`` on every (left block, right block) of every cluster.
 
-    Both inputs have the columns ``_cluster``, ``_id``, ``_order`` and ``_vector``. A cluster
-    found on one side only still yields its left rows, against an empty right side.
+    Both inputs have the columns ``_cluster``, ``_id``, ``_order`` and ``_vector``, and the ``further`` ones. A
+    cluster found on one side only still yields its left rows, against an empty right side.
     """
     left_blocks, right_blocks = (
         block_counts(cluster_rows(side, "_cluster", F.size("_vector")), "_cluster", block_rows) for side in (left, right)
@@ -154,14 +155,14 @@ def cross_tiles(
             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce("_facing", F.lit(1)) - 1)))
         )
 
-    columns = ["_cluster", "_left", "_right", "_side", "_id", "_order", "_vector"]
+    columns = ["_cluster", "_left", "_right", "_side", "_id", "_order", "_vector", *further]
     lefts = placed(left, left_blocks, right_blocks).select(
         "_cluster", F.col("_bundle").alias("_left"), F.col("_other").alias("_right"),
-        F.lit(0).alias("_side"), "_id", "_order", "_vector",
+        F.lit(0).alias("_side"), "_id", "_order", "_vector", *further,
     )
     rights = placed(right, right_blocks, left_blocks).select(
         "_cluster", F.col("_other").alias("_left"), F.col("_bundle").alias("_right"),
-        F.lit(1).alias("_side"), "_id", "_order", "_vector",
+        F.lit(1).alias("_side"), "_id", "_order", "_vector", *further,
     )
     tiles = lefts.select(columns).union(rights.select(columns))
     return (
@@ -385,13 +386,28 @@ def facing_maxima(table: pa.Table) -> pa.Table:
 
 
 def facing_counts(table: pa.Table) -> pa.Table:
-    """For each left row of a cross tile, the right rows more similar than ``_order``."""
+    """For each row of a cross tile that has an ``_order``, the rows of the other side that are ``_faced``
+    and more similar to it than that."""
     tile = _cross(table)
-    better = np.zeros(len(tile.left), dtype=np.int64)
-    bar = tile.order[0][:, None] + COMPARE_STEP
-    for _, _, sims in tile.strips():
-        better += (sims > bar).sum(axis=1)
-    return pa.table({"_id": tile.ids[0], "_better": better})
+    side, every_id = table.column("_side").to_numpy(), table.column("_id")
+    ranked = table.column("_order").is_valid().to_numpy()
+    faced = table.column("_faced").to_numpy()
+    faced = [faced[side == s] for s in (0, 1)]
+    better = [np.zeros(len(ids), np.int64) for ids in tile.ids]
+    bars = [order + COMPARE_STEP for order in tile.order]
+    every = [bool(f.all()) for f in faced]
+    for a, b, start, stop in tile.pieces():
+        sims = tile.left[a:b] @ tile.right[start:stop].T
+        above = sims > bars[0][a:b, None]
+        better[0][a:b] += np.count_nonzero(above if every[1] else above & faced[1][None, start:stop], axis=1)
+        above = sims > bars[1][None, start:stop]
+        better[1][start:stop] += np.count_nonzero(above if every[0] else above & faced[0][a:b, None], axis=0)
+    parts = []
+    for s in (0, 1):
+        # Rows with an order have an id; others may have none.
+        ids = every_id.filter(pa.array((side == s) & ranked))
+        parts.append({"_side": pa.array(np.full(len(ids), s, np.int32)), "_id": ids, "_better": better[s][ranked[side == s]]})
+    return pa.concat_tables([pa.table(p) for p in parts])
 
 
 def _cross(table: pa.Table) -> Tile:
