@@ -182,6 +182,17 @@ def test_near_groups_in_blocks_alone(spark, monkeypatch):
     assert 1 < len(set(label.values())) < 60
 
 
+def test_levels_of_words_are_not_in_the_plan(spark, docs):
+    """A literal of a byte per slot was printed into each description of the plan; the driver keeps those."""
+    rows = docs.select("doc_id", "text")
+    with lines.passing(spark):
+        found = lines.classes(lines.line_sets(lines.split_lines(rows)))
+        query = lines.candidates(lines.postings(found, lines.slot_levels(found)))._jdf.queryExecution()
+        assert len(query.toString()) < lines.SLOTS // 4
+        # No row carries the levels either: they are read where words are put in order.
+        assert "AS _levels" not in query.optimizedPlan().toString()
+
+
 def test_edit_distance():
     a, b = np.array([1, 2, 3, 4], np.uint64), np.array([9, 1, 3, 4, 9], np.uint64)
     assert decontaminate.edit_distance(a, b) == (1, 4)
