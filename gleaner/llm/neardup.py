@@ -110,6 +110,11 @@ def _sketch_words(column: pa.Array) -> np.ndarray:
     return joined.reshape(len(column), SKETCH_BITS // 64)
 
 
+def _band_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy().reshape(-1, BANDS)
+
+
 def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Byte strings ``data[offsets[i]:offsets[i+1]]`` without a Python loop."""
     return pa.Array.from_buffers(
@@ -254,13 +259,20 @@ def _with_pivots(members: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def _possible(block: pa.Table, others: pa.RecordBatch, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of the block, the rows of ``others`` in other components that sketches leave possible."""
+    """For each row of the block, the rows of ``others`` in other components that sketches leave possible.
+
+    A pair counts in the first of the bands that it shares, and only there.
+    """
+    bucket = others.column("bucket")[0].as_py()
+    bands, all_bands = (_band_rows(x.column("bands")) for x in (block, others))
     comp, sketch = block.column("component").to_numpy(), _sketch_words(block.column("sketch").combine_chunks())
     comps, sketches = others.column("component").to_numpy(), _sketch_words(others.column("sketch"))
     for i in range(len(comp)):
         apart = np.flatnonzero(comps != comp[i])
         differ = np.bitwise_count(sketches[apart] ^ sketch[i]).sum(axis=1)
-        yield i, apart[estimate(differ) >= least - SKETCH_MARGIN]
+        at = apart[estimate(differ) >= least - SKETCH_MARGIN]
+        first = (all_bands[at] == bands[i]).argmax(axis=1)
+        yield i, at[all_bands[at, first] == bucket]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.RecordBatch | None]]:
@@ -304,7 +316,10 @@ def _laid(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _worth_it(laid: DataFrame, least: float) -> DataFrame:
-    """(bucket, part, own, node, component): the rows with a partner that sketches leave possible."""
+    """(bucket, part, own, node, component): the rows with a partner that sketches leave possible.
+
+    Similar nodes share many bands; each is left only where it meets a partner first.
+    """
     names = ["bucket", "part", "own", "node", "component"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,10 +341,7 @@ def _worth_it(laid: DataFrame, least: float) -> DataFrame:
 
 
 def _links_across(laid: DataFrame, least: float, percent: int) -> DataFrame:
-    """(src, dst): for every row of a block and every other component, a node that it is linked with, if any.
-
-    A pair is tested in the first of the bands that it shares.
-    """
+    """(src, dst): for every row of a block and every other component, a node that it is linked with, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached: dict[int, list[int]] = {}
@@ -337,10 +349,8 @@ def _links_across(laid: DataFrame, least: float, percent: int) -> DataFrame:
             if others is None:
                 reached = {}
                 continue
-            bucket = others.column("bucket")[0].as_py()
-            node, bands, sets = (block.column(c) for c in ("node", "bands", "set"))
+            node, sets = (block.column(c) for c in ("node", "set"))
             nodes, comps = others.column("node").to_numpy(), others.column("component").to_numpy()
-            all_bands = others.column("bands").flatten().to_numpy().reshape(-1, BANDS)
             all_sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in others.column("set")]
             sizes = np.array([len(x) for x in all_sets])
             src, dst = [], []
@@ -349,8 +359,6 @@ def _links_across(laid: DataFrame, least: float, percent: int) -> DataFrame:
                     at = at[~np.isin(comps[at], reached[i])]
                 if not len(at):
                     continue
-                same = all_bands[at] == bands[i].values.to_numpy()
-                at = at[all_bands[at, same.argmax(axis=1)] == bucket]
                 own = np.frombuffer(sets[i].as_buffer(), np.uint64)
                 low, high = np.minimum(sizes[at], len(own)), np.maximum(sizes[at], len(own))
                 at = at[100 * low >= percent * high]
@@ -402,7 +410,7 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
     apart = sized.filter("apart").select(
         "bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part"), F.lit(True).alias("own"), "node", "component"
     )
-    by_sketch = _laid(everyone.unionByName(apart), nodes.select("node", "sketch"))
+    by_sketch = _laid(everyone.unionByName(apart), nodes.select("node", "bands", "sketch"))
     possible = materialize(_worth_it(by_sketch, least), "possible")
     whole = nodes.select("node", "bands", "sketch").join(sets, "node")
     return _links_across(_laid(possible, whole), least, percent)

@@ -182,6 +182,29 @@ def test_near_groups_in_blocks_alone(spark, monkeypatch):
     assert 1 < len(set(label.values())) < 60
 
 
+def test_pairs_are_left_in_the_first_band_they_share(spark):
+    """Near copies share many bands; sets are sent on for one of them, not for all."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"]))]
+    found = neardup.prints(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, "doc_id", "text")
+    nodes = found.select(F.col("id").alias("node"), "bands", "sketch")
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").count().filter("count = 2").select("bucket")
+    assert shared.count() > 20
+    laid = neardup._laid(
+        banded.join(shared, "bucket").select(
+            "bucket", F.lit(0).alias("part"), (F.col("node") == 2).alias("own"), "node", F.col("node").alias("component")
+        ).unionByName(
+            shared.select("bucket", F.lit(0).alias("part"), F.lit(False).alias("own"), F.lit(2).cast("bigint").alias("node"), F.lit(2).cast("bigint").alias("component"))
+        ),
+        nodes,
+    )
+    left = neardup._worth_it(laid, 0.8).collect()
+    assert sorted((r.node, r.own) for r in left) == [(1, False), (2, True)]
+    first = next(x for x, y in zip(*[r.bands for r in found.orderBy("id").collect()], strict=True) if x == y)
+    assert {r.bucket for r in left} == {first}
+
+
 def test_levels_of_words_are_not_in_the_plan(spark, docs):
     """A literal of a byte per slot was printed into each description of the plan; the driver keeps those."""
     rows = docs.select("doc_id", "text")
