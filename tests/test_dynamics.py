@@ -124,6 +124,34 @@ def test_late_epochs_are_put_in_their_place(spark, tmp_path):
     assert found.count() == want.count() and found.exceptAll(want).isEmpty()
 
 
+def test_samples_share_calls_to_the_state(spark, tmp_path, monkeypatch):
+    """One call per bucket and trigger, whatever the number of samples; a null id is a sample of its own."""
+    rng = np.random.default_rng(5)
+    probs = np.round(rng.random((9, 40)) * (rng.random((9, 40)) < 0.7), 3)
+    rows = [(e, None if s == 7 else s * 10**16 + 1, float(probs[e, s])) for e in range(9) for s in range(40)]
+    df = spark.createDataFrame(rows, "epoch int, sample_id bigint, prob double")
+    source = str(tmp_path / "in")
+    for part in ([3, 0, 8], [1, 7, 2], [6, 5, 4]):
+        df.filter(F.col("epoch").isin(part)).coalesce(1).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    late = streams.stream_uncertainty_late
+    monkeypatch.setattr(streams, "stream_uncertainty_late", lambda *args: late(*args, buckets=3))
+    run = _run_late(arriving, tmp_path, 8)
+    held = max(o.numRowsTotal for p in run.recentProgress for o in p.stateOperators)
+    found = streams.latest(spark.read.parquet(str(tmp_path / "out")), ["sample_id", "epoch"]).collect()
+    want = {}
+    for s in range(40):
+        seen = [0.0, 0.0]
+        for e in range(9):
+            if probs[e, s]:
+                seen.append(float(probs[e, s]))
+                want[None if s == 7 else s * 10**16 + 1, e] = 10 * np.std(seen[-3:], ddof=1)
+    got = {(r.sample_id, r.epoch): r.uncertainty for r in found}
+    assert len(found) == len(want) and got.keys() == want.keys()
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    assert held < 40  # one state and its timers per bucket
+
+
 def test_epochs_behind_the_watermark_are_dropped_and_counted(spark, tmp_path):
     source = str(tmp_path / "in")
     for e in (0, 9, 10, 1, 11):
