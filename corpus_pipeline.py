@@ -32,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of rows that are equal in all columns one stays at most. A row whose text has no words is a
     group of its own. Further columns of any name pass through.
 
-    Rows are known by id and hash (128 bits), so no copy of the texts is written; they are joined
-    with the rows that go, which are few.
+    Rows are known by id and hash (128 bits), so no copy of the texts is written. Marks leave few rows
+    besides those that are decided on; only these are joined with the decisions, the others pass unshuffled.
     """
     values = [F.col(f"`{c}`") for c in docs.columns]
     marked = [*values, *[v.isNull() for v in values]]
@@ -49,10 +49,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         decided = materialize(rows.filter("not kept or n > 1"), "decided", lasting=True)
     # Structs keep the names of the columns apart from those used here.
     whole = docs.select(F.struct(*values).alias("row"), key.alias("key"))
-    left = whole.join(decided.select(F.col("id").alias("key")), "key", "left_anti").select("row")
+    bits = materialize(neardup.marks(decided.select("id")), "marks")
+    concerned = neardup.marked(F.col("key"), bits)
+    some = whole.filter(concerned)
+    left = some.join(decided.select(F.col("id").alias("key")), "key", "left_anti").select("row")
+    left = whole.filter(~concerned).select("row").unionByName(left)
     again = decided.filter("kept").select(F.col("id").alias("key"))
     if not again.isEmpty():
-        equal = whole.join(again, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+        equal = some.join(again, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
         left = left.unionByName(equal.select("row"))
     return left.select("row.*")
 

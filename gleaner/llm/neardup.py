@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.words import longs, mix, positions_in_text, slices
@@ -43,6 +43,7 @@ SKETCH_BITS = 1024
 SKETCH_MARGIN = 0.15
 ROUNDS = 3
 BLOCK = 512
+MARKS = 1 << 25  # bits: 4 MB; more than some ten million nodes with a partner make them leave more texts than are wanted
 
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACE = mix(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(1 << 40))
@@ -158,18 +159,36 @@ def prints(docs: DataFrame, width: int, identity: str, text: str) -> DataFrame:
     )
 
 
+def marks(ids: DataFrame) -> DataFrame:
+    """(bits), one row: longs with a bit for the hash of every id. Their size is set by ``MARKS`` alone."""
+    place = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    some = ids.select(F.shiftrightunsigned(place, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    every = ids.sparkSession.range(MARKS // 64).toDF("at").join(some, "at", "left")
+    pair = F.struct("at", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(pair)), lambda x: x["bits"]).alias("bits"))
+
+
+def marked(identity: Column, bits: DataFrame) -> Column:
+    """Whether the bit of an id is set: it is for every id that was marked, and for few others."""
+    place = F.pmod(F.xxhash64(identity), F.lit(MARKS))
+    word = F.get(bits.scalar(), F.shiftrightunsigned(place, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(key1, key2, set) of (text): the sorted shingles as bytes."""
+    """(id, key1, key2, set) of (id, text): the sorted shingles as bytes."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
             shingles, offsets = shingle_sets(s.hashes(fold=True), s.of_text, width)
             key1, key2 = _set_keys(shingles, offsets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key1), pa.array(key2), _binary(shingles, offsets * 8)], ["key1", "key2", "set"]
+                [s.column("id"), pa.array(key1), pa.array(key2), _binary(shingles, offsets * 8)], ["id", "key1", "key2", "set"]
             )
 
-    return docs.mapInArrow(run, "key1 bigint, key2 bigint, set binary")
+    return docs.mapInArrow(run, f"id {kind}, key1 bigint, key2 bigint, set binary")
 
 
 # --- candidates and confirmation ------------------------------------------------------------
@@ -455,14 +474,12 @@ def _components(found: DataFrame, docs: DataFrame, width: int, percent: int, ide
         ),
         "involved",
     )
-    ids = involved.select(F.col("least_id").alias("_id")).distinct()
-    texts = docs.select(F.col(identity).alias("_doc"), F.col(text).alias("text")).join(
-        ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi"
-    )
-    sets = materialize(
-        _sets(texts.select("text"), width).join(involved.select("node", "key1", "key2"), ["key1", "key2"]).select("node", "set"),
-        "sets",
-    )
+    # No text is shuffled: marks leave the texts that are wanted and few others, whose sets find no node.
+    bits = materialize(marks(involved.select(F.col("least_id").alias("id"))), "marks")
+    texts = docs.select(F.col(identity).alias("id"), F.col(text).alias("text")).filter(marked(F.col("id"), bits))
+    wanted = involved.select("node", "least_id", F.col("key1").alias("_key1"), F.col("key2").alias("_key2"))
+    one = (F.col("key1") == F.col("_key1")) & (F.col("key2") == F.col("_key2")) & F.col("id").eqNullSafe(F.col("least_id"))
+    sets = materialize(_sets(texts, width).join(wanted, one).select("node", "set"), "sets")
     least = percent / 100
     everyone = involved.select("node")
     links = docs.sparkSession.createDataFrame([], "src bigint, dst bigint")

@@ -205,6 +205,48 @@ def test_pairs_are_left_in_the_first_band_they_share(spark):
     assert {r.bucket for r in left} == {first}
 
 
+def test_texts_pass_marks_and_no_shuffle(spark, monkeypatch):
+    """The sets of nodes with a partner are made from texts that no join has moved; other texts stay away."""
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, base), (1, base + " end"), (2, base + " end"), (2, "other words"), *[(i, f"a{i} b{i} c{i}") for i in range(3, 300)]]
+    seen = []
+    sets = neardup._sets
+    monkeypatch.setattr(neardup, "_sets", lambda docs, width: (seen.append(docs), sets(docs, width))[1])
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in found if r.doc_id in (None, 1)} == {None: 1, 1: 1}
+    assert sorted(r.component_id for r in found if r.doc_id == 2) == [1, 2]
+    plan = seen[0]._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_marks_leave_what_is_marked(spark):
+    ids = spark.range(5000).select(F.when(F.col("id") > 0, F.struct(F.col("id").alias("a"), F.lit(None).cast("string").alias("b"))).alias("id"))
+    bits = neardup.materialize(neardup.marks(ids.filter("id is null or id.a % 5 = 0")), "marks")
+    left = ids.filter(neardup.marked(F.col("id"), bits)).select("id.a").collect()
+    assert {None, *range(5, 5000, 5)} <= {r.a for r in left}
+    assert len(left) < 1050
+    assert ids.filter(neardup.marked(F.col("id"), neardup.materialize(neardup.marks(ids.limit(0)), "marks"))).isEmpty()
+
+
+def test_pipeline_near_dedup_moves_only_texts_in_question(spark, monkeypatch):
+    """Without broadcasts, most texts pass the stage unshuffled."""
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, base), (1, base + " end"), (1, base + " end"), (2, base + " end"), *[(i, f"a{i} b{i} c{i} " * 50) for i in range(3, 400)]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(neardup, "MARKS", 1 << 16)
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, *range(3, 400)]
+    plan = left._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and not any("Join" in n for n in _names(plan.children().head()))
+
+
+def _names(plan):
+    names = [plan.nodeName()]
+    for i in range(plan.children().size()):
+        names += _names(plan.children().apply(i))
+    return names
+
+
 def test_levels_of_words_are_not_in_the_plan(spark, docs):
     """A literal of a byte per slot was printed into each description of the plan; the driver keeps those."""
     rows = docs.select("doc_id", "text")
