@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, mixing, neardup, quality, sharding
+from gleaner.llm import decontaminate, marks, mixing, neardup, quality, sharding
 from gleaner.storage import materialize, passing
 
 SHARDS = 40
@@ -49,8 +49,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         decided = materialize(rows.filter("not kept or n > 1"), "decided", lasting=True)
     # Structs keep the names of the columns apart from those used here.
     whole = docs.select(F.struct(*values).alias("row"), key.alias("key"))
-    bits = materialize(neardup.marks(decided.select("id")), "marks")
-    concerned = neardup.marked(F.col("key"), bits)
+    bits = materialize(marks.marks(decided.select("id")), "marks")
+    concerned = marks.marked(F.col("key"), bits)
     some = whole.filter(concerned)
     left = some.join(decided.select(F.col("id").alias("key")), "key", "left_anti").select("row")
     left = whole.filter(~concerned).select("row").unionByName(left)

@@ -30,9 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.marks import marked, marks
 from gleaner.llm.words import longs, mix, positions_in_text, slices
 from gleaner.operators.components import connected_components
 from gleaner.storage import materialize, passing
@@ -43,7 +44,6 @@ SKETCH_BITS = 1024
 SKETCH_MARGIN = 0.15
 ROUNDS = 3
 BLOCK = 512
-MARKS = 1 << 25  # bits: 4 MB; more than some ten million nodes with a partner make them leave more texts than are wanted
 
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACE = mix(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(1 << 40))
@@ -159,23 +159,6 @@ def prints(docs: DataFrame, width: int, identity: str, text: str) -> DataFrame:
     )
 
 
-def marks(ids: DataFrame) -> DataFrame:
-    """(bits), one row: longs with a bit for the hash of every id. Their size is set by ``MARKS`` alone."""
-    place = F.pmod(F.xxhash64("id"), F.lit(MARKS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
-    some = ids.select(F.shiftrightunsigned(place, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    every = ids.sparkSession.range(MARKS // 64).toDF("at").join(some, "at", "left")
-    pair = F.struct("at", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
-    return every.agg(F.transform(F.sort_array(F.collect_list(pair)), lambda x: x["bits"]).alias("bits"))
-
-
-def marked(identity: Column, bits: DataFrame) -> Column:
-    """Whether the bit of an id is set: it is for every id that was marked, and for few others."""
-    place = F.pmod(F.xxhash64(identity), F.lit(MARKS))
-    word = F.get(bits.scalar(), F.shiftrightunsigned(place, 6).cast("int"))
-    return F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """(id, key1, key2, set) of (id, text): the sorted shingles as bytes."""
     kind = docs.schema["id"].dataType.simpleString()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from catalog.checking import compare, duck
-from gleaner.llm import chat, decontaminate, lines, lm, mixing, neardup, quality, queries, secrets, sharding, substrings
+from gleaner.llm import chat, decontaminate, lines, lm, marks, mixing, neardup, quality, queries, secrets, sharding, substrings
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -221,11 +221,11 @@ def test_texts_pass_marks_and_no_shuffle(spark, monkeypatch):
 
 def test_marks_leave_what_is_marked(spark):
     ids = spark.range(5000).select(F.when(F.col("id") > 0, F.struct(F.col("id").alias("a"), F.lit(None).cast("string").alias("b"))).alias("id"))
-    bits = neardup.materialize(neardup.marks(ids.filter("id is null or id.a % 5 = 0")), "marks")
-    left = ids.filter(neardup.marked(F.col("id"), bits)).select("id.a").collect()
+    bits = neardup.materialize(marks.marks(ids.filter("id is null or id.a % 5 = 0")), "marks")
+    left = ids.filter(marks.marked(F.col("id"), bits)).select("id.a").collect()
     assert {None, *range(5, 5000, 5)} <= {r.a for r in left}
     assert len(left) < 1050
-    assert ids.filter(neardup.marked(F.col("id"), neardup.materialize(neardup.marks(ids.limit(0)), "marks"))).isEmpty()
+    assert ids.filter(marks.marked(F.col("id"), neardup.materialize(marks.marks(ids.limit(0)), "marks"))).isEmpty()
 
 
 def test_pipeline_near_dedup_moves_only_texts_in_question(spark, monkeypatch):
@@ -233,7 +233,7 @@ def test_pipeline_near_dedup_moves_only_texts_in_question(spark, monkeypatch):
     base = " ".join(f"w{i}" for i in range(100))
     rows = [(None, base), (1, base + " end"), (1, base + " end"), (2, base + " end"), *[(i, f"a{i} b{i} c{i} " * 50) for i in range(3, 400)]]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    monkeypatch.setattr(neardup, "MARKS", 1 << 16)
+    monkeypatch.setattr(marks, "MARKS", 1 << 16)
     left = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted(r.doc_id for r in left.collect()) == [1, *range(3, 400)]
     plan = left._jdf.queryExecution().optimizedPlan()
@@ -247,6 +247,19 @@ def _names(plan):
     return names
 
 
+def test_lines_of_pairs_are_taken_apart_once(spark):
+    """Full sets are made once for every class of a pair, not again in every pair; no line is shuffled for it."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[:i], *words[i + 1 :]])) for i in range(12)] + [(i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(12, 40)]
+    with lines.passing(spark):
+        found = lines.materialize(lines.classes(lines.line_sets(lines.split_lines(spark.createDataFrame(rows, "doc_id bigint, text string")))))
+        pairs = lines.materialize(lines.candidates(lines.postings(found, lines.slot_levels(found))))
+        linked = lines.confirm(pairs, found)
+        assert linked.count() == 66
+        plan = linked._jdf.queryExecution().optimizedPlan().toString()
+        assert "line" not in re.sub("line_class", "", re.sub("Relation.*", "", plan)) and "split(" not in plan
+
+
 def test_levels_of_words_are_not_in_the_plan(spark, docs):
     """A literal of a byte per slot was printed into each description of the plan; the driver keeps those."""
     rows = docs.select("doc_id", "text")
