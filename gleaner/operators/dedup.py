@@ -15,6 +15,9 @@ from gleaner.operators.clustering import drop_zero_vectors
 from gleaner.operators.ranking import kth_largest, rank_in_group, running_total
 from gleaner.storage import materialize
 
+# Ids of one row where a class of copies is written out; two such rows make a quarter of a million pairs.
+PART_ROWS = 512
+
 
 def order_value(order: str | Column, identity: str = "id", seed: int = 0) -> Column:
     """The value rows are compared by, lowest first; ties go to the lower id.
@@ -193,30 +196,74 @@ def similarity_edges(
     embedding: str = "embedding",
     block_rows: int = tiles.BLOCK_ROWS,
 ) -> DataFrame:
-    """(cluster_id, src, dst, sim) for pairs of different vectors above the threshold, src < dst,
-    and one edge of similarity 1 from each further copy of a vector to its first row.
+    """(cluster_id, src, dst, sim) for all pairs of rows above the threshold, the lower id first.
+
+    Copies of a vector are compared once, as one class; a pair of classes becomes the pairs of their rows
+    behind the tiles. Rows without an id are in no pair.
 
     Use ``linking_edges`` to group rows: it joins the same rows with fewer edges than rows.
     """
-    ready = drop_zero_vectors(df, embedding).select(
-        cluster, identity, embedding, F.lit(0.0).alias("_order")
-    )
-    split = _collapse(ready, cluster, identity, embedding)
     kind, own = (df.schema[c].dataType.simpleString() for c in (cluster, identity))
+    ready = drop_zero_vectors(df, embedding).filter(F.col(identity).isNotNull()).select(cluster, identity, embedding)
+    keyed = ready.withColumn("_key", _class_key(cluster, embedding))
+    keys = materialize(keyed.select(cluster, identity, "_key", F.size(embedding).alias("_size")), "digests")
+    found = keys.groupBy("_key").agg(
+        F.first(cluster).alias(cluster), F.first("_size").alias("_size"), F.count(F.lit(1)).alias("_copies")
+    )
+    found = materialize(found.withColumn("_class", F.monotonically_increasing_id()), "classes")
+    sizes = tiles.cluster_rows(found, cluster, F.col("_size"))
+    if found.filter("_copies > 1").isEmpty():
+        return tiles.self_tiles(
+            ready, cluster, identity, embedding, None, tiles.pairs_above(threshold),
+            f"cluster_id {kind}, src {own}, dst {own}, sim double", block_rows, sizes,
+        )
+    # One row per class is left of its copies before they are shuffled.
+    distinct = keyed.drop(identity).dropDuplicates(["_key"]).join(found.select("_key", "_class"), "_key").drop("_key")
     near = tiles.self_tiles(
-        split.distinct, cluster, identity, embedding, None, tiles.pairs_above(threshold),
-        f"cluster_id {kind}, src {own}, dst {own}, sim double", block_rows, split.sizes,
+        distinct, cluster, "_class", embedding, None, tiles.pairs_above(threshold),
+        f"cluster_id {kind}, src bigint, dst bigint, sim double", block_rows, sizes,
     )
-    if threshold >= 1 or split.copies is None:
-        return near
-    return near.unionByName(
-        split.copies.select(
-            F.col(cluster).alias("cluster_id"),
-            F.col("_first").alias("src"),
-            F.col(identity).alias("dst"),
-            F.lit(1.0).alias("sim"),
+    if threshold < 1:
+        several = found.filter("_copies > 1")
+        near = near.unionByName(
+            several.select(
+                F.col(cluster).alias("cluster_id"), F.col("_class").alias("src"), F.col("_class").alias("dst"), F.lit(1.0).alias("sim")
+            )
         )
-    )
+    return _pairs_of_rows(near, _members(keys, found, identity))
+
+
+def _class_key(cluster: str, embedding: str) -> Column:
+    """Equal for equal vectors of one cluster. The digest has a fixed length, so the two parts stay apart."""
+    return F.concat(content_hash(embedding), F.coalesce(F.concat(F.lit(":"), F.col(cluster).cast("string")), F.lit("")))
+
+
+def _members(keys: DataFrame, found: DataFrame, identity: str) -> DataFrame:
+    """(_class, _part, _ids): the ids of a class in parts of about ``PART_ROWS``, so that no row holds a hot class."""
+    parts = F.ceil(F.col("_copies") / F.lit(PART_ROWS))
+    part = F.pmod(F.xxhash64("_row"), parts)
+    rows = keys.select("_key", F.col(identity).alias("_id"), F.monotonically_increasing_id().alias("_row"))
+    placed = rows.join(found.select("_key", "_class", "_copies"), "_key").select("_class", part.alias("_part"), "_id")
+    return materialize(placed.groupBy("_class", "_part").agg(F.collect_list("_id").alias("_ids")), "members")
+
+
+def _pairs_of_rows(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster_id, src, dst, sim) of rows from such pairs of classes; a class paired with itself gives each
+    pair of its rows once.
+
+    Pairs of parts are spread over the tasks before they become pairs of rows, so that a hot class is
+    not the work of one.
+    """
+    lefts, rights = (members.toDF(end, f"_part_{end}", f"_ids_{end}") for end in ("src", "dst"))
+    same = F.col("src") == F.col("dst")
+    facing = pairs.join(lefts, "src").join(rights, "dst").filter(~same | (F.col("_part_src") <= F.col("_part_dst")))
+    facing = facing.select(
+        "cluster_id", "sim", "_ids_src", "_ids_dst", (same & (F.col("_part_src") == F.col("_part_dst"))).alias("_own")
+    ).hint("rebalance")
+    each = facing.select("cluster_id", "sim", "_ids_dst", "_own", F.posexplode("_ids_src").alias("_at", "_a"))
+    behind = F.slice("_ids_dst", F.col("_at") + 2, F.size("_ids_dst"))
+    each = each.select("cluster_id", "sim", "_a", F.explode(F.when(F.col("_own"), behind).otherwise(F.col("_ids_dst"))).alias("_b"))
+    return each.select("cluster_id", F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"), "sim")
 
 
 def linking_edges(

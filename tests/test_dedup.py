@@ -92,6 +92,48 @@ def test_copies_that_fill_a_third_of_the_table(spark):
     assert links.count() < 150 * 8  # fewer links than rows per tile, no clique
 
 
+@pytest.mark.parametrize("part_rows", [4, 512])
+@pytest.mark.parametrize("block_rows", [10, 8192])
+def test_edges_of_copies_are_all_pairs(spark, monkeypatch, block_rows, part_rows):
+    """Copies are paired with one another and with all rows that any of them is similar to; ids may
+    repeat, and rows without one are in no pair."""
+    monkeypatch.setattr(dedup, "PART_ROWS", part_rows)
+    v = random_vectors(90, groups=6)
+    v[::3] = v[0]
+    v[1::10] = v[1]
+    cluster = [i % 2 if i % 5 else 2 for i in range(90)]
+    ids = [None if i == 7 else 12 if i in (24, 25) else i for i in range(90)]
+    table = [(i, c, [float(x) for x in w]) for i, c, w in zip(ids, cluster, v, strict=True)]
+    df = spark.createDataFrame(table, "id bigint, cluster_id int, embedding array<float>").repartition(3)
+    u = unit(v)
+    expected = sorted(
+        (cluster[i], min(ids[i], ids[j]), max(ids[i], ids[j]), round(float(u[i] @ u[j]), 5))
+        for i in range(90)
+        for j in range(i + 1, 90)
+        if i != 7 and j != 7 and cluster[i] == cluster[j] and u[i] @ u[j] > 0.9
+    )
+    edges = dedup.similarity_edges(df, 0.9, block_rows=block_rows).collect()
+    assert sorted((r["cluster_id"], r["src"], r["dst"], round(r["sim"], 5)) for r in edges) == expected
+
+
+def test_edges_on_shifted_copies_of_a_table_match_the_sql(spark, tmp_path):
+    """The registered query on a table that holds every vector three times."""
+    from catalog import similarity
+
+    v = random_vectors(60, dim=64, groups=5)
+    table = [(1000 * k + i, i % 3, [float(x) for x in v[i]]) for k in range(3) for i in range(60)]
+    df = spark.createDataFrame(table, "vec_id bigint, label int, embedding array<float>")
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = con.execute(similarity.SQL["similarity_edges_in_blocks"]).fetchall()
+    assert len(expected) > 9 * 60
+    for name in ("similarity_edges_in_blocks", "similarity_edges"):
+        found = similarity.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(tuple(r) for r in found) == sorted(expected)
+
+
 def brute_groups(v, cluster, threshold):
     u = unit(v)
     label = list(range(len(u)))
