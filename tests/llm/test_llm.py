@@ -247,6 +247,38 @@ def _names(plan):
     return names
 
 
+def test_sets_of_single_lines_are_not_shuffled(spark, monkeypatch):
+    """Only lines whose set comes again meet others; marks that two sets share lose none and add none."""
+    monkeypatch.setattr(marks, "MARKS", 128)
+    base = [f"w{i}" for i in range(20)]
+    texts = [" ".join(base), "\t".join(reversed(base)) + "  \x0b w0\r", " ".join([*base[:19], "x"]), "  \n \t", None]
+    texts += ["\n".join(f"a{i}k{j} b{i}k{j} c d e" for j in range(3)) for i in range(50)]
+    texts += [texts[7], "e d c b2k0 a2k0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+    sets, first, similar = {}, {}, collections.defaultdict(set)
+    for d, t in enumerate(texts):
+        for n, line in enumerate((t or "").split("\n")):
+            if words := frozenset(re.findall(r"[^\x20\x09-\x0D]+", line)):
+                sets[d, n] = words
+                first[words] = min(first.get(words, (d, n)), (d, n))
+    for a in first:
+        similar[a] = {b for b in first if a != b and 100 * len(a & b) >= 80 * len(a | b)}
+    want = {
+        (d, n): ((d, n) > min([first[w], *(first[b] for b in similar[w])]), len(similar[w])) for (d, n), w in sets.items()
+    }
+    found = {(r.id, r.line_no): (r.removed, r.links) for r in lines.mark_lines(docs).collect()}
+    assert found == want and sum(gone for gone, _ in want.values()) == 6
+
+    with lines.passing(spark):
+        made = lines.materialize(lines.line_sets(lines.split_lines(docs)), "sets")
+        some = lines.classes(made)
+        assert some.count() == len(first)
+        plan = some._jdf.queryExecution().optimizedPlan()
+        assert plan.nodeName() == "Union"
+        assert not any("Join" in n or "Aggregate" in n for n in _names(plan.children().head()))
+
+
 def test_levels_of_words_are_not_in_the_plan(spark, docs):
     """A literal of a byte per slot was printed into each description of the plan; the driver keeps those."""
     rows = docs.select("doc_id", "text")
